@@ -30,11 +30,18 @@ WEIGHT_SETS = (
 )
 # three numbers separated by blanks: "66 7 3"
 SPACE_TRIPLE = r"(?U)(\d+(?:[.,]\d+)?)\s+(\d+)\s+(\d+)"
+# one number of a match
+NUMBER = r"(?U)\d+(?:[.,]\d+)?"
 # day and month with an optional year: "07.06", "7/6/26"
 DAY_MONTH = r"(?U)\b(\d{1,2})[./](\d{1,2})(?:[./](\d{2,4}))?\b"
 # ----------------------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
 
@@ -44,35 +51,46 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(words))
 
 
-def _numbers_by(text: Column, pattern: str) -> Column:
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    weight = F.replace(part(1), F.lit(","), F.lit(".")).try_cast("double")
-    reps = part(2).try_cast("int")
-    sets = F.when(part(3) == "", DEFAULT_SETS).otherwise(part(3).try_cast("int"))
-    found = F.struct(weight.alias("weight_kg"), reps.alias("reps"), sets.alias("sets"))
-    return F.when((weight > 0) & (reps > 0) & (sets > 0), found)
+def _positive(parts: Column) -> Column:
+    """Struct from (weight, reps[, sets]) texts, null unless all are positive."""
+    found = F.struct(
+        F.replace(F.get(parts, F.lit(0)), F.lit(","), F.lit(".")).try_cast("double").alias("weight_kg"),
+        F.get(parts, F.lit(1)).try_cast("int").alias("reps"),
+        F.coalesce(F.get(parts, F.lit(2)), F.lit(str(DEFAULT_SETS))).try_cast("int").alias("sets"),
+    )
+    return let(found, lambda n: F.when((n["weight_kg"] > 0) & (n["reps"] > 0) & (n["sets"] > 0), n))
 
 
 def parse_numbers(text: Column) -> Column:
-    """Struct (weight_kg, reps, sets), null when neither notation gives positive numbers."""
-    return F.coalesce(_numbers_by(text, WEIGHT_SETS), _numbers_by(text, SPACE_TRIPLE))
+    """Struct (weight_kg, reps, sets), null when neither notation gives positive numbers.
+
+    Each notation is searched once; its match is then cut into its two or three numbers.
+    """
+    joined = F.regexp_extract_all(F.regexp_extract(text, WEIGHT_SETS, 0), F.lit(NUMBER), F.lit(0))
+    spaced = F.regexp_extract_all(F.regexp_extract(text, SPACE_TRIPLE, 0), F.lit(NUMBER), F.lit(0))
+    return F.coalesce(let(joined, _positive), let(spaced, _positive))
 
 
 def parse_date(text: Column, today: Column) -> Column:
     """Day the message speaks of; ``today`` when it names none or an impossible one."""
-    norm = normalized(text)
-    day, month, year = (F.regexp_extract(text, DAY_MONTH, i) for i in (1, 2, 3))
-    full_year = (
-        F.when(year == "", F.year(today).cast("string"))
-        .when(F.length(year) == 2, F.concat(F.lit("20"), year))
-        .otherwise(year)
-    )
-    iso = F.concat_ws("-", F.nullif(F.lpad(full_year, 4, "0"), F.lit("0000")), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return (
+    parts = F.split(F.regexp_extract(text, DAY_MONTH, 0), "[./]")
+    return let(normalized(text), lambda norm: (
         F.when(contains_any(norm, TODAY_WORDS), today)
         .when(contains_any(norm, YESTERDAY_WORDS), F.date_sub(today, 1))
-        .otherwise(F.coalesce(F.when(F.length(iso) == 10, iso).try_cast("date"), today))
+        .otherwise(F.coalesce(let(parts, lambda p: _calendar_day(p, today)), today))
+    ))
+
+
+def _calendar_day(parts: Column, today: Column) -> Column:
+    """Date from [day, month] or [day, month, year] texts, null when there is no such day."""
+    year = F.get(parts, F.lit(2))
+    full_year = (
+        F.when(year.isNull(), F.year(today).cast("string"))
+        .when(F.length(year) == 2, F.concat(F.lit("20"), year))
+        .otherwise(F.nullif(F.lpad(year, 4, "0"), F.lit("0000")))
     )
+    two = lambda i: F.lpad(F.get(parts, F.lit(i)), 2, "0")
+    return F.concat(full_year, F.lit("-"), two(1), F.lit("-"), two(0)).try_cast("date")
 
 
 def is_workout_log(text: Column, has_exercise: Column, has_numbers: Column) -> Column:
@@ -107,7 +125,10 @@ def resolve_slugs(text: Column, aliases: Column) -> Column:
     ``aliases`` is an array of (alias, slug, size) sorted longest first. A span is
     accepted when it overlaps no span accepted before it.
     """
-    norm = F.trim(normalized(text))
+    return let(F.trim(normalized(text)), lambda norm: _slugs_in(norm, aliases))
+
+
+def _slugs_in(norm: Column, aliases: Column) -> Column:
     present = F.filter(aliases, lambda a: F.contains(norm, a["alias"]))
     spans = F.flatten(F.transform(present, lambda a: F.transform(
         occurrences(norm, a["alias"]),

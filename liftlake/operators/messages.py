@@ -66,9 +66,16 @@ def _with_slugs_by_join(t, messages: DataFrame) -> DataFrame:
         "slugs", F.coalesce("slugs", F.array().cast("array<string>")))
 
 
+def each_slug(t, messages: DataFrame, *columns) -> DataFrame:
+    """One row per slug of a message with its place in acceptance order."""
+    # The CASE keeps Spark from adding a filter that would match every text twice.
+    slugs = F.when(F.col("slugs").isNotNull(), F.col("slugs"))
+    return with_slugs(t, messages).select("msg_id", *columns, F.posexplode(slugs).alias("position", "slug"))
+
+
 def resolve_exercises(t, messages: DataFrame) -> DataFrame:
     """Slugs per message with their place in acceptance order."""
-    return with_slugs(t, messages).select("msg_id", F.posexplode("slugs").alias("position", "slug"))
+    return each_slug(t, messages)
 
 
 def numbers(messages: DataFrame) -> DataFrame:
@@ -81,16 +88,23 @@ def dates(messages: DataFrame) -> DataFrame:
 
 
 def _parsed(t, messages: DataFrame) -> DataFrame:
-    """All messages with slugs, numbers, date and the is-a-log flag."""
+    """All messages with slugs, numbers and the is-a-log flag."""
     text = F.trim("text")
-    return (
-        with_slugs(t, messages)
-        .withColumn("n", parsing.parse_numbers(text))
-        .withColumn("is_log", parsing.is_workout_log(text, F.size("slugs") > 0, F.col("n").isNotNull()))
-        .withColumn("workout_date", parsing.parse_date(text, F.col("msg_date")))
-        .withColumn("confidence", F.when(~F.col("is_log"), "none").when(
-            F.col("n").isNotNull() & (F.size("slugs") == 1), "high").otherwise("medium"))
-    )
+    found = with_slugs(t, messages).withColumn("n", parsing.parse_numbers(text))
+    return found.withColumn("is_log", parsing.is_workout_log(text, F.size("slugs") > 0, F.col("n").isNotNull()))
+
+
+def _record() -> list:
+    """Columns of the log record of a parsed message."""
+    high = F.col("n").isNotNull() & (F.size("slugs") == 1)
+    return [
+        F.get("slugs", F.lit(0)).alias("slug"),
+        F.coalesce("n.weight_kg", F.lit(0.0)).alias("weight_kg"),
+        F.coalesce("n.reps", F.lit(0)).alias("reps"),
+        F.coalesce("n.sets", F.lit(0)).alias("sets"),
+        parsing.parse_date(F.trim("text"), F.col("msg_date")).alias("workout_date"),
+        F.when(high, "high").otherwise("medium").alias("confidence"),
+    ]
 
 
 def classify_messages(t, messages: DataFrame) -> DataFrame:
@@ -98,14 +112,13 @@ def classify_messages(t, messages: DataFrame) -> DataFrame:
 
 
 def parsed_log(t, messages: DataFrame) -> DataFrame:
-    """Log record per message that reports a workout."""
-    zero = F.lit(0)
-    return _parsed(t, messages).where("is_log").select(
-        "msg_id", "user_id", F.get("slugs", 0).alias("slug"),
-        F.coalesce("n.weight_kg", F.lit(0.0)).alias("weight_kg"),
-        F.coalesce("n.reps", zero).alias("reps"), F.coalesce("n.sets", zero).alias("sets"),
-        "workout_date", "confidence",
-    )
+    """Log record per message that reports a workout.
+
+    Expanding an array of zero or one records, rather than filtering, keeps the
+    text matching from being pushed down and done a second time.
+    """
+    record = F.when(F.col("is_log"), F.array(F.struct(*_record())))
+    return _parsed(t, messages).select("msg_id", "user_id", F.inline(record))
 
 
 def _names(t) -> DataFrame:
@@ -155,10 +168,7 @@ def route_messages(t, messages: DataFrame) -> DataFrame:
 
     Only a high-confidence log is saved, and only if it passes validation.
     """
-    parsed = _parsed(t, messages).select(
-        "msg_id", "confidence", F.get("slugs", 0).alias("slug"), "workout_date",
-        F.coalesce("n.weight_kg", F.lit(0.0)).alias("weight_kg"),
-        F.coalesce("n.reps", F.lit(0)).alias("reps"), F.coalesce("n.sets", F.lit(0)).alias("sets_count"))
+    parsed = _parsed(t, messages).select("msg_id", "is_log", *_record())
     known = t["exercises"].select(
         F.col("slug").alias("known_slug"), rules.is_bodyweight(F.col("equipment")).alias("bodyweight"))
     rows = (
@@ -167,18 +177,18 @@ def route_messages(t, messages: DataFrame) -> DataFrame:
         .join(_names(t).withColumnRenamed("slug", "name_slug"), F.col("slug") == F.col("name_slug"), "left")
     )
     can_save = (
-        (F.col("reps") > 0) & (F.col("sets_count") > 0) & F.col("slug_ok").isNotNull()
+        (F.col("reps") > 0) & (F.col("sets") > 0) & F.col("slug_ok").isNotNull()
         & ((F.col("weight_kg") > 0) | ((F.col("weight_kg") == 0) & F.col("bodyweight")))
     )
     outcome = (
-        F.when(F.col("confidence") == "none", "pass_through")
+        F.when(~F.col("is_log"), "pass_through")
         .when(F.col("confidence") == "medium", "clarify")
         .when(can_save, "saved").otherwise("save_failed")
     )
-    summary = _summary(F.coalesce("name", "slug"), F.col("weight_kg"), F.col("reps"), F.col("sets_count"),
+    summary = _summary(F.coalesce("name", "slug"), F.col("weight_kg"), F.col("reps"), F.col("sets"),
                        F.col("workout_date"), F.col("confidence"))
     return rows.select("msg_id", outcome.alias("outcome"),
-                       F.when(F.col("confidence") != "none", summary).alias("summary"))
+                       F.when(F.col("is_log"), summary).alias("summary"))
 
 
 def structured_log(t, entries: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from liftlake.functions import rules
 from liftlake.operators.common import for_users
 from liftlake.operators.history import exercise_progress, focus_counts, history_window
-from liftlake.operators.messages import with_slugs
+from liftlake.operators.messages import each_slug
 
 # --- Fixed values: report texts ---------------------------------------------
 ALIASES_SHOWN = 6
@@ -217,18 +217,18 @@ def profile_snapshot(t, users=None) -> DataFrame:
 def matched_lines(t, messages: DataFrame) -> DataFrame:
     """What the message names, as lines for the reader; messages naming nothing give no row."""
     names = t["catalog_source"].select("slug", "canonical")
-    found = with_slugs(t, messages).select("msg_id", F.posexplode("slugs").alias("pos", "slug")).join(names, "slug")
+    found = each_slug(t, messages).join(names, "slug")
     line = F.concat(F.lit("- User likely means: **"), F.col("canonical"), F.lit("** (slug: `"), F.col("slug"), F.lit("`)"))
     return found.groupBy("msg_id").agg(
-        F.concat(F.lit(MATCH_HEADER + "\n"), _lines(F.col("pos"), line=line), F.lit("\n\n" + MATCH_FOOTER)).alias("text"))
+        F.concat(F.lit(MATCH_HEADER + "\n"), _lines(F.col("position"), line=line), F.lit("\n\n" + MATCH_FOOTER)).alias("text"))
 
 
 def focused_progression(t, messages: DataFrame) -> DataFrame:
     """History of the exercises named in a message; no row without any history."""
-    found = with_slugs(t, messages).select("msg_id", "user_id", F.posexplode("slugs").alias("pos", "slug"))
+    found = each_slug(t, messages, "user_id")
     blocks = key_lift_progression(t).select("user_id", "slug", "block")
     return found.join(blocks, ["user_id", "slug"]).groupBy("msg_id").agg(
-        _section(FOCUSED_HEADER, _lines(F.col("pos"), line=F.col("block"))).alias("text"))
+        _section(FOCUSED_HEADER, _lines(F.col("position"), line=F.col("block"))).alias("text"))
 
 
 def message_context(t, messages: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def allowed_catalog(t, users=None) -> DataFrame:
     Bans are free text and go through the alias matching of chat messages.
     """
     bans = active_bans(t, users).select("user_id", F.col("ban_id").alias("msg_id"), F.col("exercise_name").alias("text"))
-    banned = with_slugs(t, bans).select("user_id", F.explode("slugs").alias("slug")).distinct()
+    banned = each_slug(t, bans, "user_id").select("user_id", "slug").distinct()
     requests = for_users(t["profile"], users).select(
         "user_id", F.explode(rules.string_array(rules.MUSCLE_ORDER)).alias("muscle_group"))
     return (
