@@ -122,14 +122,17 @@ def occurrences(text: Column, needle: Column) -> Column:
 def resolve_slugs(text: Column, aliases: Column) -> Column:
     """Distinct slugs named in a text, in the order their spans are accepted.
 
-    ``aliases`` is an array of (alias, slug, size) sorted longest first. A span is
-    accepted when it overlaps no span accepted before it.
+    ``aliases`` is an array of (prefix, entries); an entry holds alias, slug and
+    size and sorts longest first. A span is accepted when it overlaps no span
+    accepted before it.
     """
     return let(F.trim(normalized(text)), lambda norm: _slugs_in(norm, aliases))
 
 
 def _slugs_in(norm: Column, aliases: Column) -> Column:
-    present = F.filter(aliases, lambda a: F.contains(norm, a["alias"]))
+    begun = F.filter(aliases, lambda g: F.contains(norm, g["prefix"]))
+    present = F.array_sort(F.flatten(F.transform(
+        begun, lambda g: F.filter(g["entries"], lambda a: F.contains(norm, a["alias"])))))
     spans = F.flatten(F.transform(present, lambda a: F.transform(
         occurrences(norm, a["alias"]),
         lambda at: F.struct(at.alias("lo"), (at + a["size"]).alias("hi"), a["slug"].alias("slug")),

@@ -24,8 +24,13 @@ def log_join(t, users=None, columns=("workout_date",)) -> DataFrame:
 
 
 def set_order():
-    """First set of an exercise: lowest set number, then lightest, then fewest reps."""
-    return F.struct("set_number", "weight_kg", "reps")
+    """First set of an exercise: lowest set number, then lightest, then fewest reps.
+
+    One long (set number, weight in hundredths, reps) instead of a struct keeps
+    the aggregation hash-based; weights stay below 10,000 kg and reps below 10,000.
+    """
+    hundredths = (F.col("weight_kg") * 100).cast("bigint")
+    return (F.col("set_number").cast("bigint") * 1_000_000 + hundredths) * 10_000 + F.col("reps")
 
 
 def exercise_logs(t, users=None) -> DataFrame:
@@ -35,7 +40,8 @@ def exercise_logs(t, users=None) -> DataFrame:
     exercise of a workout, and a crowded workout is combined on the map side.
     """
     per_exercise = t["workout_sets"].groupBy("workout_id", "exercise_id").agg(
-        F.min_by(F.struct("weight_kg", "reps"), set_order()).alias("first_set"),
+        F.min_by("weight_kg", set_order()).alias("first_weight"),
+        F.min_by("reps", set_order()).alias("first_reps"),
         F.min("weight_kg").alias("min_weight"),
         F.min("reps").alias("min_reps"),
         F.count(F.lit(1)).alias("sets_count"),

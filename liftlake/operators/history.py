@@ -55,13 +55,13 @@ def exercise_progress(t, users=None, slug=None) -> DataFrame:
     day = ["user_id", "exercise_id", "workout_date"]
     per_weight = _sets_of(t, users, slug).groupBy(*day, "weight_kg").agg(
         F.max("reps").alias("reps"), F.count(F.lit(1)).alias("n"))
-    top = per_weight.groupBy(*day).agg(F.max(F.struct("weight_kg", "reps", "n")).alias("top"))
-    return _with_slug(top, t).select(
-        "user_id", "slug", "workout_date",
-        F.col("top.weight_kg").cast("double").alias("max_weight"),
-        F.col("top.reps").alias("reps"),
-        F.col("top.n").alias("sets_count"),
+    top = per_weight.groupBy(*day).agg(
+        F.max("weight_kg").alias("max_weight"),
+        F.max_by("reps", "weight_kg").alias("reps"),
+        F.max_by("n", "weight_kg").alias("sets_count"),
     )
+    return _with_slug(top, t).select(
+        "user_id", "slug", "workout_date", F.col("max_weight").cast("double").alias("max_weight"), "reps", "sets_count")
 
 
 def exercise_tonnage(t, users=None, slug=None) -> DataFrame:

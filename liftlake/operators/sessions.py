@@ -33,15 +33,15 @@ def last_exercise_log(t, users=None, slug=None, cap: int | None = None) -> DataF
         )
         logs = logs.join(recent.select("workout_id"), "workout_id", "left_semi")
     last = logs.groupBy("user_id", "exercise_id").agg(
-        F.max_by(F.struct("workout_date", "first_set", "sets_count"), newest()).alias("last"))
+        F.max_by(F.struct("workout_date", "first_weight", "first_reps", "sets_count"), newest()).alias("last"))
     e = _catalog(t)
     if slug is not None:
         e = e.where(F.col("slug") == slug)
     return last.join(e, "exercise_id").select(
         "user_id", "slug",
         F.col("last.workout_date").alias("workout_date"),
-        F.col("last.first_set.weight_kg").cast("double").alias("weight_kg"),
-        F.col("last.first_set.reps").alias("reps"),
+        F.col("last.first_weight").cast("double").alias("weight_kg"),
+        F.col("last.first_reps").alias("reps"),
         F.col("last.sets_count").alias("sets_count"),
     )
 
@@ -80,7 +80,7 @@ def last_workout_summary(t, users=None) -> DataFrame:
     """
     # Per exercise, the log of its own last date; only rows on the user's last date stay.
     last = exercise_logs(t, users).groupBy("user_id", "exercise_id").agg(
-        F.max_by(F.struct("workout_date", "first_set", "sets_count"), newest()).alias("last"))
+        F.max_by(F.struct("workout_date", "first_weight", "first_reps", "sets_count"), newest()).alias("last"))
     last_date = last.groupBy("user_id").agg(F.max("last.workout_date").alias("workout_date"))
     focus = F.trim("split_focus")
     named = (
@@ -96,8 +96,8 @@ def last_workout_summary(t, users=None) -> DataFrame:
         .join(_catalog(t), "exercise_id")
         .select(
             "user_id", "workout_date", "split_focus", "slug", "name", "muscle_group",
-            F.col("last.first_set.weight_kg").cast("double").alias("weight_kg"),
-            F.col("last.first_set.reps").alias("reps"),
+            F.col("last.first_weight").cast("double").alias("weight_kg"),
+            F.col("last.first_reps").alias("reps"),
             F.col("last.sets_count").alias("sets_count"),
         )
     )

@@ -21,6 +21,9 @@ IN_PROGRESS = "In progress"
 FOCUS_VARIANTS = {"Chest + Biceps": ["Chest"], "Back + Triceps": ["Back"]}
 # ----------------------------------------------------------------------------
 
+# A day is replayed within one row up to this many events, beyond it round by round.
+MAX_FOLDED_EVENTS = 256
+
 _DAY = ["user_id", "workout_date"]
 _WORKOUT = "struct<focus:string,key:string>"
 
@@ -67,7 +70,7 @@ def _visible_workouts(existing: DataFrame) -> DataFrame:
 
 
 def attach_workouts(t, events: DataFrame, rule: str = "app", existing: DataFrame | None = None,
-                    as_of=None) -> DataFrame:
+                    as_of=None, fold_limit: int = MAX_FOLDED_EVENTS) -> DataFrame:
     """Workout each accepted event is written to.
 
     In time order an event joins the newest of the few newest workouts of its
@@ -77,8 +80,9 @@ def attach_workouts(t, events: DataFrame, rule: str = "app", existing: DataFrame
     While the number of visible workouts cannot exceed the candidate limit, the
     outcome follows from one aggregate per (user, date): from the first event
     that creates a 'Logged' workout on, everything joins that one; before it,
-    each focus has its own workout. Days where the limit can bind are replayed
-    creation by creation, each step one aggregation over all such days at once.
+    each focus has its own workout. Days where the limit can bind are replayed:
+    those of up to ``fold_limit`` events within a row each, larger ones creation
+    by creation, each step one aggregation over all such days at once.
     """
     base = accepted_events(t, events, rule)
     no_key = F.lit(None).cast("string")
@@ -99,6 +103,8 @@ def attach_workouts(t, events: DataFrame, rule: str = "app", existing: DataFrame
             "n_old": F.coalesce(F.size("visible"), F.lit(0)),
             "open_key": F.when(open_now & F.col("old_key").isNull(), newest["key"]),
         }).drop("visible", "newest_at")
+    if existing is not None or rule != "app":
+        base = cut_lineage(base)  # read again by every branch below
 
     # Events continuing a workout in progress precede every creation of their day.
     creates = F.col("old_key").isNull() & F.col("open_key").isNull()
@@ -106,6 +112,7 @@ def attach_workouts(t, events: DataFrame, rule: str = "app", existing: DataFrame
         F.min(F.when(creates & (F.col("event_focus") == rules.FOCUS_UNKNOWN), F.col("at"))).alias("t0"),
         (F.max("n_old") + F.size(F.collect_set(F.when(creates, F.col("event_focus"))))  # at most one per focus
          > CANDIDATE_WORKOUTS).alias("binds"),
+        F.count(F.lit(1)).alias("n_events"),
     )
     placed = base.join(days, _DAY)
     unknown = F.lit(rules.FOCUS_UNKNOWN)
@@ -115,15 +122,63 @@ def attach_workouts(t, events: DataFrame, rule: str = "app", existing: DataFrame
         .when(F.col("at") >= F.col("t0"), _new_key(unknown))
         .otherwise(F.coalesce("old_key", _new_key(F.col("event_focus")))),
     )
-    if visible is None and rule == "app":  # four foci at most: the limit never binds
+    if existing is None and rule == "app":  # four foci at most: the limit never binds
         return _placed_columns(closed)
-    replayed = _replay(placed.where("binds and open_key is null"), visible, rule)
-    return reduce(DataFrame.unionByName, [_placed_columns(df) for df in (closed, *replayed)])
+    binding = placed.where("binds and open_key is null")
+    parts = [closed, _fold_days(binding.where(F.col("n_events") <= fold_limit), visible, rule)]
+    if not days.where(F.col("binds") & (F.col("n_events") > fold_limit)).isEmpty():
+        parts += _replay(binding.where(F.col("n_events") > fold_limit), visible, rule)
+    return reduce(DataFrame.unionByName, [_placed_columns(df) for df in parts])
+
+
+_PLACED = ["event_id", "user_id", "ts", "workout_date", "exercise_id", "slug", "weight_kg", "reps", "sets_count",
+           "event_focus"]
 
 
 def _placed_columns(df: DataFrame) -> DataFrame:
-    return df.select("event_id", "user_id", "ts", "workout_date", "exercise_id", "slug", "weight_kg", "reps",
-                     "sets_count", "event_focus", "workout_key")
+    return df.select(*_PLACED, "workout_key")
+
+
+def _with_visible(days: DataFrame, visible: DataFrame | None) -> DataFrame:
+    """Days with the workouts an event may attach to at the start, none without a stored log."""
+    empty = F.array().cast(f"array<{_WORKOUT}>")
+    if visible is None:
+        return days.withColumn("visible", empty)
+    return days.join(visible.select(*_DAY, "visible"), _DAY, "left").withColumn(
+        "visible", F.coalesce("visible", empty))
+
+
+def _created_key(focus: Column, created: Column, event_id: Column) -> Column:
+    """Key of a new workout; a focus created again on the same day needs one of its own."""
+    return F.concat_ws("|", _new_key(focus), F.when(F.array_contains(created, focus), event_id.cast("string")))
+
+
+def _fold_days(events: DataFrame, visible: DataFrame | None, rule: str) -> DataFrame:
+    """Replay each day within one row: its events in time order and the workouts seen so far."""
+    columns = [c for c in _PLACED if c not in _DAY]
+    daily = events.groupBy(*_DAY).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("at").alias("order"), *columns))).alias("events"))
+    daily = _with_visible(daily, visible)
+    start = F.struct(
+        F.col("visible").alias("visible"), F.array().cast("array<string>").alias("created"),
+        F.array().cast("array<string>").alias("keys"))
+
+    def attach(state: Column, e: Column) -> Column:
+        hit = _match(state["visible"], e["event_focus"], rule)
+        key = _created_key(e["event_focus"], state["created"], e["event_id"])
+        new = F.struct(e["event_focus"].alias("focus"), key.alias("key"))
+        return F.when(hit.isNotNull(), F.struct(
+            state["visible"].alias("visible"), state["created"].alias("created"),
+            F.array_append(state["keys"], hit).alias("keys"),
+        )).otherwise(F.struct(
+            F.slice(F.concat(F.array(new), state["visible"]), 1, CANDIDATE_WORKOUTS).alias("visible"),
+            F.array_append(state["created"], e["event_focus"]).alias("created"),
+            F.array_append(state["keys"], key).alias("keys"),
+        ))
+
+    keys = F.aggregate("events", start, attach)["keys"]
+    return daily.select(*_DAY, F.inline(F.arrays_zip(F.col("events").alias("e"), keys.alias("k")))).select(
+        *_DAY, *[F.col(f"e.{c}").alias(c) for c in columns], F.col("k").alias("workout_key"))
 
 
 def _replay(events: DataFrame, visible: DataFrame | None, rule: str) -> list[DataFrame]:
@@ -134,28 +189,17 @@ def _replay(events: DataFrame, visible: DataFrame | None, rule: str) -> list[Dat
     the chat rule needs one round more for every workout that falls out of sight
     and is created again.
     """
-    keep = ["event_id", "user_id", "ts", "workout_date", "exercise_id", "slug", "weight_kg", "reps",
-            "sets_count", "event_focus", "at"]
+    keep = [*_PLACED, "at"]
     remaining = cut_lineage(events.select(*keep))
-    if remaining.isEmpty():
-        return []
-    state = remaining.select(*_DAY).distinct()
-    empty = F.array().cast(f"array<{_WORKOUT}>")
-    if visible is None:
-        state = state.withColumn("visible", empty)
-    else:
-        state = state.join(visible.select(*_DAY, "visible"), _DAY, "left").withColumn(
-            "visible", F.coalesce("visible", empty))
-    state = state.withColumn("created", F.array().cast("array<string>"))
+    state = _with_visible(remaining.select(*_DAY).distinct(), visible).withColumn(
+        "created", F.array().cast("array<string>"))
     placed = []
     while True:
         current = remaining.join(state, _DAY).withColumn(
             "workout_key", _match(F.col("visible"), F.col("event_focus"), rule))
         creation = current.where("workout_key is null").groupBy(*_DAY).agg(
             F.min(F.struct("at", "event_focus")).alias("c"))
-        # A focus created again on the same day needs a key of its own.
-        again = F.when(F.array_contains("created", F.col("c.event_focus")), F.col("c.at.event_id").cast("string"))
-        key = F.concat_ws("|", _new_key(F.col("c.event_focus")), again)
+        key = _created_key(F.col("c.event_focus"), F.col("created"), F.col("c.at.event_id"))
         state = cut_lineage(
             state.join(creation, _DAY).select(
                 *_DAY, F.col("c.at").alias("since"),

@@ -50,23 +50,24 @@ def alias_entries(catalog: DataFrame) -> DataFrame:
 
 
 def alias_array(t, limit: int = MAX_LITERAL_ALIASES) -> Column | None:
-    """Alias array sorted longest first as a scalar subquery, or None beyond ``limit`` aliases.
+    """Aliases grouped by a common beginning as a scalar subquery, or None beyond ``limit`` aliases.
 
-    The array is computed once per query and travels with the tasks, so its size is checked first.
+    Each group is (prefix, entries); an entry orders longest first, then by catalog.
+    The array is computed once per query and travels with the tasks, so its size
+    is checked first.
     """
     table = alias_table(t["catalog_source"])
-    size = getattr(t, "_alias_count", None)
-    if size is None:
-        size = table.limit(limit + 1).count()
+    stats = getattr(t, "_alias_stats", None)
+    if stats is None:
+        stats = table.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("shortest")).first()
         if hasattr(t, "spark"):
-            t._alias_count = size
-    if size > limit:
+            t._alias_stats = stats
+    if stats["n"] > limit:
         return None
-    entry = F.struct((-F.col("size")).alias("k"), "ord", "pos", "alias", "slug", "size")
-    return table.agg(F.transform(
-        F.array_sort(F.collect_list(entry)),
-        lambda a: F.struct(a["alias"].alias("alias"), a["slug"].alias("slug"), a["size"].alias("size")),
-    ).alias("aliases")).scalar()
+    entry = F.struct((-F.col("size")).alias("neg_size"), "ord", "pos", "alias", "slug", "size")
+    groups = table.groupBy(F.substring("alias", 1, stats["shortest"] or 1).alias("prefix")).agg(
+        F.collect_list(entry).alias("entries"))
+    return groups.agg(F.collect_list(F.struct("prefix", "entries"))).scalar()
 
 
 def catalog_by_muscle(t, muscle=None) -> DataFrame:

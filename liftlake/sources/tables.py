@@ -276,17 +276,17 @@ def catalog_source(t: Tables) -> DataFrame:
 
 def messages(t: Tables) -> DataFrame:
     """Chat messages: the first set of each (workout, exercise), worded by template."""
-    first = F.struct("weight_kg", "reps")
+    order = (F.col("set_number").cast("bigint") * 1_000_000 + (F.col("weight_kg") * 100).cast("bigint")) * 10_000 + F.col("reps")
     logged = (
         t["workout_sets"]
         .groupBy("workout_id", "exercise_id")
-        .agg(F.min_by(first, F.struct("set_number", "weight_kg", "reps")).alias("s"))
+        .agg(F.min_by("weight_kg", order).alias("weight_kg"), F.min_by("reps", order).alias("reps"))
         .join(t["workouts"].select("workout_id", "user_id", F.col("workout_date").alias("msg_date")), "workout_id")
     )
     alias = spoken_alias(F.col("exercise_id"))
     other = spoken_alias((F.col("exercise_id") + 1) % CATALOG_SIZE)
-    w = F.regexp_replace(F.col("s.weight_kg").cast("string"), r"\.?0+$", "")
-    r = F.col("s.reps").cast("string")
+    w = F.regexp_replace(F.col("weight_kg").cast("string"), r"\.?0+$", "")
+    r = F.col("reps").cast("string")
     s = (F.col("workout_id") % 4 + 1).cast("string")
     template = F.col("workout_id") % 8
     text = (
