@@ -46,22 +46,31 @@ def _sets_of(t, users, slug) -> DataFrame:
     return sets
 
 
-def exercise_progress(t, users=None, slug=None) -> DataFrame:
-    """Top set per (user, exercise, date): max weight, most reps at it, number of such sets.
+def session_points(t, users=None, slug=None) -> DataFrame:
+    """Chart points per (user, exercise, date): top set and tonnage from one pass over the sets.
 
     Two aggregations with map-side combine replace the join of the sets to their
     own maximum; the second sees one row per weight.
     """
     day = ["user_id", "exercise_id", "workout_date"]
     per_weight = _sets_of(t, users, slug).groupBy(*day, "weight_kg").agg(
-        F.max("reps").alias("reps"), F.count(F.lit(1)).alias("n"))
-    top = per_weight.groupBy(*day).agg(
+        F.max("reps").alias("reps"), F.count(F.lit(1)).alias("n"), F.sum("reps").alias("all_reps"))
+    points = per_weight.groupBy(*day).agg(
         F.max("weight_kg").alias("max_weight"),
         F.max_by("reps", "weight_kg").alias("reps"),
         F.max_by("n", "weight_kg").alias("sets_count"),
+        F.sum(F.col("weight_kg") * F.col("all_reps")).alias("tonnage"),
+        F.sum("n").alias("all_sets"),
     )
-    return _with_slug(top, t).select(
-        "user_id", "slug", "workout_date", F.col("max_weight").cast("double").alias("max_weight"), "reps", "sets_count")
+    return _with_slug(points, t).select(
+        "user_id", "slug", "workout_date", F.col("max_weight").cast("double").alias("max_weight"), "reps",
+        "sets_count", F.col("tonnage").cast("double").alias("tonnage"), "all_sets")
+
+
+def exercise_progress(t, users=None, slug=None) -> DataFrame:
+    """Top set per (user, exercise, date): max weight, most reps at it, number of such sets."""
+    return session_points(t, users, slug).select(
+        "user_id", "slug", "workout_date", "max_weight", "reps", "sets_count")
 
 
 def exercise_tonnage(t, users=None, slug=None) -> DataFrame:
@@ -83,9 +92,7 @@ def tonnage_display(t, users=None) -> DataFrame:
 
 def exercise_records(t, users=None) -> DataFrame:
     """Per (user, exercise): earliest top-weight session, earliest top-tonnage session, latest session."""
-    progress = exercise_progress(t, users)
-    tonnage = exercise_tonnage(t, users).select("user_id", "slug", "workout_date", "tonnage")
-    points = progress.join(tonnage, ["user_id", "slug", "workout_date"])
+    points = session_points(t, users)
     earliest = -F.datediff("workout_date", F.lit("1970-01-01").cast("date"))
     point = F.struct("workout_date", "max_weight", "reps", "sets_count", "tonnage")
     best = points.groupBy("user_id", "slug").agg(
@@ -111,22 +118,22 @@ def recent_sessions(t, users=None, n: int = 8) -> DataFrame:
         exercise_progress(t, users).withColumn("position", F.row_number().over(w))
         .where(F.col("position") <= n)
     )
-    equipment = t["exercises"].select("slug", rules.is_bodyweight(F.col("equipment")).alias("bodyweight"))
-    return last.join(equipment, "slug").select(
+    return _with_kind(t, last).select(
         "user_id", "slug", "position", "workout_date", "max_weight", "reps", "sets_count",
         rules.session_point_label(
             F.col("bodyweight"), F.col("max_weight"), F.col("reps"), F.col("sets_count")).alias("label"),
     )
 
 
-def _reps_mode(t, users=None) -> DataFrame:
-    equipment = t["exercises"].select("slug", rules.is_bodyweight(F.col("equipment")).alias("bodyweight"))
-    return exercise_progress(t, users).join(equipment, "slug")
+def _with_kind(t, points: DataFrame) -> DataFrame:
+    """Points with the flag of bodyweight exercises."""
+    return points.join(
+        t["exercises"].select("slug", rules.is_bodyweight(F.col("equipment")).alias("bodyweight")), "slug")
 
 
 def all_zero_weight(t, users=None) -> DataFrame:
     """Does a bodyweight exercise chart reps because no session was loaded?"""
-    return _reps_mode(t, users).groupBy("user_id", "slug", "bodyweight").agg(
+    return _with_kind(t, exercise_progress(t, users)).groupBy("user_id", "slug", "bodyweight").agg(
         F.bool_and(F.col("max_weight") == 0).alias("all_zero")
     ).select("user_id", "slug", "bodyweight", "all_zero",
              (F.col("bodyweight") & F.col("all_zero")).alias("reps_mode"))
@@ -134,9 +141,7 @@ def all_zero_weight(t, users=None) -> DataFrame:
 
 def chart_domain(t, users=None) -> DataFrame:
     """Axis ranges per series: weight (or reps) widened by 2, tonnage by 5."""
-    points = _reps_mode(t, users).join(
-        exercise_tonnage(t, users).select("user_id", "slug", "workout_date", "tonnage"),
-        ["user_id", "slug", "workout_date"])
+    points = _with_kind(t, session_points(t, users))
     agg = points.groupBy("user_id", "slug", "bodyweight").agg(
         F.bool_and(F.col("max_weight") == 0).alias("all_zero"),
         F.min("max_weight").alias("w_lo"), F.max("max_weight").alias("w_hi"),
