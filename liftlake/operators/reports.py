@@ -214,13 +214,16 @@ def profile_snapshot(t, users=None) -> DataFrame:
                     _alias_text(t), "progression", "log").alias("document"))
 
 
+def _match_text(line_order: Column) -> Column:
+    line = F.concat(F.lit("- User likely means: **"), F.col("canonical"), F.lit("** (slug: `"), F.col("slug"), F.lit("`)"))
+    return F.concat(F.lit(MATCH_HEADER + "\n"), _lines(line_order, line=line), F.lit("\n\n" + MATCH_FOOTER))
+
+
 def matched_lines(t, messages: DataFrame) -> DataFrame:
     """What the message names, as lines for the reader; messages naming nothing give no row."""
     names = t["catalog_source"].select("slug", "canonical")
     found = each_slug(t, messages).join(names, "slug")
-    line = F.concat(F.lit("- User likely means: **"), F.col("canonical"), F.lit("** (slug: `"), F.col("slug"), F.lit("`)"))
-    return found.groupBy("msg_id").agg(
-        F.concat(F.lit(MATCH_HEADER + "\n"), _lines(F.col("position"), line=line), F.lit("\n\n" + MATCH_FOOTER)).alias("text"))
+    return found.groupBy("msg_id").agg(_match_text(F.col("position")).alias("text"))
 
 
 def focused_progression(t, messages: DataFrame) -> DataFrame:
@@ -236,12 +239,24 @@ def message_context(t, messages: DataFrame) -> DataFrame:
 
     The text stays as it is when nothing applies.
     """
-    matched = matched_lines(t, messages).withColumnRenamed("text", "matched")
-    focused = focused_progression(t, messages).withColumnRenamed("text", "focused")
+    # Matches and histories come from one pass over the texts.
+    blocks = key_lift_progression(t).select("user_id", "slug", "block")
+    named = (
+        each_slug(t, messages, "user_id")
+        .join(t["catalog_source"].select("slug", "canonical"), "slug")
+        .join(blocks, ["user_id", "slug"], "left")
+        .groupBy("msg_id")
+        .agg(
+            _match_text(F.col("position")).alias("matched"),
+            F.when(F.count("block") > 0, F.concat(F.lit(FOCUSED_HEADER + "\n"), F.array_join(F.filter(F.transform(
+                F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]),
+                lambda b: b.isNotNull()), "\n"))).alias("focused"),
+        )
+    )
     snapshot = profile_snapshot(t).select("user_id", "document")
     rows = (
         messages.select("msg_id", "user_id", "text")
-        .join(matched, "msg_id", "left").join(focused, "msg_id", "left").join(snapshot, "user_id", "left")
+        .join(named, "msg_id", "left").join(snapshot, "user_id", "left")
     )
     nothing = F.col("matched").isNull() & F.col("focused").isNull() & F.col("document").isNull()
     body = F.concat_ws("\n\n", "matched", "focused", "document")

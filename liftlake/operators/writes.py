@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from liftlake.functions import rules
 from liftlake.operators.common import for_users
 from liftlake.operators.messages import validate
-from liftlake.session import cut_lineage
+from liftlake.session import broadcast_if_small, cut_lineage
 
 # --- Fixed values -----------------------------------------------------------
 CANDIDATE_WORKOUTS = 5   # newest workouts of a day an event may attach to
@@ -195,7 +195,8 @@ def _replay(events: DataFrame, visible: DataFrame | None, rule: str) -> list[Dat
         "created", F.array().cast("array<string>"))
     placed = []
     while True:
-        current = remaining.join(state, _DAY).withColumn(
+        # One row per open day; broadcast after a count, so a hot day is not pulled into one task.
+        current = remaining.join(broadcast_if_small(state), _DAY).withColumn(
             "workout_key", _match(F.col("visible"), F.col("event_focus"), rule))
         creation = current.where("workout_key is null").groupBy(*_DAY).agg(
             F.min(F.struct("at", "event_focus")).alias("c"))
@@ -207,7 +208,8 @@ def _replay(events: DataFrame, visible: DataFrame | None, rule: str) -> list[Dat
                     F.col("c.event_focus").alias("focus"), key.alias("key"))), 1, CANDIDATE_WORKOUTS).alias("visible"),
                 F.array_union("created", F.array("c.event_focus")).alias("created"),
             ))
-        split = current.select(*keep, "workout_key").join(state.select(*_DAY, "since"), _DAY, "left")
+        split = current.select(*keep, "workout_key").join(
+            broadcast_if_small(state.select(*_DAY, "since")), _DAY, "left")
         placed.append(split.where("since is null or at < since"))
         if state.isEmpty():
             return placed
