@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.llm import decontam, neardup
-from liftlake.llm.util import table
+from liftlake.llm import decontam, langid, neardup, packing, pii
+from liftlake.llm.util import fold, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,25 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "contaminated")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(langid.learned_from(docs)))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the patterns' spans, and all spans."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.joined("base_spans"), 256).alias("base_sha256"),
+                        pii.joined("spans").alias("spans"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -55,7 +74,7 @@ FROM c LEFT JOIN n USING (doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op6_pii, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
