@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.llm import decontam, langid, neardup, packing, pii
+from liftlake.llm import decontam, fertility, langid, linededup, lm, neardup, packing, pii, quality_fm, warc
 from liftlake.llm.util import fold, table
 
 
@@ -23,6 +23,26 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated units of every document, where they stood, and the documents whose occurrence stays."""
+    found = linededup.deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return found.select("doc_id", "n_removed", removed.alias("removed"), F.length("clean_text").cast("bigint").alias("clean_chars"),
+                        F.sha2("clean_text", 256).alias("clean_sha256"), "sources")
+
+
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derive(table(spark, sf_dir, "pages"))
+
+
+def op5_kneser_ney_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, lm.train(lm.learned_from(docs)))
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the patterns' spans, and all spans."""
     found = pii.detect(table(spark, sf_dir, "documents"))
@@ -30,6 +50,20 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.joined("spans").alias("spans"))
 
 
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    machine = quality_fm.fit(docs, quality_fm.learned_from(table(spark, sf_dir, "labels")))
+    return quality_fm.score(docs, machine).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokeniser measures and verdict of every document."""
+    judged = fertility.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "n_tokens", "script", *fertility.MEASURES)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -74,7 +108,9 @@ FROM c LEFT JOIN n USING (doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op6_pii, op9_best_fit_packing, op10_minhash_near_dedup)}
+    ops = (op1_decontamination, op2_language_id, op3_substring_dedup, op4_warc_derivatives, op5_kneser_ney_lm, op6_pii, op7_quality_fm,
+           op8_fertility_rules, op9_best_fit_packing, op10_minhash_near_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
