@@ -3,7 +3,8 @@
 Characters per token and the entropy of the tokens come from a byte-level BPE, the
 share of byte-fallback tokens from a sentence-piece BPE. Bands of accepted values
 are set per language (script where the language is null or rare) from the
-quartiles of the whole corpus, wide enough that only outliers fall outside.
+quartiles of the whole corpus, wide enough that only outliers fall outside. A text
+whose language and script are both rare has no band and is not judged by one.
 """
 
 from __future__ import annotations
@@ -19,8 +20,15 @@ from liftlake.llm import bpe, textnum
 from liftlake.llm.util import saved
 
 MIN_WORDS = 50
-# A band reaches this many interquartile ranges beyond the quartiles; a range counts at least this share of its median.
-REACH, LEAST_SPREAD = 4.0, 0.05
+# A band reaches so many interquartile ranges beyond a quartile; a range counts at least this share of its median.
+REACH = {"chars_per_token": 2.0, "entropy": 3.0, "fallback_share": 3.0}
+LEAST_SPREAD = 0.03
+# Short texts vary more: a band widens downwards by sqrt(1 + SHORT_TOKENS / tokens).
+SHORT_TOKENS = 400
+# Above: so many times the upper quartile of characters per token, and this share of fallback tokens at least.
+LONG_TOKENS, LEAST_FALLBACK = 3.0, 0.1
+# Entropy is measured against the most that this many tokens can have, so long texts compare with short ones.
+ENTROPY_TOKENS = 1000
 # Documents a group needs to have bands of its own.
 MIN_GROUP = 200
 
@@ -94,12 +102,12 @@ def _repeated_words(hashes: np.ndarray) -> int:
 
 
 def _entropy(ids: np.ndarray) -> float:
-    """Entropy of the token distribution as a share of the most that so many tokens can have."""
+    """Entropy of the token distribution, against the most that the tokens, or ENTROPY_TOKENS of them, can have."""
     if len(ids) < 2:
         return 0.0
     _, n = np.unique(ids, return_counts=True)
     p = n / len(ids)
-    return float(-(p * np.log(p)).sum() / np.log(len(ids)))
+    return float(-(p * np.log(p)).sum() / np.log(min(len(ids), ENTROPY_TOKENS)))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, files: tuple[str, str], piece_file: str) -> DataFrame:
@@ -139,19 +147,23 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None,
                                   "n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
-def bands(table: DataFrame, group: str | None) -> DataFrame:
-    """Per group: how many documents, and lowest and highest accepted value of each measure."""
-    sums = [F.count(F.lit(1)).alias("n"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES)]
-    grouped = (table.groupBy(group) if group else table.groupBy()).agg(*sums)
+def bands(table: DataFrame, group: str, least: int) -> DataFrame:
+    """Per group of at least ``least`` documents: its key and the band of each measure, from low - reach (for a long text) to high."""
+    sums = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
+    grouped = table.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= least)
 
-    def edge(m, sign):
+    def reach(m):
         q = F.col(m)
-        spread = F.greatest(q[2] - q[0], LEAST_SPREAD * q[1], F.lit(0.01))
-        return (q[0] - REACH * spread) if sign < 0 else (q[2] + REACH * spread)
+        return REACH[m] * F.greatest(q[2] - q[0], LEAST_SPREAD * q[1])
 
-    # The least entropy and the least characters a token matter, and the most fallback; a token too long is no fault of short words.
-    return grouped.select(*([F.col(group).alias(f"{group}_key")] if group else []), "n",
-                          *(F.struct(edge(m, -1).alias("low"), edge(m, 1).alias("high")).alias(m) for m in MEASURES))
+    chars, entropy, fallback = (F.col(m) for m in ("chars_per_token", "entropy", "fallback_share"))
+    edges = {
+        "chars_per_token": (chars[0], reach("chars_per_token"), LONG_TOKENS * chars[2]),
+        "entropy": (entropy[0], reach("entropy"), F.lit(float("inf"))),
+        "fallback_share": (F.lit(0.0), F.lit(0.0), F.greatest(F.lit(LEAST_FALLBACK), fallback[2] + reach("fallback_share"))),
+    }
+    return grouped.select(F.col(group).alias("key"), F.create_map(*[x for m in MEASURES for x in (
+        F.lit(m), F.struct(edges[m][0].alias("low"), edges[m][1].alias("reach"), edges[m][2].alias("high")))]).alias("band"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", min_words: int = MIN_WORDS,
@@ -160,8 +172,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Base: too few words, or more than half of them in repeated 3-word windows. A
     document that passes is kept if each measure lies in the band of its language,
-    if that has ``MIN_GROUP`` documents, else of its script, else of all documents.
-    ``given`` sets bands for all by measure instead. Null text counts as empty and
+    if that has ``MIN_GROUP`` sound documents, else of its script; without either it
+    is kept. ``given`` sets bands for all by measure instead. Null text counts as empty and
     fails; a null language takes the script's bands; equal rows are judged alike;
     an empty table gives an empty result; other columns are not read.
     """
@@ -174,14 +186,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for m, (low, high) in given.items():
             inside = inside & F.col(m).between(low, high)
         return table.withColumn("kept", ~F.col("base_failed") & inside)
-    sound = saved(table.where("not base_failed"), "fertility")
-    own = bands(sound.where("lang is not null"), "lang").where(f"n >= {MIN_GROUP}").withColumnsRenamed({m: f"l_{m}" for m in MEASURES}).drop("n")
-    script = bands(sound, "script").where(f"n >= {MIN_GROUP}").withColumnsRenamed({m: f"s_{m}" for m in MEASURES}).drop("n")
-    every = bands(sound, None).first()  # one row
-    out = table.join(script, F.col("script") == F.col("script_key"), "left").join(own, F.col("lang") == F.col("lang_key"), "left")
-    inside = F.lit(True)
+    sound = table.where("not base_failed")
+    own = bands(sound, "lang", MIN_GROUP).withColumnsRenamed({"key": "lang_key", "band": "lang_band"})
+    script = bands(sound, "script", MIN_GROUP).withColumnsRenamed({"key": "script_key", "band": "script_band"})
+    out = table.join(script, F.col("script") == F.col("script_key"), "left").join(own, F.col("lang") == F.col("lang_key"), "left") \
+        .withColumn("band", F.coalesce("lang_band", "script_band"))
+    stretch = F.sqrt(1 + SHORT_TOKENS / F.greatest("n_tokens", F.lit(1)))
+    inside = F.col("band").isNull()
+    held = F.lit(True)
     for m in MEASURES:
-        fallback = F.struct(*(F.lit(float(every[m][e]) if every["n"] else None).cast("double").alias(e) for e in ("low", "high")))
-        band = F.coalesce(f"l_{m}", f"s_{m}", fallback)
-        inside = inside & F.coalesce(F.col(m).between(band["low"], band["high"]), F.lit(True))
-    return out.select(*table.columns, (~F.col("base_failed") & inside).alias("kept"))
+        band = F.col("band")[m]
+        held = held & F.col(m).between(band["low"] - band["reach"] * stretch, band["high"])
+    return out.select(*table.columns, (~F.col("base_failed") & (inside | held)).alias("kept"))

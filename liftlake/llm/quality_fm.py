@@ -112,10 +112,10 @@ class Machine:
 
     def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1,
             decay: float = 1e-4, seed: int = 5):
-        """Logistic loss, AdaGrad over shuffled batches."""
+        """Logistic loss with both labels of equal total weight, AdaGrad over shuffled batches."""
         rng = np.random.default_rng(seed)
         share = min(max(labels.mean(), 0.01), 0.99)
-        self.bias = float(np.log(share / (1 - share)))
+        weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
         gw, gv, gb = np.full(FEATURES, 1e-6), np.full(self.v.shape, 1e-6), 1e-6
         for _ in range(epochs):
             order = rng.permutation(len(texts))
@@ -126,7 +126,7 @@ class Machine:
                 sizes = np.array([len(texts[k][0]) for k in pick])
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
                 z, sums = self.raw(numbers, values, bounds)
-                err = (1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30))) - labels[pick]) / len(pick)
+                err = (1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30))) - labels[pick]) * weight[pick] / len(pick)
                 err_of = np.repeat(err, sizes)
                 d_w = np.bincount(numbers, weights=err_of * values, minlength=FEATURES)
                 d_v = (err_of * values)[:, None] * (np.repeat(sums, sizes, axis=0) - values[:, None] * self.v[numbers])
