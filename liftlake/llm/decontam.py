@@ -21,6 +21,7 @@ MAX_BROADCAST = 1_000_000
 
 # A word is a run of digits, a-z and characters beyond ASCII; these separate words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_WORD, ANY_CASE_SEPARATORS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -123,17 +124,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  words: int = WINDOW_WORDS, **options) -> DataFrame:
     """All documents with their hit words cut out of the text; the text between stays as it is.
 
-    Words are located in the original text, so case and separators around the
-    cut passages survive. Documents without hits are unchanged, null texts stay null.
+    What follows a cut word up to the next word goes with it; case and separators
+    elsewhere survive. Documents without hits are unchanged, null texts stay null.
     """
     columns = tuple(c for c in docs.columns if c != id_col)
     judged = contamination(docs, benchmark, id_col, text_col, words=words, keep=columns, **options)
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    hit = F.exists("spans", lambda s: (s["at"] <= F.col("i")) & (F.col("i") < s["at"] + s["size"]))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({word}|{SEPARATORS})"), F.lit(1))
-    first_is_word = F.col(text_col).rlike(f"^{word}").cast("int")
-    joined = F.array_join(F.transform(F.filter(
-        F.transform(pieces, lambda p, k: F.struct(p.alias("p"), (k + 1 - first_is_word).alias("k"))),
-        lambda x: (x["k"] % 2 == 0) | ~F.exists("spans", lambda s: (s["at"] * 2 <= x["k"] - 1) & (x["k"] - 1 < (s["at"] + s["size"]) * 2))),
-        lambda x: x["p"]), "")
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY_CASE_WORD}|{ANY_CASE_SEPARATORS})"), F.lit(1))
+    # Words and separators alternate: word j is piece 2j, what follows it 2j + 1, and a leading separator -1.
+    shift = F.col(text_col).rlike(f"^{ANY_CASE_WORD}").cast("int") - 1
+    numbered = F.transform(pieces, lambda p, k: F.struct(p.alias("p"), (k + shift).alias("k")))
+    rest = F.filter(numbered, lambda x: ~F.exists("spans", lambda s: (2 * s["at"] <= x["k"]) & (x["k"] < 2 * (s["at"] + s["size"]))))
+    joined = F.array_join(F.transform(rest, lambda x: x["p"]), "")
     return judged.withColumn(text_col, F.when(F.size("spans") > 0, joined).otherwise(F.col(text_col))).select(*docs.columns)
