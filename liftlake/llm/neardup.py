@@ -8,9 +8,9 @@ densification). Consecutive bins form bands and equal bands form buckets.
 Equal sets are one node from the start. In each bucket every member is compared
 with one centre only, the member that meets the most others over all buckets.
 Links are confirmed on the full sets and joined into components. Buckets whose
-members then still belong to several components go on: 1, 2, 4, ... further
-centres, compared only with members of other components, until each pair of
-such members has met. So a bucket of one big group costs one comparison per
+members then still belong to several components go on: the next 8, 64, 512, ...
+members are centres, compared only with members of other components, until each
+pair of such members has met. So a bucket of one big group costs one comparison per
 member, none is left out, and there is no cap on buckets.
 """
 
@@ -28,11 +28,13 @@ from liftlake.llm import textnum
 from liftlake.llm.util import saved
 
 SHINGLE_WORDS = 4
-BANDS = 25
-ROWS = 4
+BANDS = 32
+ROWS = 5
 MIN_PERCENT = 80
-# Ids of documents that share a bucket are broadcast up to this many (about 16 MB).
-MAX_BROADCAST_IDS = 2_000_000
+# Ids of documents that share a bucket, and their labels, are broadcast up to this many (about 16 bytes each).
+MAX_BROADCAST_IDS = 1_000_000
+# Small tables between rounds are written as one file per so many rows.
+ROWS_A_FILE = 500_000
 
 
 class OnePermutation:
@@ -128,24 +130,38 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each round sends the smallest label over the links and then jumps to the
     label's own label, so even a long chain takes a logarithmic number of rounds.
     """
-    both = saved(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct(), "links")
-    labels = saved(nodes.select("node", F.col("node").alias("component")), "labels")
+    count = nodes.count()
+    parts = 1 + count // ROWS_A_FILE
+    # Two numbers a row: broadcast up to the bound, shuffled beyond.
+    near_by = F.broadcast if count <= MAX_BROADCAST_IDS else (lambda df: df)
+    one_way = links.where("a <> b").select("a", "b")
+    both = saved(one_way.union(one_way.select("b", "a")).distinct(), "links", parts)
+    labels = saved(nodes.select("node", F.col("node").alias("component")), "labels", parts)
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        step = labels.join(near, "node", "left").select(
+        least = both.join(near_by(labels.select(F.col("node").alias("b"), "component")), "b") \
+            .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least")).coalesce(parts)
+        step = labels.join(near_by(least), "node", "left").select(
             "node", "component", F.least("component", F.coalesce("least", "component")).alias("lower"))
         # A node's old label hears of the smaller one, too: whole trees are hooked together.
-        hook = step.where("lower < component").groupBy(F.col("component").alias("node")).agg(F.min("lower").alias("hooked"))
-        lowered = step.join(hook, "node", "left").select(
-            "node", "component", F.least("lower", F.coalesce("hooked", "lower")).alias("lower"))
-        lowered = saved(lowered, "labels")
-        jump = lowered.select(F.col("node").alias("lower"), F.col("lower").alias("root"))
-        new = saved(lowered.join(jump, "lower", "left").select(
-            "node", "component", F.least("lower", F.coalesce("root", "lower")).alias("new")), "labels")
-        changed = new.where("new <> component").limit(1).count()
-        labels = new.select("node", F.col("new").alias("component"))
-        if not changed:
+        hook = step.where("lower < component").groupBy(F.col("component").alias("node")).agg(F.min("lower").alias("hooked")).coalesce(parts)
+        lowered = saved(step.join(near_by(hook), "node", "left").select(
+            "node", "component", F.least("lower", F.coalesce("hooked", "lower")).alias("lower")), "labels", parts)
+        if not lowered.where("lower < component").limit(1).count():
             return labels
+        jump = lowered.select(F.col("node").alias("lower"), F.col("lower").alias("root"))
+        labels = saved(lowered.join(near_by(jump), "lower", "left").select(
+            "node", F.least("lower", F.coalesce("root", "lower")).alias("component")), "labels", parts)
+
+
+def _joined(labels: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    """Labels after more links: only the components that the links touch are joined."""
+    of = labels.select("node", "component")
+    touched = links.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a") \
+        .join(of.withColumnsRenamed({"node": "b", "component": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    touched = saved(touched, "links", parts)
+    nodes = saved(touched.select(F.col("a").alias("node")).union(touched.select("b")).distinct(), "nodes", parts)
+    new = components(nodes, touched).select(F.col("component").alias("joined"), F.col("node").alias("component"))
+    return saved(labels.join(new, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels", parts)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
@@ -166,33 +182,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = saved(named.groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     members = saved(_members(classes), "members")
-    labels, nodes = None, members.select("node").distinct()
-    ids = saved(nodes, "nodes")
-    if ids.limit(1).count():
+    labels, many = None, members.count()
+    parts = 1 + many // ROWS_A_FILE
+    ids = saved(members.select("node").distinct(), "nodes", parts)
+    if many:
         texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text"))
         wanted = F.broadcast(ids) if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else ids
         sets = saved(_full_sets(texts.join(wanted, "node", "left_semi"), size).distinct(), "sets")
         centre = members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("c"))
         star = members.join(centre, "bucket").select(
             F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
-        links = saved(_confirmed(_possible(star, percent), sets, percent), "links")
+        links = saved(_confirmed(_possible(star, percent), sets, percent), "links", parts)
         labels = components(ids, links)
         # Whether any more pair of a bucket needs to meet: the part of the buckets that is still mixed.
-        low, high = 1, 2
-        mixed = _mixed(members, labels)
-        while mixed is not None:
+        low, high = 1, 8
+        mixed = _mixed(members, labels, parts)
+        last = mixed.agg(F.max("place")).first()[0] or 0
+        while low < last:
             pairs = mixed.where(f"place > {low} and place <= {high}").select(
                 "bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
-            met = mixed.join(pairs, "bucket").where("component <> ca and place > pa").select(
+            alike = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
+            met = mixed.join(pairs, "bucket").where((F.col("component") != F.col("ca")) & (F.col("place") > F.col("pa")) & alike).select(
                 "a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-            new = saved(_confirmed(_possible(met, percent), sets, percent), "links")
-            if new.limit(1).count():
-                links = links.union(new)
-                labels = components(ids, links)
+            links = saved(_confirmed(_possible(met, percent), sets, percent), "links", parts)
+            if links.limit(1).count():
+                labels = _joined(labels, links, parts)
                 mixed = mixed.drop("component").join(labels, "node")
-            if high >= mixed.agg(F.max("place")).first()[0]:
-                break
-            low, high = high, 2 * high
+            low, high = high, 8 * high
     # Classes of one id are one document; a class takes the label of its node.
     of_class = classes.select("digest", "node")
     found = of_class.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("label")) \
@@ -237,11 +253,10 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Members of buckets that hold several components, numbered from the centre on; None if there are none."""
+def _mixed(members: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """Members of buckets that hold several components, numbered from the centre on."""
     known = members.join(labels, "node")
     several = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rows = known.join(several.select("bucket"), "bucket", "left_semi")
     order = Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node"))
-    rows = saved(rows.withColumn("place", F.row_number().over(order)), "mixed")
-    return rows if rows.limit(1).count() else None
+    return saved(rows.withColumn("place", F.row_number().over(order)), "mixed", parts)

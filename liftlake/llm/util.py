@@ -16,10 +16,13 @@ def fold(column, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there."""
+def saved(df: DataFrame, purpose: str, parts: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there.
+
+    ``parts`` bounds the number of files, for tables whose rows were counted.
+    """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
