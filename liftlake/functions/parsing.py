@@ -30,8 +30,6 @@ WEIGHT_SETS = (
 )
 # three numbers separated by blanks: "66 7 3"
 SPACE_TRIPLE = r"(?U)(\d+(?:[.,]\d+)?)\s+(\d+)\s+(\d+)"
-# one number of a match
-NUMBER = r"(?U)\d+(?:[.,]\d+)?"
 # day and month with an optional year: "07.06", "7/6/26"
 DAY_MONTH = r"(?U)\b(\d{1,2})[./](\d{1,2})(?:[./](\d{2,4}))?\b"
 # ----------------------------------------------------------------------------
@@ -51,12 +49,17 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(words))
 
 
-def _positive(parts: Column) -> Column:
-    """Struct from (weight, reps[, sets]) texts, null unless all are positive."""
+def _positive(match: Column, pattern: str) -> Column:
+    """Struct of the three groups of a match, null unless all are positive.
+
+    Cutting the match by its own pattern gives the groups of the whole search,
+    so a digit inside a word ("reps5") is not taken for a number.
+    """
+    group = lambda i: F.regexp_extract(match, pattern, i)
     found = F.struct(
-        F.replace(F.get(parts, F.lit(0)), F.lit(","), F.lit(".")).try_cast("double").alias("weight_kg"),
-        F.get(parts, F.lit(1)).try_cast("int").alias("reps"),
-        F.coalesce(F.get(parts, F.lit(2)), F.lit(str(DEFAULT_SETS))).try_cast("int").alias("sets"),
+        F.replace(group(1), F.lit(","), F.lit(".")).try_cast("double").alias("weight_kg"),
+        group(2).try_cast("int").alias("reps"),
+        F.coalesce(F.nullif(group(3), F.lit("")), F.lit(str(DEFAULT_SETS))).try_cast("int").alias("sets"),
     )
     return let(found, lambda n: F.when((n["weight_kg"] > 0) & (n["reps"] > 0) & (n["sets"] > 0), n))
 
@@ -64,11 +67,12 @@ def _positive(parts: Column) -> Column:
 def parse_numbers(text: Column) -> Column:
     """Struct (weight_kg, reps, sets), null when neither notation gives positive numbers.
 
-    Each notation is searched once; its match is then cut into its two or three numbers.
+    Each notation is searched once; its match is then cut into its groups.
     """
-    joined = F.regexp_extract_all(F.regexp_extract(text, WEIGHT_SETS, 0), F.lit(NUMBER), F.lit(0))
-    spaced = F.regexp_extract_all(F.regexp_extract(text, SPACE_TRIPLE, 0), F.lit(NUMBER), F.lit(0))
-    return F.coalesce(let(joined, _positive), let(spaced, _positive))
+    return F.coalesce(
+        let(F.regexp_extract(text, WEIGHT_SETS, 0), lambda match: _positive(match, WEIGHT_SETS)),
+        let(F.regexp_extract(text, SPACE_TRIPLE, 0), lambda match: _positive(match, SPACE_TRIPLE)),
+    )
 
 
 def parse_date(text: Column, today: Column) -> Column:

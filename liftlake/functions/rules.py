@@ -90,9 +90,24 @@ def session_label(count: Column) -> Column:
     return F.concat_ws(" ", count.cast("string"), word)
 
 
+def _stripped(text: Column) -> Column:
+    """Decimal text of a number text without trailing zeros; null beyond 26 digits."""
+    return F.regexp_replace(text.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+
+
 def plain_number(value: Column) -> Column:
-    """Shortest decimal text: 66, 32.5."""
-    return F.regexp_replace(value.cast("decimal(18,4)").cast("string"), r"\.?0+$", "")
+    """Shortest decimal text, as the app writes it: 66, 32.5. Huge values keep their exponent."""
+    text = value.cast("string")
+    return F.coalesce(_stripped(text), text)
+
+
+def general_number(value: Column) -> Column:
+    """Text with six significant digits, as the chat writes it: 66, 12.3457, 1e+15."""
+    science = F.format_string("%.5e", value.cast("double"))
+    mantissa, exponent = F.substring_index(science, "e", 1), F.substring_index(science, "e", -1)
+    plain = exponent.try_cast("int").between(-4, 5)
+    return F.when(value == 0, "0").when(plain, _stripped(science)).otherwise(
+        F.concat(_stripped(mantissa), F.lit("e"), exponent))
 
 
 def float_number(value: Column) -> Column:
@@ -100,8 +115,8 @@ def float_number(value: Column) -> Column:
     return value.cast("double").cast("string")
 
 
-def loaded_label(weight: Column, reps: Column, sets: Column) -> Column:
-    return F.concat(plain_number(weight), F.lit(KG_LABEL), plain_number(reps), F.lit(TIMES), plain_number(sets))
+def loaded_label(weight: Column, reps: Column, sets: Column, number=plain_number) -> Column:
+    return F.concat(number(weight), F.lit(KG_LABEL), plain_number(reps), F.lit(TIMES), plain_number(sets))
 
 
 def bodyweight_label(weight: Column, reps: Column, sets: Column) -> Column:

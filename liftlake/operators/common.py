@@ -26,11 +26,12 @@ def log_join(t, users=None, columns=("workout_date",)) -> DataFrame:
 def set_order():
     """First set of an exercise: lowest set number, then lightest, then fewest reps.
 
-    One long (set number, weight in hundredths, reps) instead of a struct keeps
-    the aggregation hash-based; weights stay below 10,000 kg and reps below 10,000.
+    One long (set number, weight in hundredths, reps) instead of a struct keeps the
+    aggregation hash-based. Its fields hold more than the columns can: weights are
+    decimal(6,2), reps and set numbers smallint; the key has room for 2^26 reps.
     """
     hundredths = (F.col("weight_kg") * 100).cast("bigint")
-    return (F.col("set_number").cast("bigint") * 1_000_000 + hundredths) * 10_000 + F.col("reps")
+    return (F.col("set_number").cast("bigint") * 1_000_000 + hundredths) * 67_108_864 + F.col("reps")
 
 
 def exercise_logs(t, users=None) -> DataFrame:

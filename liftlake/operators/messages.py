@@ -128,7 +128,7 @@ def _names(t) -> DataFrame:
 def _summary(name, weight, reps, sets, day, confidence):
     return F.when(
         (confidence == "medium") & (weight == 0), F.concat(name, F.lit(" (уточни вес и повторы)"))
-    ).otherwise(F.concat(name, F.lit(": "), rules.loaded_label(weight, reps, sets),
+    ).otherwise(F.concat(name, F.lit(": "), rules.loaded_label(weight, reps, sets, rules.general_number),
                          F.lit(" ("), day.cast("string"), F.lit(")")))
 
 
@@ -209,5 +209,5 @@ def structured_log(t, entries: DataFrame) -> DataFrame:
     return parsed.join(_names(t), "slug", "left").select(
         "entry_id", "user_id", "slug", name.alias("name"), "weight_kg", "reps", "sets", "workout_date",
         F.lit("high").alias("confidence"),
-        F.concat(name, F.lit(" "), rules.plain_number(F.col("weight_kg")), F.lit("×"), F.col("reps").cast("string"),
+        F.concat(name, F.lit(" "), rules.general_number(F.col("weight_kg")), F.lit("×"), F.col("reps").cast("string"),
                  F.lit("×"), F.col("sets").cast("string")).alias("raw_text"))

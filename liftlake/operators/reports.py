@@ -13,6 +13,7 @@ from liftlake.functions import rules
 from liftlake.operators.common import for_users
 from liftlake.operators.history import exercise_progress, focus_counts, history_window
 from liftlake.operators.messages import each_slug
+from liftlake.operators.sessions import user_exercises
 
 # --- Fixed values: report texts ---------------------------------------------
 ALIASES_SHOWN = 6
@@ -271,10 +272,8 @@ def allowed_catalog(t, users=None) -> DataFrame:
     """
     bans = active_bans(t, users).select("user_id", F.col("ban_id").alias("msg_id"), F.col("exercise_name").alias("text"))
     banned = each_slug(t, bans, "user_id").select("user_id", "slug").distinct()
-    requests = for_users(t["profile"], users).select(
-        "user_id", F.explode(rules.string_array(rules.MUSCLE_ORDER)).alias("muscle_group"))
     return (
-        requests.join(t["exercises"].select("slug", "name", "muscle_group"), "muscle_group")
+        user_exercises(t, users)
         .join(banned, ["user_id", "slug"], "left_anti")
         .select("user_id", "muscle_group", "slug", "name")
     )

@@ -56,7 +56,7 @@ def repeat_last(t, users=None, cap: int | None = None) -> DataFrame:
         F.when(blank, "").otherwise(rules.plain_number(F.col("weight_kg"))).alias("weight_text"),
         rules.plain_number(F.col("reps")).alias("reps_text"),
         rules.plain_number(F.col("sets_count")).alias("sets_text"),
-        F.concat_ws("×", rules.plain_number(F.col("weight_kg")), F.col("reps").cast("string"),
+        F.concat_ws("×", rules.general_number(F.col("weight_kg")), F.col("reps").cast("string"),
                     F.col("sets_count").cast("string")).alias("button_text"),
     )
 
@@ -113,6 +113,18 @@ def summary_titles(t, users=None) -> DataFrame:
     )
 
 
+def user_exercises(t, users=None, muscle=None) -> DataFrame:
+    """Each registered user with each catalog exercise, whatever its muscle group.
+
+    The catalog, a dimension of bounded size, is expanded inside each user's row.
+    """
+    e = _catalog(t)
+    if muscle is not None:
+        e = e.where(F.col("muscle_group") == muscle)
+    catalog = e.agg(F.collect_list(F.struct(*e.columns))).scalar()
+    return for_users(t["profile"], users).select("user_id", F.inline(catalog))
+
+
 def _as_of(t, as_of, users) -> DataFrame:
     """Per-user day as a frame (user_id, as_of); the default is the last trained date."""
     if as_of is None:
@@ -168,13 +180,9 @@ def today_overview(t, as_of=None, users=None) -> DataFrame:
 def muscle_session_overview(t, as_of=None, users=None, muscle=None) -> DataFrame:
     """Every catalog exercise of a muscle group per user, trained or not.
 
-    One request row per (user, muscle group) is joined to the catalog by muscle,
-    so the untrained exercises are kept without a cross join.
+    All groups of the catalog are covered, the null group too.
     """
-    groups = [muscle] if muscle is not None else rules.MUSCLE_ORDER
-    requests = for_users(t["profile"], users).select(
-        "user_id", F.explode(rules.string_array(groups)).alias("muscle_group"))
-    wanted = requests.join(_catalog(t), "muscle_group")
+    wanted = user_exercises(t, users, muscle)
     counts = (
         log_join(t, users).select("user_id", "exercise_id", "workout_date").distinct()
         .groupBy("user_id", "exercise_id").agg(F.count(F.lit(1)).alias("n"))
@@ -211,11 +219,9 @@ def picker_subtitles(t, as_of=None, users=None) -> DataFrame:
 
 def no_history_exercises(t, users=None) -> DataFrame:
     """Catalog exercises a registered user has never logged."""
-    requests = for_users(t["profile"], users).select(
-        "user_id", F.explode(rules.string_array(rules.MUSCLE_ORDER)).alias("muscle_group"))
     trained = log_join(t, users).select("user_id", "exercise_id").distinct()
     return (
-        requests.join(_catalog(t), "muscle_group")
+        user_exercises(t, users)
         .join(trained, ["user_id", "exercise_id"], "left_anti")
         .select("user_id", "muscle_group", "slug", "name")
     )

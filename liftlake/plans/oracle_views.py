@@ -6,12 +6,15 @@ use ordered aggregates.
 
 from __future__ import annotations
 
+CHAT_FOCUS = ("CASE WHEN muscle_group IN ('chest', 'back', 'biceps', 'triceps', 'shoulders', 'legs') "
+              "THEN upper(muscle_group[1]) || muscle_group[2:] ELSE 'Logged' END")
+
 # view -> (views it needs, SQL)
 VIEWS: dict[str, tuple[str, str]] = {
     "exercises": ("", """
         SELECT exercise_id, 'ex_' || exercise_id AS slug, p_name AS name,
-               CASE p_type WHEN 'ECONOMY' THEN 'chest' WHEN 'LARGE' THEN 'back' WHEN 'MEDIUM' THEN 'biceps'
-                    WHEN 'PROMO' THEN 'triceps' WHEN 'SMALL' THEN 'shoulders' WHEN 'STANDARD' THEN 'legs' END AS muscle_group,
+               CASE WHEN exercise_id % 13 = 5 THEN 'core' WHEN exercise_id = 7 THEN NULL ELSE CASE p_type WHEN 'ECONOMY' THEN 'chest' WHEN 'LARGE' THEN 'back' WHEN 'MEDIUM' THEN 'biceps'
+                    WHEN 'PROMO' THEN 'triceps' WHEN 'SMALL' THEN 'shoulders' WHEN 'STANDARD' THEN 'legs' END END AS muscle_group,
                CASE WHEN p_size % 5 = 0 THEN 'bodyweight' ELSE 'barbell' END AS equipment,
                CAST(exercise_id AS INTEGER) AS ord
         FROM (SELECT *, p_partkey % 40 AS exercise_id,
@@ -25,13 +28,14 @@ VIEWS: dict[str, tuple[str, str]] = {
                o_orderdate + to_seconds(o_orderkey % 86400) AS created_at
         FROM orders"""),
     "workout_sets": ("", """
-        SELECT l_orderkey AS workout_id, l_partkey % 40 AS exercise_id, l_linenumber AS set_number,
+        SELECT l_orderkey AS workout_id,
+               CASE WHEN l_partkey % 40 = 39 AND l_orderkey % 50 <> 0 THEN 38 ELSE l_partkey % 40 END AS exercise_id, l_linenumber AS set_number,
                CAST((l_quantity % 12) * 2.5 AS DECIMAL(6,2)) AS weight_kg, l_linenumber + 1 AS reps,
                CASE WHEN l_tax > 0 THEN CAST(round(l_discount * 100) AS INTEGER) END AS rpe
         FROM lineitem"""),
     "log_events": ("", """
         SELECT event_id, user_id, ts, CAST(ts AS DATE) AS workout_date,
-               CAST(json_extract(props, '$.k') AS BIGINT) % 40 AS exercise_id,
+               CAST(json_extract(props, '$.k') AS BIGINT) % 41 AS exercise_id,
                CAST(floor(value / 2.5) * 2.5 AS DECIMAL(6,2)) AS weight_kg,
                CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 9 AS INTEGER) AS reps,
                CAST(event_id % 5 AS INTEGER) AS sets_count
@@ -92,7 +96,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         WHERE alias <> '' GROUP BY slug, canonical, ord, alias"""),
     "messages": ("workouts workout_sets spoken", """
         SELECT m.workout_id * 40 + m.exercise_id AS msg_id, w.user_id, w.workout_date AS msg_date,
-               CASE m.workout_id % 8
+               CASE m.workout_id % 12
                  WHEN 0 THEN x.a || ' ' || m.wt || '×' || m.reps || '×' || m.s
                  WHEN 1 THEN x.a || ' ' || m.wt || ' кг на ' || m.reps || ' повторов на ' || m.s || ' подхода'
                  WHEN 2 THEN x.a || ' ' || m.wt || 'x' || m.reps
@@ -100,6 +104,10 @@ VIEWS: dict[str, tuple[str, str]] = {
                  WHEN 4 THEN 'вчера ' || x.a || ' ' || m.wt || '*' || m.reps || '*' || m.s
                  WHEN 5 THEN 'сделал ' || x.a
                  WHEN 6 THEN 'составь программу ' || x.a
+                 WHEN 7 THEN x.a || ' ' || m.wt || 'x' || m.reps || ' reps5'
+                 WHEN 8 THEN x.a || ' ' || m.wt || 'x' || m.reps || ' подход0'
+                 WHEN 9 THEN x.a || ' 999999999999999x' || m.reps
+                 WHEN 10 THEN x.a || ' ' || m.wt || ',4567 kg x ' || m.reps || ' раз1 x ' || m.s || ' set2'
                  ELSE x.a || ' и ' || y.a || ' ' || m.wt || '×' || m.reps || '×' || m.s || ' 07.06' END AS text
         FROM (SELECT *, workout_id % 4 + 1 AS s, regexp_replace(CAST(weight_kg AS VARCHAR), '\\.?0+$', '') AS wt,
                      row_number() OVER (PARTITION BY workout_id, exercise_id ORDER BY set_number, weight_kg, reps) AS rn
@@ -195,7 +203,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         SELECT *, CASE muscle_group WHEN 'chest' THEN 'Chest + Biceps' WHEN 'back' THEN 'Back + Triceps'
                        WHEN 'legs' THEN 'Legs' ELSE 'Logged' END AS focus FROM valid_events"""),
     "chat_events": ("valid_events", """
-        SELECT *, upper(muscle_group[1]) || muscle_group[2:] AS focus FROM valid_events"""),
+        SELECT *, """ + CHAT_FOCUS + """ AS focus FROM valid_events"""),
 }
 
 

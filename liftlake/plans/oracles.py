@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from liftlake.plans.oracle_views import replay, with_views
+from liftlake.plans.oracle_views import CHAT_FOCUS, replay, with_views
 
 AS_OF = "DATE '1998-06-15'"
 
 
 def num(x: str) -> str:
     """Shortest decimal text."""
-    return f"regexp_replace(CAST(CAST({x} AS DECIMAL(18,4)) AS VARCHAR), '\\.?0+$', '')"
+    return (f"coalesce(regexp_replace(CAST(TRY_CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,12)) AS VARCHAR), '\\.?0+$', ''), "
+            f"CAST({x} AS VARCHAR))")
+
+
+def general(x: str) -> str:
+    """Text with six significant digits."""
+    return f"format('{{:g}}', CAST({x} AS DOUBLE))"
 
 
 def flt(x: str) -> str:
@@ -129,7 +135,7 @@ PARSED = f"""
       JOIN nums n ON n.msg_id = m.msg_id JOIN days d ON d.msg_id = m.msg_id)"""
 MESSAGE_SQL = RESOLVE.format(src="messages") + "," + NUMBERS + "," + DATES + "," + PARSED
 SUMMARY = (f"CASE WHEN p.confidence = 'medium' AND p.weight_kg = 0 THEN e.name || ' (уточни вес и повторы)' "
-           f"ELSE e.name || ': ' || {loaded('p.weight_kg', 'p.reps', 'p.sets')} || ' (' || p.workout_date || ')' END")
+           f"ELSE e.name || ': ' || {general('p.weight_kg')} || ' кг × ' || p.reps || ' × ' || p.sets || ' (' || p.workout_date || ')' END")
 
 # Report texts over the history window.
 DETAILS = f"""
@@ -262,7 +268,7 @@ def all_sql() -> dict[str, str]:
             FROM {LITERALS} JOIN exercises e USING (slug)"""),
         "catalog_by_muscle": v("exercises", """
             SELECT muscle_group, slug, name, CAST(row_number() OVER (PARTITION BY muscle_group ORDER BY ord) AS INTEGER) AS position
-            FROM exercises"""),
+            FROM exercises WHERE muscle_group IS NOT NULL"""),
         "nutrition_map": """SELECT event_id, '{"k": ' || CAST(json_extract(props, '$.k') AS INTEGER) || '}' AS props_json,
                                    CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
         # predicates and scalar rules
@@ -276,7 +282,7 @@ def all_sql() -> dict[str, str]:
             WHEN 'chest' THEN 'Chest + Biceps' WHEN 'back' THEN 'Back + Triceps' WHEN 'legs' THEN 'Legs' ELSE 'Logged' END AS focus
             FROM log_events LEFT JOIN exercises USING (exercise_id)"""),
         "split_focus_bot": v("log_events exercises", """SELECT event_id, muscle_group,
-            upper(muscle_group[1]) || muscle_group[2:] AS focus FROM log_events LEFT JOIN exercises USING (exercise_id)"""),
+            """ + CHAT_FOCUS + """ AS focus FROM log_events LEFT JOIN exercises USING (exercise_id)"""),
         "focus_to_muscles": v("training_split", f"SELECT split_id, focus, array_to_string({PLAN_MUSCLES}, ',') AS muscles FROM training_split"),
         "day_label": v("workouts", f"SELECT workout_id, workout_date, {day_label('workout_date')} AS day_label FROM workouts"),
         "date_label": v("workouts", "SELECT workout_id, strftime(workout_date, '%d.%m') AS date_label FROM workouts"),
@@ -295,7 +301,7 @@ def all_sql() -> dict[str, str]:
                      WHEN 'triceps' THEN 'Трицепс' WHEN 'shoulders' THEN 'Плечи' WHEN 'legs' THEN 'Ноги' ELSE muscle_group END AS label,
                    CAST(row_number() OVER (ORDER BY coalesce(nullif(list_position({ORDER_ALL}, muscle_group), 0), 99), muscle_group) AS INTEGER) AS position,
                    CAST(row_number() OVER (ORDER BY coalesce(nullif(list_position({ORDER_PICK}, muscle_group), 0), 99), muscle_group) AS INTEGER) AS picker_position
-            FROM (SELECT muscle_group FROM exercises UNION SELECT lower(p_type) FROM part)"""),
+            FROM (SELECT muscle_group FROM exercises WHERE muscle_group IS NOT NULL UNION SELECT lower(p_type) FROM part)"""),
         "parse_decimal": v("", f"""
             SELECT workout_id, exercise_id, set_number, weight_text, n AS parsed, CASE WHEN n > 0 THEN n END AS loaded_weight,
                    CASE WHEN trim(weight_text) = '' THEN 0 WHEN n >= 0 THEN n END AS bodyweight_load
@@ -414,7 +420,7 @@ def all_sql() -> dict[str, str]:
         "repeat_last": v("last_logs exercises", f"""
             SELECT user_id, slug, CASE WHEN equipment = 'bodyweight' AND weight_kg = 0 THEN '' ELSE {num('weight_kg')} END AS weight_text,
                    CAST(reps AS VARCHAR) AS reps_text, CAST(sets_count AS VARCHAR) AS sets_text,
-                   {num('weight_kg')} || '×' || reps || '×' || sets_count AS button_text
+                   {general('weight_kg')} || '×' || reps || '×' || sets_count AS button_text
             FROM last_logs JOIN exercises USING (exercise_id)"""),
         "no_history_exercises": v("overview", """SELECT user_id, muscle_group, slug, name FROM overview WHERE session_count = 0"""),
         "newest_workout_per_exercise": v("day_logs", "SELECT * FROM day_logs"),
@@ -474,7 +480,7 @@ def all_sql() -> dict[str, str]:
               FROM log_events LEFT JOIN exercises USING (exercise_id))"""),
         "structured_log": v("log_events exercises", f"""
             SELECT entry_id, user_id, p.slug, coalesce(e.name, p.slug) AS name, weight_kg, reps, sets, workout_date,
-                   'high' AS confidence, coalesce(e.name, p.slug) || ' ' || {num('weight_kg')} || '×' || reps || '×' || sets AS raw_text
+                   'high' AS confidence, coalesce(e.name, p.slug) || ' ' || {general('weight_kg')} || '×' || reps || '×' || sets AS raw_text
             FROM (SELECT event_id AS entry_id, user_id, workout_date,
                          'ex_' || (exercise_id + CASE WHEN event_id % 11 = 5 THEN 40 ELSE 0 END) AS slug,
                          CAST(weight_kg AS DOUBLE) AS weight_kg, reps, sets_count AS sets

@@ -111,7 +111,7 @@ def muscle_order(groups: DataFrame) -> DataFrame:
 
     Unknown groups follow the known ones alphabetically and keep their id as label.
     """
-    known = groups.select("muscle_group").distinct()
+    known = groups.select("muscle_group").where("muscle_group is not null").distinct()
     slot = rules.display_position(F.col("muscle_group"), rules.MUSCLE_ORDER)
     picker = rules.display_position(F.col("muscle_group"), rules.PICKER_ORDER)
     # One row per distinct group id is left here, a handful of them.

@@ -107,10 +107,11 @@ def exercises(t: Tables) -> DataFrame:
             "exercise_id",
             F.concat(F.lit("ex_"), F.col("exercise_id").cast("string")).alias("slug"),
             F.col("p_name").alias("name"),
-            by_value("p_type", {
+            # A group outside the usual six, and an exercise without a group.
+            F.when(F.col("exercise_id") % 13 == 5, "core").when(F.col("exercise_id") != 7, by_value("p_type", {
                 "ECONOMY": "chest", "LARGE": "back", "MEDIUM": "biceps",
                 "PROMO": "triceps", "SMALL": "shoulders", "STANDARD": "legs",
-            }).alias("muscle_group"),
+            })).alias("muscle_group"),
             F.when(F.col("p_size") % 5 == 0, "bodyweight").otherwise("barbell").alias("equipment"),
             F.col("exercise_id").cast("int").alias("ord"),
         )
@@ -135,7 +136,7 @@ def workout_sets(t: Tables) -> DataFrame:
     """One row per line item; a repeated set number is left in for the quality report."""
     return t["lineitem"].select(
         F.col("l_orderkey").alias("workout_id"),
-        (F.col("l_partkey") % CATALOG_SIZE).alias("exercise_id"),
+        set_exercise().alias("exercise_id"),
         F.col("l_linenumber").alias("set_number"),
         ((F.col("l_quantity") % 12) * 2.5).cast("decimal(6,2)").alias("weight_kg"),
         (F.col("l_linenumber") + 1).alias("reps"),
@@ -143,12 +144,19 @@ def workout_sets(t: Tables) -> DataFrame:
     )
 
 
+def set_exercise():
+    """Exercise of a line item; the last one is rare, so that users without it exist."""
+    own = F.col("l_partkey") % CATALOG_SIZE
+    rare = (own == CATALOG_SIZE - 1) & (F.col("l_orderkey") % 50 != 0)
+    return F.when(rare, CATALOG_SIZE - 2).otherwise(own)
+
+
 def log_events(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     return t["events"].select(
         "event_id", "user_id", "ts",
         F.col("ts").cast("date").alias("workout_date"),
-        (k % CATALOG_SIZE).alias("exercise_id"),
+        (k % (CATALOG_SIZE + 1)).alias("exercise_id"),  # the last id is not in the catalog
         (F.floor(F.col("value") / 2.5) * 2.5).cast("decimal(6,2)").alias("weight_kg"),
         (k % 9).cast("int").alias("reps"),
         (F.col("event_id") % 5).cast("int").alias("sets_count"),
@@ -276,7 +284,7 @@ def catalog_source(t: Tables) -> DataFrame:
 
 def messages(t: Tables) -> DataFrame:
     """Chat messages: the first set of each (workout, exercise), worded by template."""
-    order = (F.col("set_number").cast("bigint") * 1_000_000 + (F.col("weight_kg") * 100).cast("bigint")) * 10_000 + F.col("reps")
+    order = (F.col("set_number").cast("bigint") * 1_000_000 + (F.col("weight_kg") * 100).cast("bigint")) * 67_108_864 + F.col("reps")
     logged = (
         t["workout_sets"]
         .groupBy("workout_id", "exercise_id")
@@ -288,7 +296,7 @@ def messages(t: Tables) -> DataFrame:
     w = F.regexp_replace(F.col("weight_kg").cast("string"), r"\.?0+$", "")
     r = F.col("reps").cast("string")
     s = (F.col("workout_id") % 4 + 1).cast("string")
-    template = F.col("workout_id") % 8
+    template = F.col("workout_id") % 12
     text = (
         F.when(template == 0, F.concat(alias, F.lit(" "), w, F.lit("×"), r, F.lit("×"), s))
         .when(template == 1, F.concat(alias, F.lit(" "), w, F.lit(" кг на "), r, F.lit(" повторов на "), s,
@@ -298,6 +306,10 @@ def messages(t: Tables) -> DataFrame:
         .when(template == 4, F.concat(F.lit("вчера "), alias, F.lit(" "), w, F.lit("*"), r, F.lit("*"), s))
         .when(template == 5, F.concat(F.lit("сделал "), alias))
         .when(template == 6, F.concat(F.lit("составь программу "), alias))
+        .when(template == 7, F.concat(alias, F.lit(" "), w, F.lit("x"), r, F.lit(" reps5")))
+        .when(template == 8, F.concat(alias, F.lit(" "), w, F.lit("x"), r, F.lit(" подход0")))
+        .when(template == 9, F.concat(alias, F.lit(" 999999999999999x"), r))
+        .when(template == 10, F.concat(alias, F.lit(" "), w, F.lit(",4567 kg x "), r, F.lit(" раз1 x "), s, F.lit(" set2")))
         .otherwise(F.concat(alias, F.lit(" и "), other, F.lit(" "), w, F.lit("×"), r, F.lit("×"), s,
                             F.lit(" 07.06")))
     )
