@@ -34,20 +34,26 @@ def set_order():
     return (F.col("set_number").cast("bigint") * 1_000_000 + hundredths) * 67_108_864 + F.col("reps")
 
 
-def exercise_logs(t, users=None) -> DataFrame:
+def exercise_logs(t, users=None, workouts: DataFrame | None = None) -> DataFrame:
     """One row per (workout, exercise) with first set, minima and set count.
 
     Sets are reduced per workout before the join, so the join moves one row per
-    exercise of a workout, and a crowded workout is combined on the map side.
+    exercise of a workout, and a crowded workout is combined on the map side. Where
+    ``users`` or ``workouts`` (a part of the workouts) restrict the log, other sets
+    go before anything is aggregated.
     """
-    per_exercise = t["workout_sets"].groupBy("workout_id", "exercise_id").agg(
+    w = for_users(t["workouts"] if workouts is None else workouts, users).select(
+        "workout_id", "user_id", "workout_date", "created_at")
+    sets = t["workout_sets"]
+    if users is not None or workouts is not None:
+        sets = sets.join(w.select("workout_id"), "workout_id", "left_semi")
+    per_exercise = sets.groupBy("workout_id", "exercise_id").agg(
         F.min_by("weight_kg", set_order()).alias("first_weight"),
         F.min_by("reps", set_order()).alias("first_reps"),
         F.min("weight_kg").alias("min_weight"),
         F.min("reps").alias("min_reps"),
         F.count(F.lit(1)).alias("sets_count"),
     )
-    w = for_users(t["workouts"], users).select("workout_id", "user_id", "workout_date", "created_at")
     return per_exercise.join(w, "workout_id")
 
 

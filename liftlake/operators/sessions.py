@@ -22,7 +22,7 @@ def last_exercise_log(t, users=None, slug=None, cap: int | None = None) -> DataF
 
     ``cap`` searches only the newest workouts of a user (the chat rule uses 40).
     """
-    logs = exercise_logs(t, users)
+    recent = None
     if cap is not None:
         recent = (
             for_users(t["workouts"], users)
@@ -31,7 +31,7 @@ def last_exercise_log(t, users=None, slug=None, cap: int | None = None) -> DataF
                 F.desc("workout_date"), F.desc("created_at"), F.desc("workout_id"))))
             .where(F.col("n") <= cap)
         )
-        logs = logs.join(recent.select("workout_id"), "workout_id", "left_semi")
+    logs = exercise_logs(t, users, recent)
     last = logs.groupBy("user_id", "exercise_id").agg(
         F.max_by(F.struct("workout_date", "first_weight", "first_reps", "sets_count"), newest()).alias("last"))
     e = _catalog(t)
@@ -61,9 +61,9 @@ def repeat_last(t, users=None, cap: int | None = None) -> DataFrame:
     )
 
 
-def newest_workout_per_exercise(t, users=None) -> DataFrame:
+def newest_workout_per_exercise(t, users=None, workouts: DataFrame | None = None) -> DataFrame:
     """Newest workout of each (user, exercise, date), where a date holds several."""
-    logs = exercise_logs(t, users)
+    logs = exercise_logs(t, users, workouts)
     best = logs.groupBy("user_id", "exercise_id", "workout_date").agg(
         F.max_by(F.struct("workout_id", "min_weight", "min_reps", "sets_count"),
                  F.struct("created_at", "workout_id")).alias("last"))
@@ -136,12 +136,11 @@ def _as_of(t, as_of, users) -> DataFrame:
 
 def _logged_on(t, as_of, users) -> DataFrame:
     """Minima of the newest workout per (user, exercise) on the user's day."""
-    logs = newest_workout_per_exercise(t, users)
     if isinstance(as_of, (str, datetime.date)):
-        logs = logs.where(F.col("workout_date") == F.lit(as_of).cast("date"))
+        day = t["workouts"].where(F.col("workout_date") == F.lit(as_of).cast("date"))
     else:
-        logs = logs.join(_as_of(t, as_of, users), "user_id").where("workout_date = as_of")
-    return logs.select(
+        day = t["workouts"].join(_as_of(t, as_of, users), "user_id").where("workout_date = as_of")
+    return newest_workout_per_exercise(t, users, day).select(
         "user_id", "exercise_id",
         F.col("weight_kg").alias("last_weight_kg"), F.col("reps").alias("last_reps"),
         F.col("sets_count").alias("last_sets_count"), F.lit(True).alias("logged"))

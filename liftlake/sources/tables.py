@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 CATALOG_SIZE = 40        # parts and line items map onto this many exercises
 CUSTOMERS_PER_USER = 10  # customers of one user
 
+# Views that are dimensions, and how many rows such a view may have to be kept as local rows.
+DIMENSIONS = ("exercises", "catalog_source")
+MAX_DIMENSION_ROWS = 10_000
+
 SOURCE_SCHEMAS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
@@ -55,6 +59,19 @@ LOG_SCHEMAS = {
 }
 
 
+def dimension(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    """A small table read once, as local rows with a broadcast hint.
+
+    Each join with it then stays on the side of the facts, in batch and in every
+    micro-batch, whatever the size of the files it is made of. A table beyond the
+    bound is returned as it is.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 class Tables(dict):
     """Mapping of view name to DataFrame, filled on demand."""
 
@@ -70,6 +87,8 @@ class Tables(dict):
             df = self.spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
         else:
             df = self._views[name](self)
+        if name in DIMENSIONS:
+            df = dimension(df)
         self[name] = df
         return df
 

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from liftlake.functions import parsing
+from liftlake.functions import parsing, rules
 from liftlake.operators import messages as m
 from liftlake.sources import catalog
 
@@ -124,3 +125,40 @@ def test_validation_order(make, spark):
                      (5, 7, "2026-01-05T10:00:00", 1, 0, 8, 3), (6, 7, "2026-01-05T10:00:00", 2, 0, 8, 3)])
     assert dict(rows(m.validate_log(t, t["log_events"]), "event_id", "reason")) == {
         1: "bad_sets", 2: "bad_reps", 3: "bad_weight", 4: "unknown_exercise", 5: "zero_weight", 6: None}
+
+
+# The pattern a reported set follows, as a plain regular expression.
+PLAIN_SETS = re.compile(
+    r"(\d+(?:[.,]\d+)?)\s*(?:кг|kg)?\s*(?:на|x|х|×|\*|/)\s*(\d+)\s*(?:повтор\w*|rep\w*|раз\w*)?\s*"
+    r"(?:(?:на|x|х|×|\*|/)\s*)?(\d+)?\s*(?:подход\w*|сет\w*|set\w*)?", re.I)
+PLAIN_TRIPLE = re.compile(r"(\d+(?:[.,]\d+)?)\s+(\d+)\s+(\d+)")
+
+
+def plain_numbers(text):
+    for pattern in (PLAIN_SETS, PLAIN_TRIPLE):
+        if m := pattern.search(text):
+            w, r, s = float(m[1].replace(",", ".")), int(m[2]), int(m[3] or 3)
+            if w > 0 and r > 0 and s > 0:
+                return w, r, s
+    return None
+
+
+def test_numbers_against_plain_search(spark):
+    rng = random.Random(3)
+    parts = ["66", "7", "0", "12,5", "x", "×", " на ", "*", " ", " reps", "reps5", " set", "set2", " подход1", " раз", "кг", "kg", "a", "/"]
+    texts = ["66x7 reps5", "66x7 set2", "66x7 подход1", "66x7 reps0", "66x7 set0"] + ["".join(rng.choices(parts, k=rng.randrange(2, 9))) for _ in range(600)]
+    got = spark.createDataFrame([(x,) for x in texts], "text string").select("text", parsing.parse_numbers(F.col("text")).alias("n")).collect()
+    for r in got:
+        expected = plain_numbers(r["text"])
+        if expected is None or max(expected[1:]) < 2**31:
+            assert (tuple(r["n"]) if r["n"] else None) == expected, r["text"]
+
+
+@pytest.mark.parametrize("value,app,chat", [
+    (66.0, "66", "66"), (32.5, "32.5", "32.5"), (12.34567, "12.34567", "12.3457"), (100.0, "100", "100"), (0.0, "0", "0"),
+    (1e14, "100000000000000", "1e+14"), (1e15, "1000000000000000", "1e+15"), (999999.0, "999999", "999999"), (1e6, "1000000", "1e+06"),
+    (1e300, "1.0E300", "1e+300"), (0.00001, "0.00001", "1e-05"),
+])
+def test_number_texts(spark, value, app, chat):
+    row = spark.range(1).select(rules.plain_number(F.lit(value)).alias("a"), rules.general_number(F.lit(value)).alias("c")).first()
+    assert (row["a"], row["c"]) == (app, chat) and chat == f"{value:g}"
