@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlake.functions import parsing, rules
 from liftlake.sources.catalog import MAX_LITERAL_ALIASES, alias_array, alias_table
 
-# Longest-first order of alias spans, then catalog order, then text order.
-_SPAN_ORDER = ("size", "ord", "pos", "lo")
-
 
 def normalized_text(messages: DataFrame) -> DataFrame:
     return messages.select(
@@ -38,19 +35,20 @@ def _with_slugs_by_join(t, messages: DataFrame) -> DataFrame:
     """Any catalog size: pieces of each alias length join the alias table by equality.
 
     Only true occurrences leave the join; they are folded per message, where a
-    message is bounded by its own text.
+    message is bounded by its own text. Rows that repeat an id with another text
+    keep their own matches.
     """
     table = alias_table(t["catalog_source"]).select("alias", "slug", "size", "ord", "pos")
     sizes = table.agg(F.collect_set("size")).scalar()  # the distinct alias lengths
     norm = F.trim(parsing.normalized(F.col("text")))
-    texts = messages.select("msg_id", norm.alias("norm"), sizes.alias("sizes"))
+    texts = messages.select("msg_id", norm.alias("norm"), sizes.alias("sizes")).distinct()
     pieces = (
         texts.select("msg_id", "norm", F.explode("sizes").alias("n"))
         .where("length(norm) >= n")
         .select("msg_id", "norm", "n", F.explode(F.expr("sequence(0, length(norm) - n)")).alias("lo"))
-        .select("msg_id", "lo", F.expr("substring(norm, lo + 1, n)").alias("alias"))
+        .select("msg_id", F.md5(F.col("norm").cast("binary")).alias("text_key"), "lo", F.expr("substring(norm, lo + 1, n)").alias("alias"))
     )
-    hits = pieces.join(table, "alias").groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct(
+    hits = pieces.join(table, "alias").groupBy("msg_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("size")).alias("neg_size"), "ord", "pos", "lo", (F.col("lo") + F.col("size")).alias("hi"), "slug",
     ))).alias("spans"))
     accepted = F.aggregate(
@@ -61,9 +59,10 @@ def _with_slugs_by_join(t, messages: DataFrame) -> DataFrame:
         ).otherwise(F.array_append(kept, F.struct(
             s["lo"].alias("lo"), s["hi"].alias("hi"), s["slug"].alias("slug")))),
     )
-    found = hits.select("msg_id", F.array_distinct(F.transform(accepted, lambda s: s["slug"])).alias("slugs"))
-    return messages.join(found, "msg_id", "left").withColumn(
-        "slugs", F.coalesce("slugs", F.array().cast("array<string>")))
+    found = hits.select("msg_id", "text_key", F.array_distinct(F.transform(accepted, lambda s: s["slug"])).alias("slugs"))
+    keyed = messages.withColumn("text_key", F.md5(norm.cast("binary")))
+    return keyed.join(found, ["msg_id", "text_key"], "left").withColumn(
+        "slugs", F.coalesce("slugs", F.array().cast("array<string>"))).drop("text_key")
 
 
 def each_slug(t, messages: DataFrame, *columns) -> DataFrame:

@@ -159,7 +159,6 @@ def _alias_text(t) -> Column:
 def profile_sections(t, users=None) -> DataFrame:
     """Profile columns with one text column per section; an empty section is null."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
-    window = history_window(t, users)
     counts = focus_counts(t, users).groupBy("user_id").agg(
         F.sum("workouts").alias("total"), F.max("chest_related").alias("chest"),
         _lines(F.col("position"), line=F.concat(
@@ -298,7 +297,7 @@ def allowed_users(rows: DataFrame, config) -> DataFrame:
     """Rows of the users listed in a comma-separated configuration.
 
     ``config`` is a string, or a frame of such strings in column ``ids``; blanks
-    are skipped and an empty list is an error.
+    are skipped and an empty list is an error in either form.
     """
     if isinstance(config, str):
         ids = [int(p) for p in (p.strip() for p in config.split(",")) if p]
@@ -310,6 +309,8 @@ def allowed_users(rows: DataFrame, config) -> DataFrame:
         .select(F.trim("id").alias("id")).where("id <> ''")
         .select(F.col("id").cast("bigint").alias("user_id")).distinct()
     )
+    if ids.isEmpty():
+        raise ValueError("the list of allowed users names no user id")
     return rows.join(ids, "user_id", "left_semi")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +22,8 @@ FOCUS_VARIANTS = {"Chest + Biceps": ["Chest"], "Back + Triceps": ["Back"]}
 
 # A day is replayed within one row up to this many events, beyond it round by round.
 MAX_FOLDED_EVENTS = 256
+# Rows of a file of the flat log, about 100 MB.
+MAX_RECORDS_PER_FILE = 10_000_000
 
 _DAY = ["user_id", "workout_date"]
 _WORKOUT = "struct<focus:string,key:string>"
@@ -275,14 +276,19 @@ def apply_sets(sets: DataFrame, new_sets: DataFrame) -> DataFrame:
     return kept.unionByName(new_sets.select(*kept.columns))
 
 
-def upsert_profile(profile: DataFrame, updates: DataFrame) -> DataFrame:
-    """Insert new users; for known ones change weight, goal, notes and nutrition only."""
+def upsert_profile(profile: DataFrame, updates: DataFrame, now=None) -> DataFrame:
+    """Insert new users; for known ones change weight, goal, notes and nutrition only.
+
+    Where profiles carry ``updated_at``, a changed one gets ``now`` (a column or value;
+    by default the update's own).
+    """
     changed = ["weight_kg", "goal", "notes", "nutrition"]
     old = profile.withColumn("known", F.lit(True)).alias("o")
     new = updates.withColumn("given", F.lit(True)).alias("n")
     joined = old.join(new, "user_id", "full_outer")
     cols = [
-        F.when(F.col("given"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in changed
+        F.when(F.col("given"), F.col(f"n.{c}") if c in changed or now is None else F.lit(now))
+        .otherwise(F.col(f"o.{c}")).alias(c) if c in (*changed, "updated_at")
         else F.when(F.col("known"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
         for c in profile.columns if c != "user_id"
     ]
@@ -347,9 +353,9 @@ def write_log(t, path: str, users=None) -> None:
         for_users(t["workouts"], users).select("workout_id", "user_id", "workout_date", "split_focus", "created_at"),
         "workout_id",
     ).withColumn("month", F.date_format("workout_date", "yyyy-MM"))
-    # Salted by user so that a month is written by several tasks.
+    # Ranges follow the data: a large month is cut by user and date into as many tasks as it needs.
     (
-        flat.repartition("month", F.pmod(F.hash("user_id", "workout_id"), F.lit(16)))
+        flat.repartitionByRange("month", "user_id", "workout_date", "workout_id")
         .sortWithinPartitions("month", "user_id", "workout_date")
-        .write.mode("overwrite").partitionBy("month").parquet(path)
+        .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("month").parquet(path)
     )

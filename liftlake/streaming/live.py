@@ -8,6 +8,7 @@ overwritten on a retry, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from liftlake.sources.tables import SOURCE_SCHEMAS
 
 LATENESS = "2 days"
 BOUT_GAP_HOURS = 6
+# Days a batch may touch to be looked up one by one in the stored events.
+MAX_LISTED_DAYS = 400
 
 
 def event_stream(t, name: str = "events.parquet") -> DataFrame:
@@ -43,7 +46,12 @@ def _finish(writer, spark: SparkSession, work: str) -> None:
 def _append(df: DataFrame, spark: SparkSession, work: str) -> DataFrame:
     out = f"{work}/out"
     _finish(df.writeStream.outputMode("append").format("parquet").option("path", out), spark, work)
-    return spark.read.schema(df.schema).parquet(out)
+    try:
+        return spark.read.schema(df.schema).parquet(out)
+    except AnalysisException as e:  # no batch ran
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], df.schema)
 
 
 def _latest(df: DataFrame, spark: SparkSession, work: str, keys: list[str]) -> DataFrame:
@@ -54,6 +62,8 @@ def _latest(df: DataFrame, spark: SparkSession, work: str, keys: list[str]) -> D
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     _finish(df.writeStream.outputMode("update").foreachBatch(save), spark, work)
+    # A first, empty batch, so that a source without files gives an empty result.
+    save(spark.createDataFrame([], df.schema), -1)
     values = [c for c in df.columns if c not in keys]
     rows = spark.read.parquet(out)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
@@ -110,19 +120,29 @@ def stream_upsert(t, rule: str = "app") -> DataFrame:
         stored = spark.read.schema(batch.schema).parquet(f"{work}/events")
         touched = spark.read.schema(batch.schema).option("basePath", f"{work}/events").parquet(
             f"{work}/events/batch={batch_id}").select(*day).distinct()
-        events = stored.join(touched, day, "left_semi").dropDuplicates(["event_id"])
+        events = stored.where(_dates(touched)).join(touched, day, "left_semi").dropDuplicates(["event_id"])
         attached = attach_workouts(t, events, rule)
         sets = replace_sets(t, attached)
         owners = attached.select("workout_key", *day).distinct()
         sets.join(owners, "workout_key").write.mode("overwrite").parquet(f"{work}/sets/batch={batch_id}")
 
     _finish(live["log_events"].writeStream.outputMode("append").foreachBatch(upsert), spark, work)
+    upsert(spark.createDataFrame([], live["log_events"].schema), -1)
     sets = spark.read.parquet(f"{work}/sets")
     newest = sets.groupBy(*day).agg(F.max("batch").alias("batch"))
     return sets.join(newest, [*day, "batch"]).select(
         "workout_key", "exercise_id", "set_number", "weight_kg", "reps", "replaced")
 
 
+def _dates(touched: DataFrame):
+    """Predicate on ``workout_date`` that prunes the stored days: a list while it is short, else a range."""
+    days = [r[0] for r in touched.select("workout_date").distinct().limit(MAX_LISTED_DAYS + 1).collect()]
+    if len(days) <= MAX_LISTED_DAYS:
+        return F.col("workout_date").isin(days)
+    low, high = touched.agg(F.min("workout_date"), F.max("workout_date")).first()
+    return F.col("workout_date").between(low, high)
+
+
 def stream_dedup(t, lateness: str = LATENESS) -> DataFrame:
     """Events delivered twice are counted once."""
     delivered = event_stream(t).union(event_stream(t))

@@ -51,9 +51,9 @@ def arrive(spark, t, tmp_path, monkeypatch):
 
 
 # k = exercise and reps (k % 40, k % 9); sets = event_id % 5
-FIRST = [(1, "2026-01-05T10:00:00", 1, 50, 41), (2, "2026-01-05T11:00:00", 1, 60, 41), (3, "2026-01-05T12:00:00", 2, 30, 7)]
-SECOND = [(4, "2026-01-05T13:00:00", 1, 70, 41), (6, "2026-01-09T10:00:00", 1, 20, 7)]
-THIRD = [(7, "2026-01-05T14:00:00", 1, 99, 41), (8, "2026-01-09T11:00:00", 2, 40, 7)]  # 7 comes four days late
+FIRST = [(1, "2026-01-05T10:00:00", 1, 50, 42), (2, "2026-01-05T11:00:00", 1, 60, 42), (3, "2026-01-05T12:00:00", 2, 30, 7)]
+SECOND = [(4, "2026-01-05T13:00:00", 1, 70, 42), (6, "2026-01-09T10:00:00", 1, 20, 7)]
+THIRD = [(7, "2026-01-05T14:00:00", 1, 99, 42), (8, "2026-01-09T11:00:00", 2, 40, 7)]  # 7 comes four days late
 
 
 def test_late_rows_are_dropped(arrive):
@@ -93,3 +93,17 @@ def test_bouts_equal_session_windows(t):
     expected = rows(windows.select("user_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss"),
                                    F.date_format("b", "yyyy-MM-dd HH:mm:ss"), "logs"))
     assert rows(live.training_bouts(t, events), "user_id", "started", "ended", "logs") == expected
+
+
+def test_a_source_without_files_gives_empty_results(arrive):
+    for job in (live.stream_ingest, live.stream_daily_tonnage, live.stream_last_log, live.stream_upsert):
+        assert job(arrive([])).count() == 0
+
+
+def test_only_touched_days_are_read_again(spark):
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+    few = spark.createDataFrame([(1, day(3)), (2, day(3)), (1, day(5))], "user_id bigint, workout_date date")
+    assert "IN" in str(live._dates(few)).upper() and "2026-01-04" in str(live._dates(few))
+    many = spark.createDataFrame([(1, day(n)) for n in range(live.MAX_LISTED_DAYS + 5)], "user_id bigint, workout_date date")
+    kept = many.where(live._dates(many))
+    assert kept.count() == live.MAX_LISTED_DAYS + 5
