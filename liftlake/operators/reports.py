@@ -111,19 +111,25 @@ def _window_details(t, users=None) -> DataFrame:
 
 
 def progression_lines(t, users=None) -> DataFrame:
-    """One line per (exercise, workout) of the history window."""
+    """One line per (exercise, workout) of the history window.
+
+    Label, order and membership are those of the alias catalog: an exercise outside
+    it has no lines.
+    """
+    catalog = t["catalog_source"].select("slug", F.col("canonical").alias("label"), F.col("ord").alias("place"))
     line = F.concat(F.lit("  - "), F.col("workout_date").cast("string"), F.lit(" ("),
                     F.coalesce("split_focus", F.lit("")), F.lit("): "), F.col("detail"))
-    return _window_details(t, users).select("user_id", "slug", "name", "ord", "workout_id", "position", line.alias("line"))
+    return _window_details(t, users).join(catalog, "slug").select(
+        "user_id", "slug", "label", "place", "workout_id", "position", line.alias("line"))
 
 
 def key_lift_progression(t, users=None) -> DataFrame:
     """Block of lines per (user, exercise) in chronological order."""
-    blocks = progression_lines(t, users).groupBy("user_id", "slug", "name", "ord").agg(
+    blocks = progression_lines(t, users).groupBy("user_id", "slug", "label", "place").agg(
         _lines(F.col("position"), line=F.col("line")).alias("body"), F.count(F.lit(1)).alias("sessions"))
     return blocks.select(
-        "user_id", "slug", "ord", "sessions",
-        F.concat(F.lit("**"), F.col("name"), F.lit(":**\n"), F.col("body"), F.lit("\n")).alias("block"))
+        "user_id", "slug", F.col("place").alias("ord"), "sessions",
+        F.concat(F.lit("**"), F.col("label"), F.lit(":**\n"), F.col("body"), F.lit("\n")).alias("block"))
 
 
 def full_log(t, users=None) -> DataFrame:

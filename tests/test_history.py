@@ -136,3 +136,27 @@ def test_no_profile_no_document(t):
     docs = reports.profile_snapshot(t)
     assert docs.count() == t["profile"].count()
     assert docs.where(F.col("document").contains("## Full workout log")).count() > 0
+
+
+def test_progression_speaks_of_the_alias_catalog(make, spark):
+    catalog_source = spark.createDataFrame(
+        [("rope_pushdown", "The pushdown", "triceps", ["push"], 0), ("bench_press", "The bench", "chest", ["bench"], 1)],
+        "slug string, canonical string, muscle_group string, aliases array<string>, ord int")
+    t = make([(1, 7, "2026-01-05", "Chest")], [(1, 1, 1, 50.0, 8), (1, 2, 1, 20.0, 9), (1, 5, 1, 5.0, 5)], EX, catalog_source=catalog_source)
+    got = rows(reports.key_lift_progression(t), "ord", "slug", "block")
+    assert [r[:2] for r in got] == [(0, "rope_pushdown"), (1, "bench_press")]
+    assert got[0][2].startswith("**The pushdown:**\n  - 2026-01-05 (Chest): 20.0 kg × 9 × 1")
+
+
+def test_first_set_with_many_reps(make):
+    t = make([(1, 7, "2026-01-05", None)], [(1, 1, 1, 20.0, 10_000), (1, 1, 1, 20.01, 0)], EX)
+    assert rows(sessions.last_exercise_log(t), "weight_kg", "reps") == [(20.0, 10_000)]
+
+
+def test_groups_outside_the_usual_six_stay(make, spark):
+    exercises = [(1, "bench_press", "Bench", "chest", None), (2, "plank", "Plank", "core", "bodyweight"), (3, "odd", "Odd", None, None)]
+    profile = spark.createDataFrame([(7,), (8,)], "user_id bigint")
+    t = make([(1, 7, "2026-01-05", None)], [(1, 1, 1, 20.0, 5)], exercises, profile=profile)
+    assert rows(sessions.no_history_exercises(t), "user_id", "slug") == [(7, "odd"), (7, "plank"), (8, "bench_press"), (8, "odd"), (8, "plank")]
+    assert sessions.muscle_session_overview(t, "2026-01-05").count() == 6
+    assert rows(sessions.muscle_session_overview(t, "2026-01-05", muscle="core"), "user_id", "slug") == [(7, "plank"), (8, "plank")]
