@@ -8,10 +8,10 @@ densification). Consecutive bins form bands and equal bands form buckets.
 Equal sets are one node from the start. In each bucket every member is compared
 with one centre only, the member that meets the most others over all buckets.
 Links are confirmed on the full sets and joined into components. Buckets whose
-members then still belong to several components go on: the next 8, 64, 512, ...
-members are centres, compared only with members of other components, until each
-pair of such members has met. So a bucket of one big group costs one comparison per
-member, none is left out, and there is no cap on buckets.
+members then still belong to several components are compared to the end, in blocks:
+each pair of members of different components meets, and only links come out. So a
+bucket of one big group costs one comparison per member, none is left out, and there
+is no cap on buckets.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from liftlake.llm import textnum
 from liftlake.llm.util import saved
@@ -33,6 +32,8 @@ ROWS = 5
 MIN_PERCENT = 80
 # Ids of documents that share a bucket, and their labels, are broadcast up to this many (about 16 bytes each).
 MAX_BROADCAST_IDS = 1_000_000
+# Members of a bucket whose sets are compared in one group with those of another such block.
+BLOCK = 1024
 # Small tables between rounds are written as one file per so many rows.
 ROWS_A_FILE = 500_000
 
@@ -194,21 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
         links = saved(_confirmed(_possible(star, percent), sets, percent), "links", parts)
         labels = components(ids, links)
-        # Whether any more pair of a bucket needs to meet: the part of the buckets that is still mixed.
-        low, high = 1, 8
-        mixed = _mixed(members, labels, parts)
-        last = mixed.agg(F.max("place")).first()[0] or 0
-        while low < last:
-            pairs = mixed.where(f"place > {low} and place <= {high}").select(
-                "bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
-            alike = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
-            met = mixed.join(pairs, "bucket").where((F.col("component") != F.col("ca")) & (F.col("place") > F.col("pa")) & alike).select(
-                "a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-            links = saved(_confirmed(_possible(met, percent), sets, percent), "links", parts)
-            if links.limit(1).count():
-                labels = _joined(labels, links, parts)
-                mixed = mixed.drop("component").join(labels, "node")
-            low, high = high, 8 * high
+        links = saved(_rest(members, labels, sets, percent), "links", parts)
+        if links.limit(1).count():
+            labels = _joined(labels, links, parts)
     # Classes of one id are one document; a class takes the label of its node.
     of_class = classes.select("digest", "node")
     found = of_class.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("label")) \
@@ -253,10 +242,41 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _mixed(members: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """Members of buckets that hold several components, numbered from the centre on."""
-    known = members.join(labels, "node")
-    several = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rows = known.join(several.select("bucket"), "bucket", "left_semi")
-    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node"))
-    return saved(rows.withColumn("place", F.row_number().over(order)), "mixed", parts)
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside buckets between members that still belong to different components.
+
+    A bucket is cut into blocks; each pair of blocks is one task's group, and only
+    links leave it, never the pairs. A group holds the sets of two blocks at most.
+    """
+    known = members.select("bucket", "node").join(labels, "node")
+    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo < hi").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    rows = known.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("bucket", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component")
+
+    def run(table: pa.Table) -> pa.Table:
+        component = table.column("component").to_numpy()
+        node = table.column("node").to_numpy()
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        size = np.array([len(x) for x in held])
+        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        _, ids = np.unique(np.concatenate(held), return_inverse=True)
+        mark = np.zeros(ids.max() + 1, np.int32)
+        values, many = np.unique(component, return_counts=True)
+        found_a, found_b = [], []
+        # Two members of the largest component need not meet, so only the others ask.
+        for q in np.flatnonzero(component != values[many.argmax()]):
+            own = ids[starts[q]:starts[q] + size[q]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[ids], starts)
+            mark[own] = 0
+            hit = np.flatnonzero((component != component[q]) & (100 * both >= percent * (size + size[q] - both)))
+            # One link to a component does.
+            hit = hit[np.unique(component[hit], return_index=True)[1]]
+            found_a += [node[q]] * len(hit)
+            found_b += node[hit].tolist()
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    found = dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
