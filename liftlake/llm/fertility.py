@@ -1,7 +1,7 @@
 """Quality rules with tokeniser fertility: public vocabularies measure how well a text fits them.
 
 Characters per token and the entropy of the tokens come from a byte-level BPE, the
-share of byte-fallback tokens from a sentence-piece BPE. Bands of accepted values
+share of the words' bytes that become byte-fallback tokens from a sentence-piece BPE. Bands of accepted values
 are set per language (script where the language is null or rare) from the
 quartiles of the whole corpus, wide enough that only outliers fall outside. A text
 whose language and script are both rare has no band and is not judged by one.
@@ -9,6 +9,8 @@ whose language and script are both rare has no band and is not judged by one.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from liftlake.llm import bpe, textnum
 from liftlake.llm.util import saved
+from liftlake.session import broadcast_if_small
 
 MIN_WORDS = 50
 # A band reaches so many interquartile ranges beyond a quartile; a range counts at least this share of its median.
@@ -27,6 +30,8 @@ LEAST_SPREAD = 0.03
 SHORT_TOKENS = 400
 # Above: so many times the upper quartile of characters per token, and this share of fallback tokens at least.
 LONG_TOKENS, LEAST_FALLBACK = 3.0, 0.1
+# Bands are broadcast up to this many.
+MAX_BANDS = 10_000
 # Entropy is measured against the most that this many tokens can have, so long texts compare with short ones.
 ENTROPY_TOKENS = 1000
 # Documents a group needs to have bands of its own.
@@ -43,27 +48,23 @@ _IS_SYMBOL[list(SYMBOLS)] = 1
 
 
 class Pieces:
-    """Tokens and byte-fallback tokens of words under a sentence-piece vocabulary, from a bounded cache."""
+    """Byte-fallback tokens of texts under a sentence-piece vocabulary.
+
+    A word whose characters are all pieces themselves never falls back, so only
+    words with another character are tokenised.
+    """
 
-    def __init__(self, path: str, cached: int = bpe.CACHED_WORDS):
+    def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.fallback = [self.model.is_byte(k) for k in range(self.model.get_piece_size())]
-        self.room, self.known = cached, {}
-
-    def counts(self, text: str) -> tuple[int, int]:
-        words = text.split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, x in zip(words, found) if x is None))
-            fresh = {}
-            for w, ids in zip(new, self.model.encode(new, num_threads=1)):
-                fresh[w] = len(ids) + 1j * sum(self.fallback[i] for i in ids)
-                if self.room > 0 and len(w) < 64:
-                    self.room -= 1
-                    self.known[w] = fresh[w]
-            found = [fresh[w] if x is None else x for w, x in zip(words, found)]
-        total = sum(found, 0j)
-        return int(total.real), int(total.imag)
+        pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
+        self.fallback = np.array([self.model.is_byte(k) for k in range(len(pieces))])
+        self.other = re.compile("[^ \t-\r" + "".join(map(re.escape, sorted({p for p in pieces if len(p) == 1}))) + "]")
+
+    def fallback_tokens(self, text: str) -> int:
+        if not self.other.search(text):
+            return 0
+        words = [w for w in re.split("[ \t-\r]+", text) if self.other.search(w)]
+        return sum(int(self.fallback[ids].sum()) for ids in self.model.encode(words, num_threads=1) if ids)
 
 
 _ready: dict[str, Pieces] = {}
@@ -129,12 +130,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None,
 
             chars = summed((data & 0xC0) != 0x80)
             word_chars = chars - summed(textnum.IS_SPACE[data])
+            sizes = np.diff(offsets) - summed(textnum.IS_SPACE[data])
             cols = [[] for _ in range(7)]
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.encode(text)
-                n, fallback = pieces.counts(text)
+                # A fallback token is one byte.
+                fallback = pieces.fallback_tokens(text)
                 row = (_script(data[offsets[k]:offsets[k + 1]]), _duplicate_lines(text), _repeated_words(hashes[per_text[k]:per_text[k + 1]]),
-                       len(ids), float(chars[k] / max(1, len(ids))), fallback / max(1, n), _entropy(ids))
+                       len(ids), float(chars[k] / max(1, len(ids))), min(1.0, fallback / max(1, sizes[k])), _entropy(ids))
                 for c, x in zip(cols, row):
                     c.append(x)
             yield pa.RecordBatch.from_arrays(
@@ -187,8 +190,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             inside = inside & F.col(m).between(low, high)
         return table.withColumn("kept", ~F.col("base_failed") & inside)
     sound = table.where("not base_failed")
-    own = bands(sound, "lang", MIN_GROUP).withColumnsRenamed({"key": "lang_key", "band": "lang_band"})
-    script = bands(sound, "script", MIN_GROUP).withColumnsRenamed({"key": "script_key", "band": "script_band"})
+    # A handful of rows: joined by broadcast, so that documents are not dealt by their few languages.
+    own, script = (broadcast_if_small(saved(bands(sound, g, MIN_GROUP), "bands", 1), MAX_BANDS).withColumnsRenamed(
+        {"key": f"{g}_key", "band": f"{g}_band"}) for g in ("lang", "script"))
     out = table.join(script, F.col("script") == F.col("script_key"), "left").join(own, F.col("lang") == F.col("lang_key"), "left") \
         .withColumn("band", F.coalesce("lang_band", "script_band"))
     stretch = F.sqrt(1 + SHORT_TOKENS / F.greatest("n_tokens", F.lit(1)))
