@@ -65,7 +65,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     """
     found = units(docs, id_col, text_col, unit, min_words)
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version", "nth")
-    groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("kept")).where("n > 1")
+    # Written first: a join with a stored table can be split where one unit is very frequent.
+    groups = saved(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("kept")).where("n > 1"), "groups")
     return found.join(groups, "digest").where(rank != F.col("kept")) \
         .select("doc_id", "version", "start", "stop", F.col("kept.doc_id").alias("kept_id"))
 
