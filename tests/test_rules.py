@@ -88,6 +88,8 @@ def test_allowed_users(spark):
     assert rows(reports.allowed_users(df, " 1, ,3,")) == [(1,), (3,)]
     with pytest.raises(ValueError):
         reports.allowed_users(df, " , ")
+    with pytest.raises(ValueError):
+        reports.allowed_users(df, spark.createDataFrame([(" , ",)], "ids string"))
 
 
 def test_catalog_dictionary(spark):
