@@ -9,6 +9,7 @@ different editions of Unicode.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 
 import numpy as np
@@ -22,11 +23,16 @@ _FIRST_DECIDES = re.compile(r"<\|endoftext\|>|[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 
 class ByteBpe:
     def __init__(self, tokenizer_file: str, ranks_file: str):
-        self.first = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer_file = tokenizer_file
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.second = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def first(self) -> Tokenizer:
+        """Read when a text needs it."""
+        return Tokenizer.from_file(self.tokenizer_file)
+
     def encode(self, text: str) -> np.ndarray:
         """Ids as the tokenizer file gives them without added special tokens (uint16)."""
         if _FIRST_DECIDES.search(text):

@@ -8,6 +8,8 @@ but the word's bytes, so every worker and every run agrees on them.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,7 +50,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def parts(batches, column: int = 1, most: int = 4 << 20):
+def _release() -> None:
+    """Give freed memory back: workers wait for the next task beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def parts(batches, column: int = 1, most: int = 1 << 20):
     """Cut record batches so that each part holds about ``most`` bytes of text, or one longer text."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -58,6 +68,7 @@ def parts(batches, column: int = 1, most: int = 4 << 20):
             at = int(cut)
         if at < batch.num_rows:
             yield batch.slice(at)
+    _release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
