@@ -24,8 +24,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated units of every document, where they stood, and the documents whose occurrence stays."""
-    found = linededup.deduplicate(table(spark, sf_dir, "documents"))
+    """Repeated units and passages of every document, where they stood, and the documents whose occurrence stays."""
+    found = linededup.deduplicate(table(spark, sf_dir, "documents"), passage=linededup.PASSAGE_WORDS)
     removed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return found.select("doc_id", "n_removed", removed.alias("removed"), F.length("clean_text").cast("bigint").alias("clean_chars"),
                         F.sha2("clean_text", 256).alias("clean_sha256"), "sources")

@@ -273,6 +273,52 @@ def test_repeated_units_against_brute_force(docs):
     assert linededup.deduplicate(docs([])).count() == 0
 
 
+def test_repeated_passages_against_brute_force(spark, docs):
+    rng = random.Random(14)
+    vocabulary = [f"w{k}" for k in range(900)] + ["Éa", "漢字"]
+
+    def some(n, marks=0.0):
+        return [x + rng.choice(".!?") * (rng.random() < marks) for x in rng.choices(vocabulary, k=n)]
+
+    shared = [some(n, marks) for n in (49, 50, 51, 60, 90, 200, 400) for marks in (0, 0.3)]
+    rows = []
+    for k in range(60):
+        text = some(rng.randrange(30), 0.1)
+        for x in rng.sample(shared, 3):
+            a = rng.choice((0, 0, rng.randrange(len(x) // 2)))
+            text += [w.upper() if rng.random() < 0.1 and w.isascii() else w for w in x[a:]] + some(rng.randrange(40), 0.1)
+        rows.append((k if k < 50 else k - 50, rng.choice((" ", "\n", "  ")).join(text)))
+    frame = docs(rows + [(70, "a b c " * 100), (71, "a b c " * 100), (72, None), (None, rows[0][1]), rows[3]], clash=True)
+    every = [tuple(r) for r in frame.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) v").collect()]
+    order = sorted(set(every), key=lambda x: (x[0] is None, x[0] or 0, x[2]))
+    first, expected = {}, {}
+    for key, text, v in order:
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+        w, gone = words(text), set()
+        for i in range(len(w) - 49):
+            kept = first.setdefault(tuple(w[i:i + 50]), (key, v, i))
+            if kept[:2] != (key, v) or i >= kept[2] + 50:
+                gone |= set(range(found[i].start(), found[i + 49].end()))
+        expected[key, v] = gone
+    # No unit has so many words: passages alone.
+    got = {(r["doc_id"], r["version"]): set() for r in frame.selectExpr("doc_id", "xxhash64(coalesce(text, '')) version").collect()}
+    for r in linededup.repeats(frame, min_words=10 ** 6, passage=50).collect():
+        got[r["doc_id"], r["version"]] |= set(range(r["start"], r["stop"]))
+    assert got == expected and sum(map(len, expected.values())) > 10_000
+    out = linededup.deduplicate(frame, min_words=10 ** 6, passage=50).collect()
+    assert len(out) == len(every)
+    for r in out:
+        at = {x for a, b in r["removed"] for x in range(a, b)}
+        assert sum(b - a for a, b in r["removed"]) == len(at)
+        assert any(r["clean_text"] == (t if t is None else "".join(c for j, c in enumerate(t) if j not in at)) and at == expected[k, v]
+                   for k, t, v in every if k == r["doc_id"])
+    # Texts that share an unpunctuated passage are found.
+    assert linededup.deduplicate(docs([]), passage=50).count() == 0
+    passage = " ".join(f"word{k}" for k in range(60))
+    two = {r["doc_id"]: r for r in linededup.deduplicate(docs([f"One {passage} ends here.", f"Another that {passage} goes on."]), passage=50).collect()}
+    assert two[0]["n_removed"] == 0 and two[1]["clean_text"] == "Another that  goes on." and two[1]["sources"] == [0]
+
+
 @pytest.mark.parametrize("unit", list(linededup.UNITS))
 @settings(max_examples=60, deadline=None)
 @given(text=st.text(alphabet="ab.\n! ", max_size=40))
