@@ -2,9 +2,10 @@
 
 Characters per token and the entropy of the tokens come from a byte-level BPE, the
 share of the words' bytes that become byte-fallback tokens from a sentence-piece BPE. Bands of accepted values
-are set per language (script where the language is null or rare) from the
-quartiles of the whole corpus, wide enough that only outliers fall outside. A text
-whose language and script are both rare has no band and is not judged by one.
+are set from the quartiles of each language over the whole corpus, wide enough that
+only outliers fall outside. A small language's quartiles are drawn towards its
+script's, a small script's towards those of all sound documents, so every sound
+document is judged.
 """
 
 from __future__ import annotations
@@ -34,8 +35,13 @@ LONG_TOKENS, LEAST_FALLBACK = 3.0, 0.1
 MAX_BANDS = 10_000
 # Entropy is measured against the most that this many tokens can have, so long texts compare with short ones.
 ENTROPY_TOKENS = 1000
-# Documents a group needs to have bands of its own.
-MIN_GROUP = 200
+# The wider group counts as so many documents beside a group's own: few, as languages differ more than their texts.
+MIN_GROUP = 5
+# A group's range beyond the wider group's counts in full only with many more documents than this.
+WIDE_GROUP = 200
+# Least values in any corpus. Characters a token can't be compared between scripts: the lower
+# edge of a script of few documents is drawn towards the least value instead.
+FLOORS = {"chars_per_token": 0.3, "entropy": 0.3}
 
 # The symbols counted, and the scripts told apart by their first and last letters.
 SYMBOLS = b"#*$%&|<>"
@@ -150,23 +156,41 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None,
                                   "n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
-def bands(table: DataFrame, group: str, least: int) -> DataFrame:
-    """Per group of at least ``least`` documents: its key and the band of each measure, from low - reach (for a long text) to high."""
-    sums = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
-    grouped = table.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= least)
+def quartiles(table: DataFrame, *group: str) -> DataFrame:
+    """Per group, or of all: n and the quartiles of each measure, with the group's or "all" before their names."""
+    name = group[0] if group else "all"
+    sums = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"{name}_{m}") for m in MEASURES]
+    for g in group:
+        table = table.where(F.col(g).isNotNull()).withColumnRenamed(g, f"{g}_key")
+    return table.groupBy(*(f"{g}_key" for g in group)).agg(F.count(F.lit(1)).alias(f"{name}_n"), *sums)
+
+
+def _drawn(group: str, measure: str, wider: list):
+    """Quartiles of a group, drawn towards the wider group's; without the group those of the wider one."""
+    n, q = F.coalesce(f"{group}_n", F.lit(0)), F.col(f"{group}_{measure}")
+    return [(n * F.coalesce(q[k], wider[k]) + MIN_GROUP * wider[k]) / (n + MIN_GROUP) for k in range(3)]
+
+
+def _inside(stretch):
+    """Whether each measure of a row joined with its groups' quartiles lies in its band."""
+    q, spread = {}, {}
+    lang_n = F.coalesce("lang_n", F.lit(0))
+    for m in MEASURES:
+        script, every = ([F.col(f"{g}_{m}")[k] for k in range(3)] for g in ("script", "all"))
+        wider = script if m == "chars_per_token" else _drawn("script", m, every)
+        q[m] = _drawn("lang", m, wider)
+        own, most = q[m][2] - q[m][0], wider[2] - wider[0]
+        spread[m] = F.least(own, most + F.greatest(own - most, F.lit(0.0)) * lang_n / (lang_n + WIDE_GROUP))
 
     def reach(m):
-        q = F.col(m)
-        return REACH[m] * F.greatest(q[2] - q[0], LEAST_SPREAD * q[1])
+        return REACH[m] * F.greatest(spread[m], LEAST_SPREAD * q[m][1])
 
-    chars, entropy, fallback = (F.col(m) for m in ("chars_per_token", "entropy", "fallback_share"))
-    edges = {
-        "chars_per_token": (chars[0], reach("chars_per_token"), LONG_TOKENS * chars[2]),
-        "entropy": (entropy[0], reach("entropy"), F.lit(float("inf"))),
-        "fallback_share": (F.lit(0.0), F.lit(0.0), F.greatest(F.lit(LEAST_FALLBACK), fallback[2] + reach("fallback_share"))),
-    }
-    return grouped.select(F.col(group).alias("key"), F.create_map(*[x for m in MEASURES for x in (
-        F.lit(m), F.struct(edges[m][0].alias("low"), edges[m][1].alias("reach"), edges[m][2].alias("high")))]).alias("band"))
+    chars, entropy, fallback = (q[m] for m in ("chars_per_token", "entropy", "fallback_share"))
+    n = F.greatest(lang_n, F.col("script_n"))
+    low = (n * (chars[0] - reach("chars_per_token") * stretch) + MIN_GROUP * FLOORS["chars_per_token"]) / (n + MIN_GROUP)
+    return F.col("chars_per_token").between(F.greatest(low, F.lit(FLOORS["chars_per_token"])), LONG_TOKENS * chars[2]) \
+        & (F.col("entropy") >= F.greatest(entropy[0] - reach("entropy") * stretch, F.lit(FLOORS["entropy"]))) \
+        & (F.col("fallback_share") <= F.greatest(F.lit(LEAST_FALLBACK), fallback[2] + reach("fallback_share")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", min_words: int = MIN_WORDS,
@@ -175,8 +199,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Base: too few words, or more than half of them in repeated 3-word windows. A
     document that passes is kept if each measure lies in the band of its language,
-    if that has ``MIN_GROUP`` sound documents, else of its script; without either it
-    is kept. ``given`` sets bands for all by measure instead. Null text counts as empty and
+    drawn towards its script and all sound documents the more the fewer it has. ``given`` sets bands for all by measure instead. Null text counts as empty and
     fails; a null language takes the script's bands; equal rows are judged alike;
     an empty table gives an empty result; other columns are not read.
     """
@@ -191,14 +214,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return table.withColumn("kept", ~F.col("base_failed") & inside)
     sound = table.where("not base_failed")
     # A handful of rows: joined by broadcast, so that documents are not dealt by their few languages.
-    own, script = (broadcast_if_small(saved(bands(sound, g, MIN_GROUP), "bands", 1), MAX_BANDS).withColumnsRenamed(
-        {"key": f"{g}_key", "band": f"{g}_band"}) for g in ("lang", "script"))
+    own, script = (broadcast_if_small(saved(quartiles(sound, g), "bands", 1), MAX_BANDS) for g in ("lang", "script"))
     out = table.join(script, F.col("script") == F.col("script_key"), "left").join(own, F.col("lang") == F.col("lang_key"), "left") \
-        .withColumn("band", F.coalesce("lang_band", "script_band"))
-    stretch = F.sqrt(1 + SHORT_TOKENS / F.greatest("n_tokens", F.lit(1)))
-    inside = F.col("band").isNull()
-    held = F.lit(True)
-    for m in MEASURES:
-        band = F.col("band")[m]
-        held = held & F.col(m).between(band["low"] - band["reach"] * stretch, band["high"])
-    return out.select(*table.columns, (~F.col("base_failed") & (inside | held)).alias("kept"))
+        .crossJoin(F.broadcast(saved(quartiles(sound), "bands", 1)))
+    inside = _inside(F.sqrt(1 + SHORT_TOKENS / F.greatest("n_tokens", F.lit(1))))
+    return out.select(*table.columns, (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

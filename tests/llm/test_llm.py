@@ -609,6 +609,21 @@ def test_bands_reject_outliers_only(docs, monkeypatch):
     assert not fertility.judge(docs([other], lang=None), given={"fallback_share": (0.0, 0.05)}).first()["kept"]
 
 
+def test_small_groups_are_judged(docs):
+    rng = random.Random(7)
+    plain = "every small house along this quiet river road stands near another green garden where people often meet before winter comes".split()
+    texts = [" ".join(rng.choices(plain, k=80) + [f"n{k}"]) + " " + " ".join(rng.choices(plain, k=20)) for k in range(60)]
+    odd = " ".join(f"q{k}zx{7 * k}vj#kk%{k}" for k in range(80))
+    rare = " ".join(chr(0x13000 + 37 * k % 900) * 2 + "漢漢漢" for k in range(80))
+    frame = docs(texts).union(docs([(100, texts[0]), (101, odd)], lang="xx")).union(docs([(102, odd), (103, rare), (104, texts[1])], lang=None))
+    got = {r["doc_id"]: r for r in fertility.judge(frame).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and got[103]["script"] == "han" and got[103]["fallback_share"] > 0.3
+    assert {k for k, r in got.items() if not r["kept"]} == {101, 102, 103}
+    # The same texts get the same verdict in a table ten times as large.
+    more = {r["doc_id"]: r["kept"] for r in fertility.judge(frame.union(docs([(200 + k, t) for k, t in enumerate(texts * 9)]))).collect()}
+    assert all(more[k] == r["kept"] for k, r in got.items())
+
+
 # -- packing ---------------------------------------------------------------------
 
 
