@@ -687,6 +687,17 @@ def test_every_capacity_holds(docs, rule):
         packing.plan({50: 1}, 64, max_attention=900)
 
 
+def test_packing_with_binding_capacities(docs):
+    texts = [(k, "one two three " * (1 + k % 12)) for k in range(120)]
+    for limits, holds in (({"max_documents": 2}, lambda b: len(b) <= 2), ({"max_attention": 2000}, lambda b: sum(x * x for x in b) <= 2000)):
+        rows = packing.pack(docs(texts), tokens=64, **limits).collect()
+        sequences, total = check_packing(rows, texts, 64)
+        bins = {}
+        for r in rows:
+            bins.setdefault(r["sequence_id"], []).append(r["length"])
+        assert all(holds(b) for b in bins.values()) and sequences > -(-total // 64) + 1
+
+
 def test_ids_come_along(docs):
     row = packing.pack(docs(["hello there"]), with_ids=True).first()
     assert row["ids"][-1] == packing.END_ID and len(row["ids"]) == row["length"]
