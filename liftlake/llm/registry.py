@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.llm import decontam, fertility, langid, linededup, lm, neardup, packing, pii, quality_fm, warc
+from liftlake.llm import (decontam, fertility, langid, linededup, lm, neardup, packing, periodic, pii, quality_fm, token_files, warc,
+                          whitening)
 from liftlake.llm.util import fold, table
 
 
@@ -74,6 +75,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and digest of every document's token ids, read back from the files they were written to."""
+    return token_files.write(table(spark, sf_dir, "documents")).documents(spark)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, a tenth of them made periodic, and the text without their repetitions, as digests."""
+    return periodic.digests(periodic.detect(table(spark, sf_dir, "documents"), rewrite=periodic.planted)).drop("n_words")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the leading components, whitened, one row a component."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.by_component(vectors, whitening.fit(vectors))
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 _OP1_SQL = rf"""
@@ -109,7 +126,8 @@ FROM c LEFT JOIN n USING (doc_id)
 
 def queries():
     ops = (op1_decontamination, op2_language_id, op3_substring_dedup, op4_warc_derivatives, op5_kneser_ney_lm, op6_pii, op7_quality_fm,
-           op8_fertility_rules, op9_best_fit_packing, op10_minhash_near_dedup)
+           op8_fertility_rules, op9_best_fit_packing, op10_minhash_near_dedup, op11_token_files, op12_periodic_runs,
+           op13_embedding_whitening)
     return {f.__name__: f for f in ops}
 
 
