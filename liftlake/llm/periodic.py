@@ -30,27 +30,6 @@ LEAST_WORDS = 6
 LEAST_PERIODS = 4
 
 
-def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal words: by hash, then checked byte by byte."""
-    hashes = textnum.word_hashes(data, starts, ends)
-    _, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
-    length = ends - starts
-    model = first[numbers]
-    if (length != length[model]).any() or not _same_bytes(data, starts, starts[model], length):
-        seen: dict[bytes, int] = {}
-        return np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(starts, ends)], np.int64)
-    return numbers.astype(np.int64)
-
-
-def _same_bytes(data, a, b, length, at_once: int = 1 << 17) -> bool:
-    for k in range(0, len(a), at_once):
-        size = length[k:k + at_once]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        if (data[np.repeat(a[k:k + at_once], size) + inside] != data[np.repeat(b[k:k + at_once], size) + inside]).any():
-            return False
-    return True
-
-
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix array by prefix doubling, and the ranks of each step: ``ranks[k]`` orders the first ``2**k`` symbols.
 
@@ -273,7 +252,7 @@ def _detect(batch: pa.RecordBatch, least: int, periods: int, rewrite: Rewrite |
         starts, ends = starts[taken], ends[taken]
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(keys)), sizes)
-    numbers = word_numbers(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
+    numbers = textnum.word_numbers(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
     found = runs(owner * (numbers.max(initial=0) + 1) + numbers, least, periods)
     gone = dropped(found, len(starts))
     mine = owner[found[:, 0]]

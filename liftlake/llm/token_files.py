@@ -10,14 +10,13 @@ pair of Arrow IPC files, written in a stream of record batches:
   and ``n_tokens``.
 
 ``manifest.arrow`` has a line per range: documents, tokens and sequences in it and
-before it. Ids and masks are whole bytes, uncompressed, so a memory-mapped file
-gives any sequence as a view: batch ``k // rows``, row ``k % rows``.
+before it. Nothing is compressed, so a memory-mapped file gives any sequence as a
+view: batch ``k // rows``, row ``k % rows``; masks are packed into bits.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -98,43 +97,48 @@ class _Range:
 
     def __init__(self, folder: str, part: int, length: int, rows: int, kind: np.dtype):
         self.length, self.room, self.kind = length, length * rows, kind
-        fields = [(name, pa.list_(t, length)) for name, t in (("ids", pa.from_numpy_dtype(kind)), ("mask", pa.uint8()))]
+        fields = [(name, pa.list_(t, length)) for name, t in (("ids", pa.from_numpy_dtype(kind)), ("mask", pa.bool_()))]
         self.sequences = _File(folder, f"sequences-{part:05d}.arrow", pa.schema(fields))
         self.listing = _File(folder, f"documents-{part:05d}.arrow", _LISTING)
-        self.waiting, self.listed = np.zeros(0, kind), []
+        self.waiting = np.zeros(0, kind)
+        self.listed: list[pa.RecordBatch] = []
         self.documents = self.tokens = self.written = 0
 
-    def _sequences(self, ids: np.ndarray, mask: np.ndarray):
-        self.sequences.put(*(pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (ids, mask)))
+    def _sequences(self, ids: np.ndarray, mask: pa.Array):
+        self.sequences.put(*(pa.FixedSizeListArray.from_arrays(a, self.length) for a in (pa.array(ids), mask)))
         self.written += len(ids) // self.length
 
-    def _list(self):
-        if self.listed:
-            keys, starts, sizes = zip(*self.listed)
-            self.listing.put(pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()))
-            self.listed = []
-
-    def put(self, keys: list, texts_ids: list[np.ndarray]):
-        for key, ids in zip(keys, texts_ids):
-            self.listed.append((key, self.tokens, len(ids)))
-            self.tokens += len(ids)
-            if len(self.listed) == LISTED:
-                self._list()
-        self.documents += len(keys)
-        self.waiting = np.concatenate((self.waiting, *texts_ids))
+    def _list(self, at_least: int):
+        """Write the documents listed so far in batches of a fixed number of rows."""
+        waiting = pa.Table.from_batches(self.listed, _LISTING).combine_chunks()
+        at = 0
+        while waiting.num_rows - at >= at_least:
+            for batch in waiting.slice(at, LISTED).to_batches():
+                self.listing.put(*batch.columns)
+            at += LISTED
+        self.listed = waiting.slice(at).to_batches()
+
+    def put(self, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray):
+        starts = self.tokens + np.cumsum(sizes) - sizes
+        self.listed.append(pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=_LISTING))
+        self.documents += len(sizes)
+        self.tokens += len(ids)
+        self._list(LISTED)
+        self.waiting = np.concatenate((self.waiting, ids))
         whole = len(self.waiting) // self.room * self.room
+        full = pa.array(np.ones(self.room, bool))
         for at in range(0, whole, self.room):
-            self._sequences(self.waiting[at:at + self.room], np.ones(self.room, np.uint8))
+            self._sequences(self.waiting[at:at + self.room], full)
         self.waiting = self.waiting[whole:].copy()
 
     def close(self) -> tuple[int, int, int]:
         """Documents, tokens and sequences of the range; only its last sequence is padded."""
-        self._list()
+        self._list(1)
         if n := len(self.waiting):
             size = -(-n // self.length) * self.length
-            ids, mask = np.zeros(size, self.kind), np.zeros(size, np.uint8)
-            ids[:n], mask[:n] = self.waiting, 1
-            self._sequences(ids, mask)
+            ids = np.zeros(size, self.kind)
+            ids[:n] = self.waiting
+            self._sequences(ids, pa.array(np.arange(size) < n))
         self.sequences.close()
         self.listing.close()
         return self.documents, self.tokens, self.written
@@ -142,26 +146,50 @@ class _Range:
 
 # -- writing -------------------------------------------------------------------------------
 
-# Long texts are encoded in stretches cut before a space between ASCII letters or digits: the tokenizer drops white
-# space and none of its pieces crosses one, so the ids are those of the whole text.
-_STRETCH = 1 << 17
-_CUT = re.compile(r"(?<=[a-zA-Z0-9]) (?=[a-zA-Z0-9])")
+# Words whose ids a worker keeps.
+_KEPT_WORDS = 400_000
 
 
-def stretches(text: str, size: int = _STRETCH) -> list[str]:
-    out, at = [], 0
-    while len(text) - at > size and (found := _CUT.search(text, at + size)):
-        out.append(text[at:found.start()])
-        at = found.start()
-    return [*out, text[at:]]
+class WordEncoder:
+    """Ids of whole texts, each different word encoded once.
 
+    The tokenizer drops white space and none of its pieces, normalisations or special
+    tokens reaches across it, so a text's ids are those of its words in turn.
+    """
 
-def encode(texts: list[str], tokenizer_file: str, end_id: int, kind: np.dtype) -> list[np.ndarray]:
-    """Ids of whole texts, without added special tokens, and ``end_id`` after each."""
-    tokenizer = _tokenizer(tokenizer_file)
-    pieces = [stretches(t) for t in texts]
-    encoded = iter(tokenizer.encode_batch_fast([p for each in pieces for p in each], add_special_tokens=False))
-    return [np.array([i for _ in each for i in next(encoded).ids] + [end_id], kind) for each in pieces]
+    def __init__(self, tokenizer_file: str, end_id: int):
+        self.tokenizer, self.end_id = _tokenizer(tokenizer_file), end_id
+        self.kind = _kind(self.tokenizer)
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+        if len(self.known) > _KEPT_WORDS:
+            self.known.clear()
+        if new := [w for w in words if w not in self.known]:
+            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, self.kind)
+        return [self.known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, ``end_id`` after each, and the number of each text's ids."""
+        data, offsets = textnum.text_bytes(texts)
+        starts, ends, bounds = textnum.words(data, offsets)
+        numbers = textnum.word_numbers(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
+        _, first, numbers = np.unique(numbers, return_index=True, return_inverse=True)
+        pieces = self._ids([data[a:b].tobytes() for a, b in zip(starts[first], ends[first])])
+        pieces.append(np.array([self.end_id], self.kind))
+        # The end id is one more word after each text's last.
+        order = np.insert(numbers, bounds[1:], len(pieces) - 1)
+        size = np.array([len(p) for p in pieces])
+        flat, begin = np.concatenate(pieces), np.cumsum(size) - size
+        each = size[order]
+        done = np.cumsum(each)
+        ids = flat[np.repeat(begin[order] - (done - each), each) + np.arange(done[-1])]
+        return ids, np.diff(done[bounds[1:] + np.arange(len(texts))], prepend=0)
+
+
+def _kind(tokenizer: Tokenizer) -> np.dtype:
+    return np.dtype(np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
 
 
 def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -177,17 +205,16 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "token-files")
     tokenizer_file = tokenizer_file or public_tokenizers.path("word_bpe_49k.json")
-    kind = np.dtype(np.uint16 if _tokenizer(tokenizer_file).get_vocab_size() <= 1 << 16 else np.int32)
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = picked.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
     spread = min(4 * spark.sparkContext.defaultParallelism, -(-size // (1 << 20)))
     ranges = max(1, spread, -(-size // range_bytes))
 
     def run(batches):
-        part, out = TaskContext.get().partitionId(), None
+        part, out, encoder = TaskContext.get().partitionId(), None, WordEncoder(tokenizer_file, end_id)
         for batch in textnum.parts(batches):
-            out = out or _Range(folder, part, length, rows, kind)
-            out.put(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), tokenizer_file, end_id, kind))
+            out = out or _Range(folder, part, length, rows, encoder.kind)
+            out.put(batch.column(0), *encoder.encode(batch.column(1)))
         if out is not None:
             documents, tokens, sequences = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([n]) for n in (documents, tokens, sequences))],
@@ -235,7 +262,7 @@ class TokenFiles:
     def _line(self, column: str, n: int) -> int:
         return int(np.searchsorted(self.manifest[column], n, "right")) - 1
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``k``, views of the mapped file."""
         if not 0 <= k < len(self):
             raise IndexError(k)
@@ -244,7 +271,7 @@ class TokenFiles:
         length = file.schema.field("ids").type.list_size
         at, row = divmod(k - int(self.manifest["sequences_before"][line]), self._rows(line))
         batch = file.get_batch(at)
-        return tuple(_flat(batch.column(c))[row * length:(row + 1) * length] for c in range(2))
+        return _flat(batch.column(0))[row * length:(row + 1) * length], batch.column(1).flatten().slice(row * length, length)
 
     def _rows(self, line: int) -> int:
         return self._file("sequences", line).get_batch(0).num_rows

@@ -160,9 +160,11 @@ def test_token_files_round_trip(spark, tokenizer, tmp_path, clash):
     keys = [k for k, _ in stored]
     assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
     stream = np.concatenate([ids for _, ids in stored])
-    masked = [ids[mask == 1] for ids, mask in map(files.sequence, range(len(files)))]
+    masked = [ids[np.asarray(mask)] for ids, mask in map(files.sequence, range(len(files)))]
     assert (np.concatenate(masked) == stream).all()
-    assert all(len(ids) == len(mask) == 16 and not ids.flags.owndata and not mask.flags.owndata for ids, mask in map(files.sequence, range(len(files))))
+    mapped = pa.total_allocated_bytes()
+    assert all(len(ids) == len(mask) == 16 and not ids.flags.owndata for ids, mask in map(files.sequence, range(len(files))))
+    assert pa.total_allocated_bytes() == mapped  # views of the files, not copies
     assert (files.tokens(5, 100) == stream[5:105]).all() and len(files.tokens(5, 0)) == 0
     rows = files.documents(spark).collect()
     starts = np.concatenate(([0], np.cumsum([len(ids) for _, ids in stored])))
@@ -180,12 +182,13 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
 
 
 @settings(**SETTINGS)
-@given(st.text(alphabet="ab1 Éß'.\ń ſ漢", max_size=200), st.integers(1, 20))
-def test_stretches_have_the_ids_of_the_whole_text(text, size):
-    tokenizer = token_files._tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    cut = token_files.stretches(text, size)
-    assert "".join(cut) == text
-    assert [i for s in cut for i in tokenizer.encode(s, add_special_tokens=False).ids] == tokenizer.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.text(alphabet="aAb1 É\u0301\u0308ß'sΣς.\n\tń \u00a0\u2003\u0085\u200bſ漢<|>endoftext", max_size=60), min_size=1, max_size=5))
+def test_ids_by_word_are_those_of_whole_texts(texts):
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    texts += ["<|endoftext|> a<|endoftext|>b <|startoftext|>", "it's  THE'S \u0301x \u0308"]
+    ids, sizes = encoder.encode(pa.array(texts))
+    plain = [plain_ids(encoder.tokenizer, t) for t in texts]
+    assert ids.tolist() == [i for p in plain for i in p] and sizes.tolist() == [len(p) for p in plain]
 
 
 # -- whitening -------------------------------------------------------------------
