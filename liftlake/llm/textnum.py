@@ -116,13 +116,13 @@ def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     _, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
     length = ends - starts
     model = first[numbers]
-    if (length != length[model]).any() or not _same_bytes(data, starts, starts[model], length):
+    if (length != length[model]).any() or not same_bytes(data, starts, starts[model], length):
         seen: dict[bytes, int] = {}
         return np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(starts, ends)], np.int64)
     return numbers.astype(np.int64)
 
 
-def _same_bytes(data, a, b, length, at_once: int = 1 << 17) -> bool:
+def same_bytes(data, a, b, length, at_once: int = 1 << 17) -> bool:
     for k in range(0, len(a), at_once):
         size = length[k:k + at_once]
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)

@@ -16,6 +16,7 @@ view: batch ``k // rows``, row ``k % rows``; masks are packed into bits.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from liftlake.llm import textnum
 from liftlake.session import shared_dir
@@ -146,46 +147,204 @@ class _Range:
 
 # -- writing -------------------------------------------------------------------------------
 
-# Words whose ids a worker keeps.
-_KEPT_WORDS = 400_000
+# Different units whose ids a worker keeps, about.
+_KEPT_UNITS = 600_000
+# Units encoded together.
+_TOGETHER = 4_000
 
+# How the default tokenizer cuts a text before its merges. Files that say otherwise encode whole texts.
+_NORMAL = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_END_OF_WORD = "</w>"
 
-class WordEncoder:
-    """Ids of whole texts, each different word encoded once.
+# Bytes of a plain word: ASCII letters and those of Latin-1 (0xC3 and a byte) 1, digits 2, marks 3, all others 0.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[0x30:0x3A] = 2
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = 1
+# Apostrophes may begin a contraction and this sign a special token.
+_CLASS[[0x27, 0x3C]] = 0
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False  # multiplication and division
 
-    The tokenizer drops white space and none of its pieces, normalisations or special
-    tokens reaches across it, so a text's ids are those of its words in turn.
+
+class _Ragged:
+    """Rows of different lengths in one growing array."""
+
+    def __init__(self, kind):
+        self.flat, self.ends = np.zeros(0, kind), np.zeros(0, np.int64)
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray):
+        self.ends = np.concatenate((self.ends, len(self.flat) + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def bounds(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(rows > 0, self.ends[rows - 1], 0), self.ends[rows]
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of ``size`` entries from each ``begin`` on, in a row."""
+    done = np.cumsum(size)
+    out = np.repeat(begin - (done - size), size)
+    out += np.arange(len(out))
+    return out
+
+
+class UnitEncoder:
+    """Ids of whole texts, each different unit encoded once.
+
+    The default tokenizer drops white space, and none of its pieces, normalisations or
+    special tokens reaches across it; so a text's ids are those of its words. A plain
+    word (see ``_CLASS``) is lower-cased and cut here as the tokenizer would: into runs of
+    letters, single digits and runs of marks. Other words are units as they are. Units
+    are known by hash and compared byte by byte.
     """
 
     def __init__(self, tokenizer_file: str, end_id: int):
         self.tokenizer, self.end_id = _tokenizer(tokenizer_file), end_id
         self.kind = _kind(self.tokenizer)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > _KEPT_WORDS:
-            self.known.clear()
-        if new := [w for w in words if w not in self.known]:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.kind)
-        return [self.known[w] for w in words]
+        self.cut, self.is_last = _cutter(tokenizer_file)
+        self._forget()
+
+    def _forget(self):
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash; row of each
+        self.units, self.ids = _Ragged(np.uint8), _Ragged(self.kind)
+
+    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row as the tokenizer gives them, and their numbers."""
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        each = [np.array(e.ids, self.kind) for e in found]
+        return np.concatenate([np.zeros(0, self.kind), *each]), np.array([len(e) for e in each], np.int64)
+
+    def _cut_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cut units in a row, and their numbers; a unit's last id is one that ends a word."""
+        flats, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for k in range(0, len(starts), _TOGETHER):
+            a, b = starts[k:k + _TOGETHER], ends[k:k + _TOGETHER]
+            size = b - a
+            joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
+            joined[_spread(np.cumsum(size + 1) - size - 1, size)] = data[_spread(a, size)]
+            found = np.array(self.cut.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)[0].ids, self.kind)
+            flats.append(found)
+            sizes.append(np.diff(np.flatnonzero(self.is_last[found]), prepend=-1))
+        return np.concatenate(flats), np.concatenate(sizes)
+
+    def _rows_of(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Rows of different units, sorted by hash; unknown ones are encoded first."""
+        if len(self.hashes) > _KEPT_UNITS:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        rows = np.full(len(hashes), -1)
+        rows[known] = self.rows[at[known]]
+        if not self._same(rows[known], data, starts[known], ends[known]):
+            self._forget()  # another unit of the same hash: too rare to keep both
+            return self._rows_of(hashes, data, starts, ends, cut)
+        for new, encoded in ((np.flatnonzero(~known & cut), self._cut_ids),
+                             (np.flatnonzero(~known & ~cut), lambda d, x, y: self._plain([d[i:j].tobytes() for i, j in zip(x, y)]))):
+            if len(new):
+                rows[new] = len(self.ids.ends) + np.arange(len(new))
+                self.ids.extend(*encoded(data, starts[new], ends[new]))
+                size = ends[new] - starts[new]
+                self.units.extend(data[_spread(starts[new], size)], size)
+        new = np.flatnonzero(~known)
+        self.hashes = np.insert(self.hashes, at[new], hashes[new])
+        self.rows = np.insert(self.rows, at[new], rows[new])
+        return rows
+
+    def _same(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        begin, end = self.units.bounds(rows)
+        size = ends - starts
+        return bool((end - begin == size).all()) and bool((self.units.flat[_spread(begin, size)] == data[_spread(starts, size)]).all())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end_id`` after each, and the number of each text's ids."""
         data, offsets = textnum.text_bytes(texts)
-        starts, ends, bounds = textnum.words(data, offsets)
-        numbers = textnum.word_numbers(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
-        _, first, numbers = np.unique(numbers, return_index=True, return_inverse=True)
-        pieces = self._ids([data[a:b].tobytes() for a, b in zip(starts[first], ends[first])])
-        pieces.append(np.array([self.end_id], self.kind))
-        # The end id is one more word after each text's last.
-        order = np.insert(numbers, bounds[1:], len(pieces) - 1)
-        size = np.array([len(p) for p in pieces])
-        flat, begin = np.concatenate(pieces), np.cumsum(size) - size
-        each = size[order]
-        done = np.cumsum(each)
-        ids = flat[np.repeat(begin[order] - (done - each), each) + np.arange(done[-1])]
-        return ids, np.diff(done[bounds[1:] + np.arange(len(texts))], prepend=0)
+        if self.cut is None:
+            flat, sizes = self._plain([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])])
+            return np.insert(flat, np.cumsum(sizes), self.end_id), sizes + 1
+        data, starts, ends, cut, bounds = _units(data, offsets)
+        # The end id is one more unit after each text's last.
+        last = bounds[1:] + np.arange(len(texts))
+        is_end = np.zeros(len(starts) + len(texts), bool)
+        is_end[last] = True
+        begin, size = np.zeros(len(is_end), np.int64), np.ones(len(is_end), np.int64)
+        flat = self.ids.flat
+        if len(starts):
+            hashes = textnum.word_hashes(data, starts, ends)
+            different, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
+            model = first[numbers]
+            if (ends - starts != (ends - starts)[model]).any() or not textnum.same_bytes(data, starts, starts[model], ends - starts):
+                # Two units of one hash: without it, then.
+                different, first, numbers = np.unique(np.arange(len(starts)), return_index=True, return_inverse=True)
+                flat, counts = self._plain([data[a:b].tobytes() for a, b in zip(starts, ends)])
+                a, b = np.cumsum(counts) - counts, np.cumsum(counts)
+            else:
+                a, b = self.ids.bounds(self._rows_of(different, data, starts[first], ends[first], cut[first]))
+                flat = self.ids.flat
+            begin[~is_end], size[~is_end] = a[numbers], (b - a)[numbers]
+        done = np.cumsum(size)
+        begin[is_end] = len(flat)
+        ids = np.append(flat, np.array([self.end_id], self.kind))[_spread(begin, size)]
+        return ids, np.diff(done[last], prepend=0)
+
+
+def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with plain words lower-cased; starts and ends of units, whether they were cut here, and n + 1 offsets of each text's units."""
+    starts, ends, bounds = textnum.words(data, offsets)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return data, none, none, none.astype(bool), np.zeros(len(offsets), np.int64)
+    kind = _CLASS[data]
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    second = after & _SECOND[data]
+    kind[second] = 1
+    # A first byte without a second one of a letter, and a second one by itself, are not plain.
+    alone = data == 0xC3
+    alone[:-1] &= ~second[1:]
+    kind[alone] = 0
+    word = np.repeat(np.arange(len(starts)), ends - starts)
+    at = _spread(starts, ends - starts)
+    plain = np.ones(len(starts), bool)
+    plain[word[kind[at] == 0]] = False
+    inside = at[plain[word]]
+    lowered = data.copy()
+    part = data[inside]
+    up = ((part >= 0x41) & (part <= 0x5A)) | (second[inside] & (part <= 0x9E))
+    lowered[inside[up]] += 32
+    # In plain words a unit begins with the word, where the class changes, and with each digit.
+    begins = np.zeros(len(data) + 1, bool)
+    previous = np.zeros(len(data), np.uint8)
+    previous[1:] = kind[:-1]
+    begins[inside[(kind[inside] != previous[inside]) | (kind[inside] == 2)]] = True
+    begins[starts] = True
+    unit_starts = np.flatnonzero(begins)
+    of_word = np.searchsorted(starts, unit_starts, "right") - 1
+    unit_ends = np.append(unit_starts[1:], len(data))
+    unit_ends = np.minimum(unit_ends, ends[of_word])
+    return lowered, unit_starts, unit_ends, plain[of_word], np.searchsorted(of_word, bounds)
+
+
+@lru_cache(2)
+def _cutter(tokenizer_file: str) -> tuple[Tokenizer | None, np.ndarray]:
+    """The tokenizer for units that are cut and lower-cased already, and which ids end a unit; None if the file cuts otherwise."""
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    said = json.loads(tokenizer.to_str())
+    cuts = [x.get("pattern") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", ())]
+    is_last = np.zeros(tokenizer.get_vocab_size(), bool)
+    if said["normalizer"] != _NORMAL or cuts != [{"Regex": _PATTERN}, None] or said["model"].get("end_of_word_suffix") != _END_OF_WORD:
+        return None, is_last
+    tokenizer.normalizer = normalizers.Sequence([])
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    for token, n in tokenizer.get_vocab().items():
+        is_last[n] = token.endswith(_END_OF_WORD)
+    return tokenizer, is_last
 
 
 def _kind(tokenizer: Tokenizer) -> np.dtype:
@@ -211,7 +370,7 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     ranges = max(1, spread, -(-size // range_bytes))
 
     def run(batches):
-        part, out, encoder = TaskContext.get().partitionId(), None, WordEncoder(tokenizer_file, end_id)
+        part, out, encoder = TaskContext.get().partitionId(), None, UnitEncoder(tokenizer_file, end_id)
         for batch in textnum.parts(batches):
             out = out or _Range(folder, part, length, rows, encoder.kind)
             out.put(batch.column(0), *encoder.encode(batch.column(1)))

@@ -181,14 +181,44 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
     assert len(files) == 0 and files.documents(spark).collect() == []
 
 
+ODD = ["<|endoftext|> a<|endoftext|>b <|startoftext|>", "it's  THE'S \u0301x \u0308", "a\x01b \x01 c", "ÀÉ×÷ß ÿŸ éÉ9É,é", "Ã\u00a0x Â©", "1234 a1b2,,.c <3 «x»", "e\u0301E\u0301"]
+
+
 @settings(**SETTINGS)
-@given(st.lists(st.text(alphabet="aAb1 É\u0301\u0308ß'sΣς.\n\tń \u00a0\u2003\u0085\u200bſ漢<|>endoftext", max_size=60), min_size=1, max_size=5))
-def test_ids_by_word_are_those_of_whole_texts(texts):
-    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
-    texts += ["<|endoftext|> a<|endoftext|>b <|startoftext|>", "it's  THE'S \u0301x \u0308"]
+@given(st.lists(st.text(alphabet="aAbZ1 9,.-é\u0301\u0308ÉÀß×'sΣς\n\tń \u00a0\u2003\u0085\u200bſ漢<|>\x01ÿÞ", max_size=60), min_size=1, max_size=5))
+def test_ids_by_unit_are_those_of_whole_texts(texts):
+    encoder = token_files.UnitEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    texts += ODD
+    for _ in range(2):  # the second time all units are known
+        ids, sizes = encoder.encode(pa.array(texts))
+        plain = [plain_ids(encoder.tokenizer, t) for t in texts]
+        assert ids.tolist() == [i for p in plain for i in p] and sizes.tolist() == [len(p) for p in plain]
+
+
+def test_every_character_in_context(tokenizer):
+    encoder = token_files.UnitEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    texts = [f"x{c}y {c} 1{c}É{c}" for c in map(chr, [*range(0x0, 0x600), *range(0x2000, 0x2100)])]
     ids, sizes = encoder.encode(pa.array(texts))
-    plain = [plain_ids(encoder.tokenizer, t) for t in texts]
-    assert ids.tolist() == [i for p in plain for i in p] and sizes.tolist() == [len(p) for p in plain]
+    assert ids.tolist() == [i for t in texts for i in plain_ids(tokenizer, t)]
+
+
+def test_units_of_equal_hash_are_told_apart(monkeypatch, tokenizer):
+    texts = ["some words, and more: É1", "other words"]
+    encoder = token_files.UnitEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    expected = [i for t in texts for i in plain_ids(tokenizer, t)]
+    monkeypatch.setattr(token_files.textnum, "word_hashes", lambda data, a, b: np.zeros(len(a), np.uint64))
+    assert encoder.encode(pa.array(texts))[0].tolist() == expected
+    # One unit a batch: each batch's unit has the hash of the one before.
+    for word in ("some", "other", "some"):
+        assert encoder.encode(pa.array([word]))[0].tolist() == plain_ids(tokenizer, word)
+
+
+def test_another_tokenizer_encodes_whole_texts(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["two  spaces and 'quotes'", None, "", "É\n\n"]
+    files = token_files.write(frame(spark, texts), str(tmp_path / "files"), tokenizer_file=path, end_id=2)
+    assert [files.document(k)[1].tolist() for k in range(4)] == [plain.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
 # -- whitening -------------------------------------------------------------------
