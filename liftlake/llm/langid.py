@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.llm import textnum
 from liftlake.llm.util import fold
 
 FEATURES = 1 << 13
-# Texts per language that the machines are fitted on, about (a hash threshold), and the most in all.
+# Texts that the machines are fitted on: per language, and in all; each language gets its share of the latter.
 SAMPLE_PER_LANGUAGE = 400
 MAX_SAMPLE = 3_000
-# Languages are labels; a table with more distinct ones is not a language table.
+# Languages are labels; a table with more distinct ones is not a language table and is refused.
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
 # Bytes read at a time, and bytes of the cut of a sampled text.
@@ -160,25 +160,43 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """Fit on a bounded sample of the labelled rows given, spread over languages; None without any."""
+    """Fit on a bounded sample of the labelled rows given, a share of each language; None without any.
+
+    More than ``MAX_LANGUAGES`` distinct labels are an error: none is left out silently.
+    """
     labelled = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                            F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_003))
-    limit = F.lit(0)
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} distinct languages in {lang_col}")
+    wanted = shares(counts, per_language, max(MAX_SAMPLE, len(counts)))
+    # About twice the share is drawn by hash, so that hardly any language gets less; of these the first by hash are taken.
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1_000_003))
+    limit, share = F.lit(0), F.lit(0)
     for lang, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(min(1_000_003, per_language * 1_000_003 // n + 1))).otherwise(limit)
-    drawn = labelled.where(draw < limit).select("lang", "text").mapInArrow(
+        most = -(-(2 * wanted[lang] + 20) * 1_000_003 // n)
+        limit = F.when(F.col("lang") == lang, F.lit(min(1_000_003, most))).otherwise(limit)
+        share = F.when(F.col("lang") == lang, F.lit(wanted[lang])).otherwise(share)
+    order = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
+    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < limit).withColumn("nth", F.row_number().over(order)) \
+        .where(F.col("nth") <= share).select("lang", "text").mapInArrow(
         _sample_shares, "lang string, i binary, v binary, ci binary, cv binary")
-    rows = drawn.orderBy(F.xxhash64("i", "v"), "lang").limit(MAX_SAMPLE).collect()
-    if not rows:
-        return None
+    rows = drawn.orderBy(F.xxhash64("i", "v"), "lang").collect()
     return Model([(r["i"], r["v"]) for r in rows] + [(r["ci"], r["cv"]) for r in rows], [r["lang"] for r in rows] * 2)
 
 
+def shares(counts: dict[str, int], per_language: int, most: int) -> dict[str, int]:
+    """Texts to take of each language: all of a small one, and an equal part of what is left of ``most`` for larger ones."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(1, min(n, per_language, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, lang_pred, score, and the ``keep`` columns. Only the text is looked at.
 
