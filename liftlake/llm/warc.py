@@ -29,8 +29,10 @@ _BLOCK = ("address article aside blockquote br dd div dl dt fieldset figure foot
 
 _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9]*)[^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
                      re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A tag that is not closed ends at the next one, so that no text is read again from each of its tags on.
+_TITLE = re.compile(r"<title\b[^<>]*+>(.*?)(?:</title\s*+>|\Z)", re.S | re.I)
+_ANCHOR = re.compile(r"<a\b((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)", re.I)
+_HREF = re.compile(r"\bhref\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _SPACES = re.compile(r"[ \t\r\f\v]+")
 
 RECORD = "page_id bigint, record_type string, record_id string, refers_to string, target_uri string, date string, " \
@@ -49,6 +51,12 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def links(page: str) -> list[str]:
+    """Targets of the page's anchors, in order; empty ones are left out."""
+    found = (_HREF.search(m[1]) for m in _ANCHOR.finditer(page))
+    return [html.unescape(m[1] or m[2] or m[3]) for m in found if m and (m[1] or m[2] or m[3])]
+
+
 def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
@@ -80,8 +88,7 @@ def derived(page_id, response_id: str, uri: str, date: str, warc_headers: str, h
         "source": {"record_id": response_id, "warc_headers": parse_headers(warc_headers), "payload_digest": source},
         "http": {"status_line": status.strip(), "headers": parse_headers(http_rest)},
         "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None,
-                 "links": [html.unescape(next(x for x in m if x is not None)) for m in
-                           ((a or None, b or None, c or None) for a, b, c in _LINK.findall(payload)) if any(m)]},
+                 "links": links(payload)},
         "conversion_record": ids["conversion"], "characters": len(text),
     }
     out = []
