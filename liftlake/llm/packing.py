@@ -21,11 +21,12 @@ from pyspark.sql.window import Window
 
 from liftlake.llm import bpe, textnum
 from liftlake.llm.util import saved
+from liftlake.session import broadcast_if_small
 
 TOKENS = 1024
 END_ID = 2
-# Groups of pieces of one length that are numbered apart, so a hot length is spread over so many tasks.
-SPREAD = 64
+# Pieces of one length that are numbered together, about; a length has as many groups as that takes.
+GROUP = 500_000
 
 
 def plan(counts: dict[int, int], tokens: int = TOKENS, max_documents: int | None = None, max_attention: int | None = None,
@@ -90,6 +91,11 @@ def plan(counts: dict[int, int], tokens: int = TOKENS, max_documents: int | None
     return slots
 
 
+def groups_of(pieces: int) -> int:
+    """Groups that so many pieces of one length are dealt to."""
+    return max(1, -(-pieces // GROUP))
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str, tokens: int, end_id: int, files: tuple[str, str],
               with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
@@ -134,12 +140,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``tokens`` rows
     slots = sorted(plan(counts, tokens, **capacities))
 
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SPREAD)))
+    groups = F.array(*[F.lit(groups_of(counts.get(length, 0))) for length in range(tokens + 1)])
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(groups, F.col("length").cast("int"))))
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))  # at most tokens * SPREAD rows
+    starts = parts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))  # a row per ``GROUP`` pieces, and ``tokens``
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("nth", F.row_number().over(order) - 1).join(F.broadcast(starts), ["length", "part"]) \
+    ranked = pieces.withColumn("nth", F.row_number().over(order) - 1).join(broadcast_if_small(starts), ["length", "part"]) \
         .withColumn("nth", F.col("nth") + F.col("before")).drop("part", "before")
 
     table = np.array(slots, np.int64).reshape(-1, 5)
