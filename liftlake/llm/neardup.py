@@ -245,33 +245,36 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside buckets between members that still belong to different components.
 
-    A bucket is cut into blocks; each pair of blocks is one task's group, and only
-    links leave it, never the pairs. A group holds the sets of two blocks at most.
+    Members of a bucket's largest component need not meet each other, so only the
+    others ask: blocks of them meet blocks of all members. A member of the largest
+    component goes to as many groups as there are blocks of others, so one stranger in
+    a bucket of a million costs every member one row. Only links leave a group, never the pairs.
     """
     known = members.select("bucket", "node").join(labels, "node")
-    mixed = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo < hi").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    rows = known.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("bucket", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component")
+    sizes = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("many"), F.sum("k").alias("k"), F.max(F.struct("k", F.col("component").alias("c"))).alias("top")) \
+        .where("many > 1").select(
+            "bucket", F.col("top.c").alias("largest"), F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("k") - F.col("top.k")) / BLOCK).cast("int").alias("askers"))
+    dealt = _meetings(saved(known.join(mixed, "bucket"), "mixed"))
 
     def run(table: pa.Table) -> pa.Table:
-        component = table.column("component").to_numpy()
-        node = table.column("node").to_numpy()
+        component, node = table.column("component").to_numpy(), table.column("node").to_numpy()
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         size = np.array([len(x) for x in held])
         starts = np.concatenate(([0], np.cumsum(size)[:-1]))
         _, ids = np.unique(np.concatenate(held), return_inverse=True)
         mark = np.zeros(ids.max() + 1, np.int32)
-        values, many = np.unique(component, return_counts=True)
         found_a, found_b = [], []
-        # Two members of the largest component need not meet, so only the others ask.
-        for q in np.flatnonzero(component != values[many.argmax()]):
+        answers = np.flatnonzero(~asks)
+        for q in np.flatnonzero(asks) if len(answers) else ():
             own = ids[starts[q]:starts[q] + size[q]]
             mark[own] = 1
-            both = np.add.reduceat(mark[ids], starts)
+            both = np.add.reduceat(mark[ids], starts)[answers]
             mark[own] = 0
-            hit = np.flatnonzero((component != component[q]) & (100 * both >= percent * (size + size[q] - both)))
+            hit = answers[(component[answers] != component[q]) & (100 * both >= percent * (size[answers] + size[q] - both))]
             # One link to a component does.
             hit = hit[np.unique(component[hit], return_index=True)[1]]
             found_a += [node[q]] * len(hit)
@@ -280,3 +283,13 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 
     found = dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, i, j, node, component, asks): a block ``i`` of members outside the largest component asks a block ``j`` of all members."""
+    place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    columns = ["bucket", "node", "component"]
+    asking = rows.where("component <> largest").select(*columns, place("askers").alias("i"), every("blocks").alias("j"), F.lit(True).alias("asks"))
+    asked = rows.select(*columns, every("askers").alias("i"), place("blocks").alias("j"), F.lit(False).alias("asks"))
+    return asking.unionByName(asked).select("bucket", "i", "j", "node", "component", "asks")
