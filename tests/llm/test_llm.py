@@ -1,18 +1,22 @@
 """Training-data operators on small fixtures: brute force, edge cases, clashing columns."""
 
+import base64
 import hashlib
 import json
 import math
 import random
 import re
+import timeit
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from compare import compare, connect
 from conftest import SMALL
@@ -116,6 +120,46 @@ def test_spans_are_cut_from_the_original_text(spark, docs):
     assert {r["doc_id"] for r in decontam.decontaminate(frame, bench).collect()} == {1, 2}
 
 
+def test_columns_of_any_name_survive(spark, docs):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (3, "")], "item_id bigint, text string")
+    names = ["n_words", "n_hit", "n_items", "items", "spans", "copies", "contaminated", "doc", "row", "w", "h", "bitmap", "v_id", "v_digest", "d_id", "id",
+             "digest", "windows", "nth", "at", "a.b"]
+    frame = docs(["so alpha beta gamma", "nothing", None, (None, "alpha beta gamma too"), (None, "clean"), (7, "clean"), (7, "clean")])
+    for n in names:
+        frame = frame.withColumn(n, F.lit(f"of {n}"))
+    kept = decontam.decontaminate(frame, bench)
+    assert kept.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"], r["n_words"], r["a.b"]) for r in kept.collect()), key=repr) == sorted(
+        [(1, "nothing", "of n_words", "of a.b"), (2, None, "of n_words", "of a.b"), (None, "clean", "of n_words", "of a.b")]
+        + [(7, "clean", "of n_words", "of a.b")] * 2, key=repr)
+    cut = decontam.remove_spans(frame, bench)
+    assert cut.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"], r["spans"]) for r in cut.collect()) == Counter(
+        [(0, "so ", "of spans"), (1, "nothing", "of spans"), (2, None, "of spans"), (None, "too", "of spans"), (None, "clean", "of spans")] + [(7, "clean", "of spans")] * 2)
+    assert decontam.contamination(frame, bench).where("n_hit > 0").count() == 2
+
+
+def test_texts_are_not_shuffled_for_verdicts(spark, docs):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
+    plan = decontam.decontaminate(docs(["alpha beta gamma", "x"]), bench)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_large_benchmark_is_probed_inside_the_scan(spark, docs, monkeypatch):
+    """Beyond the literal set a bitmap lets only a few windows out of the scan."""
+    monkeypatch.setattr(decontam, "MAX_LITERAL", 10)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    bench = spark.createDataFrame([(k, " ".join(word() for _ in range(30))) for k in range(60)], "item_id bigint, text string")
+    texts = [" ".join(word() for _ in range(200)) for _ in range(20)] + [f"so it is {r['text']} indeed" for r in bench.limit(3).collect()]
+    got = decontam.verdicts(docs(texts), bench, hits_only=True).collect()
+    assert sorted((r["v_id"], r["n_hit"], r["items"]) for r in got if r["n_hit"]) == [(20, 30, ["0"]), (21, 30, ["1"]), (22, 30, ["2"])]
+    # Four thousand windows of clean texts: with 64 bits an n-gram about one in 64 of them at most gets out.
+    assert sum(r["n_hit"] == 0 for r in got) <= 20 and len(got) < 23
+    plan = decontam.verdicts(docs(texts), bench, hits_only=True)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
 def test_decontamination_runs_without_python(spark, docs):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
     plan = decontam.contamination(docs(["alpha beta gamma"]), bench)._jdf.queryExecution().toString()
@@ -351,6 +395,66 @@ def test_warc_records(spark):
     assert warc.derive(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+class PageReader(HTMLParser):
+    """Links, title and visible words of a page by another parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.links, self.title, self.words, self.inside = [], None, [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and dict(attrs).get("href"):
+            self.links.append(dict(attrs)["href"])
+        if tag in ("script", "style", "noscript", "template", "head", "title"):
+            self.inside.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            del self.inside[self.inside.index(tag):]
+
+    def handle_data(self, data):
+        if "title" in self.inside and self.title is None:
+            self.title = " ".join(data.split())
+        if not self.inside:
+            self.words += data.split()
+
+
+def test_warc_against_another_parser(spark):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = registry.queries()["op4_warc_derivatives"](spark, SMALL).collect()
+    assert len(got) == 2 * len(pages) and len({r["record_id"] for r in got}) == len(got)
+    by = {(r["page_id"], r["record_type"]): r for r in got}
+    links = 0
+    for key, page in pages.items():
+        read, meta, text = PageReader(page["html"]), by[key, "metadata"], by[key, "conversion"]
+        block = json.loads(meta["block"])
+        assert block["html"]["links"] == read.links and (block["html"]["title"] or "") == (read.title or "")
+        assert text["block"].split() == read.words
+        assert {meta["refers_to"], text["refers_to"]} == {block["source"]["record_id"]} and meta["target_uri"] == page["url"]
+        for r in (meta, text):
+            data = r["block"].encode()
+            assert (r["content_length"], r["block_digest"]) == (len(data), "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode())
+            assert r["source_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(page["html"].encode()).digest()).decode()
+        links += len(read.links)
+    assert links > 20
+
+
+@pytest.mark.parametrize("part", ["<a ", "<title ", "<title>", "<script ", "<script>", "</script ", "<!-- ", "<a href=", "<a href=\"", "<a href='", "<a x=\"<", "href="])
+def test_hostile_pages_take_linear_time(part):
+    def seconds(n):
+        page = part * n
+        return min(timeit.repeat(lambda: warc.derived(1, "r", "u", "d", "", "", page), number=1, repeat=2))
+
+    assert seconds(80_000) < 16 * seconds(10_000) + 0.2
+
+
+def test_links_in_all_spellings():
+    page = "<A HREF=one><a class='x' href = \"t>wo\"><a href='th&amp;ree' ><a><a href=\"\"><abbr href=no><a\nhref=four\n>five</a><a href=\"open"
+    assert warc.links(page) == ["one", "t>wo", "th&ree", "four"]
+
+
 def test_warc_keeps_source_headers(spark):
     row = [("<urn:uuid:1>", "http://e", "2020-01-02T03:04:05Z", "WARC/1.0\r\nWARC-Type: response\r\nX-A: one\r\n two\r\n", "HTTP/1.1 404 No\r\nServer: s\r\n", "hi")]
     frame = spark.createDataFrame(row, "rid string, url string, at string, warc string, http string, html string").selectExpr("*", "7L as page_id")
@@ -364,63 +468,117 @@ def test_warc_keeps_source_headers(spark):
 # -- language model --------------------------------------------------------------
 
 
-def brute_model(texts):
-    """p(previous, word), counts and totals, straight from the definition."""
-    uni, bi = Counter(), Counter()
+def brute_model(texts, order=2):
+    """p(words before, word) and word counts, straight from the definition."""
+    uni, grams = Counter(), Counter()
     for t in texts:
         w = [*words(t), "</s>"]
         uni.update(w)
-        bi.update(zip(["<s>", *w], w))
+        padded = ["<s>"] * (order - 1) + w
+        grams.update(tuple(padded[i:i + order]) for i in range(len(w)))
+    levels = {order: grams}
+    if order == 3:
+        # A pair counts the different words before it; at the beginning of a text, where there is none, its occurrences.
+        levels[2] = Counter()
+        for (_, v, w), n in grams.items():
+            levels[2][v, w] += n if v == "<s>" else 1
+    cont = Counter(w for _, w in levels[2])
 
     def discounts(n):
         n1, n2, n3, n4 = (sum(x == k for x in n) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        return [0, *(min(max(k - (k + 1) * y * b / a if a and b else u, 0), k) for k, a, b, u in ((1, n1, n2, 0.5), (2, n2, n3, 1.0), (3, n3, n4, 1.5)))]
+        out = [0]
+        for k, a, b, usual in ((1, n1, n2, 0.5), (2, n2, n3, 1.0), (3, n3, n4, 1.5)):
+            d = k - (k + 1) * y * b / a if a and b else 0
+            out.append(min(d, k) if d > 0.01 else usual)
+        return out
 
-    cont = Counter(w for _, w in bi)
-    d, e, total = discounts(list(bi.values())), discounts(list(cont.values())), sum(cont.values())
+    e, total = discounts(list(cont.values())), sum(cont.values())
     spread = sum(e[min(n, 3)] for n in cont.values()) / total if total else 1.0
-    after, left = Counter(), Counter()
-    for (v, _), n in bi.items():
-        after[v] += n
-        left[v] += d[min(n, 3)]
-
-    def p(v, w):
-        low = (cont[w] - e[min(cont[w], 3)]) / total if total else 0.0
-        low += spread / (len(uni) + 1)
-        if not after[v]:
-            return low
-        n = bi[(v, w)]
-        return (n - d[min(n, 3)]) / after[v] + left[v] / after[v] * low
+    found = {}
+    for level, counts in levels.items():
+        d, after, left = discounts(list(counts.values())), Counter(), Counter()
+        for g, n in counts.items():
+            after[g[:-1]] += n
+            left[g[:-1]] += d[min(n, 3)]
+        found[level] = d, after, left
+
+    def p(context, w):
+        out = ((cont[w] - e[min(cont[w], 3)]) / total if total else 0.0) + spread / (len(uni) + 1)
+        for level in sorted(levels):
+            d, after, left = found[level]
+            c = tuple(context[len(context) - level + 1:])
+            if after[c]:
+                n = levels[level][(*c, w)]
+                out = (n - d[min(n, 3)]) / after[c] + left[c] / after[c] * out
+        return out
 
     return p, uni
 
 
-@pytest.mark.parametrize("hot_share", [lm.HOT_SHARE, 0.02, 2.0])
-def test_language_model_against_the_definition(docs, monkeypatch, hot_share):
-    monkeypatch.setattr(lm, "HOT_SHARE", min(hot_share, 1.0))
-    monkeypatch.setattr(lm, "FLUSH_TOKENS", 300)
-    rng = random.Random(3)
-    vocabulary = ["the", "The", "of"] * 30 + [f"w{k}" for k in range(300)]
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(60))) for _ in range(150)] + ["the " * 700, "", None]
-    frame = docs(texts)
-    model = lm.train(frame.repartition(5))
-    p, uni = brute_model(texts)
-    new = [*texts, "unseen words here w1", (None, "the w2")] + EDGE
+def check_scores(docs, model, texts, new, order):
+    p, uni = brute_model(texts, order)
     n, v = sum(uni.values()), len(uni)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6))
                  for r in lm.score(docs(new, clash=True), model).collect())
     expected = []
     for key, text in ((r["doc_id"], r["text"]) for r in docs(new).collect()):
-        w = [*words(text), "</s>"]
-        expected.append((key is None, key or 0, len(w), sum(uni[x] > 0 for x in w), n, round(sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), 6),
-                         round(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)), 6)))
+        w = ["<s>"] * (order - 1) + [*words(text), "</s>"]
+        at = range(order - 1, len(w))
+        expected.append((key is None, key or 0, len(at), sum(uni[w[i]] > 0 for i in at), n, round(sum(math.log10((uni[w[i]] + 1) / (n + v + 1)) for i in at), 6),
+                         round(sum(math.log10(p(w[i - order + 1:i], w[i])) for i in at), 6)))
     for a, b in zip(got, sorted(expected)):
         assert a == pytest.approx(b, abs=1e-5)
-    for context in ("<s>", "the", "w1", "nowhere"):
+    for context in (["<s>", "<s>"], ["<s>", "the"], ["of", "the"], ["w1", "of"], ["nowhere", "at"]):
+        context = context[3 - order:]
         assert sum(p(context, w) for w in uni) + p(context, "unknown word") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("hot_share", [lm.HOT_SHARE, 0.02, 2.0])
+def test_language_model_against_the_definition(docs, monkeypatch, hot_share, order):
+    monkeypatch.setattr(lm, "HOT_SHARE", min(hot_share, 1.0))
+    monkeypatch.setattr(lm, "FLUSH_TOKENS", 300)
+    rng = random.Random(3)
+    vocabulary = ["the", "The", "of"] * 30 + [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(60))) for _ in range(150)] + ["the " * 700, "of the " * 90, "", None]
+    model = lm.train(docs(texts).repartition(5), order=order)
+    check_scores(docs, model, texts, [*texts, "unseen words here w1", (None, "the w2")] + EDGE, order)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_every_score_is_finite(docs, order):
+    """Texts repeated once, twice and three times in shares that make discounts vanish, and random ones."""
+    rng = random.Random(7)
+    corpora = [[f"x{k}_{i} y{k}_{i}" for k, n in ((1, 40), (2, 5), (3, 30)) for i in range(n) for _ in range(k)], ["a"] * 3, ["a b c"] * 4, [None], ["a a a a a a"]]
+    for _ in range(3):
+        own = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 12))]
+        corpora.append([t for t in own for _ in range(rng.randint(1, 4))])
+    for texts in corpora:
+        model = lm.train(docs(texts), order=order, shards=3)
+        new = [*{t for t in texts if t}, "x2_0 y1_1", "unseen word", "", "a unseen", "b a b a"]
+        scored = lm.score(docs(new), model).collect()
+        assert all(math.isfinite(r["score"]) and math.isfinite(r["perplexity"]) and r["score"] <= 0 for r in scored)
+        check_scores(docs, model, texts, new, order)
+
+
+def test_three_words_tell_more_than_two(spark):
+    frame = spark.read.parquet(f"{SMALL}/documents.parquet")
+    mean = {}
+    for order in (2, 3):
+        rows = lm.score(lm.learned_from(frame), lm.train(lm.learned_from(frame), order=order)).collect()
+        mean[order] = sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    assert mean[3] > mean[2] + 0.1
+    with pytest.raises(ValueError):
+        lm.train(frame, order=4)
+
+
+def test_shards_follow_the_bytes(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 100)
+    assert lm.train(docs(["some words of a text " * 5] * 20)).shards == 21
+    assert lm.train(docs([])).shards == lm.MIN_SHARDS
+
+
 def test_language_model_of_nothing(docs):
     model = lm.train(docs([]))
     got = lm.score(docs(["a b"]), model).first()
@@ -706,41 +864,214 @@ def test_ids_come_along(docs):
 # -- pipeline --------------------------------------------------------------------
 
 
+def distinct(rows):
+    """Rows that repeat an id and text once; rows without id by their text."""
+    return list(dict.fromkeys((k, t) for k, t in rows))
+
+
+def brute_stage(name, rows, bench):
+    """What a filtering stage keeps of (id, text) rows."""
+    if name == "language_id":
+        return [(k, t) for k, t in rows if re.search(r"[^\W\d_]", t or "")]
+    if name == "near_dedup":
+        # Five-word shingles. Rows without id take part under ids behind all others.
+        texts = list(dict.fromkeys(t or "" for k, t in rows if k is None))
+        key = lambda k, t: k if k is not None else 10 ** 9 + texts.index(t or "")
+        found = brute_components([(key(k, t), t) for k, t in distinct(rows)], size=5)
+        out = {}
+        for k, t in rows:
+            if found[key(k, t)][2]:
+                out.setdefault((key(k, t), t or ""), (k, t))
+        return list(out.values())
+    if name == "decontamination":
+        return [(k, t) for k, t in rows if not (lambda n, h, _: h > 0 and 20 * h >= n)(*brute_hits(t, bench))]
+    return rows
+
+
+def pairs_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    now, left = docs, {r["doc_id"]: r["text"] for r in docs.collect()}
+    now, left = docs, [(r["doc_id"], r["text"]) for r in docs.collect()]
     for name, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, SMALL)
         if name == "packing":
-            check_packing(now.collect(), list(left.items()), 1024)
+            check_packing(now.collect(), left, 1024)
             break
         assert now.columns == docs.columns and now.dtypes == docs.dtypes
         now = spark.createDataFrame(now.collect(), now.schema)
-        if name == "language_id":
-            left = {k: t for k, t in left.items() if re.search(r"[^\W\d_]", t or "")}
-        elif name == "near_dedup":
-            left = {k: left[k] for k, (_, _, kept) in brute_components(list(left.items())).items() if kept}
-        elif name == "decontamination":
-            left = {k: t for k, t in left.items() if not (lambda n, h, _: h > 0 and 20 * h >= n)(*brute_hits(t, bench))}
-        elif name == "pii":
+        if name == "pii":
+            before = dict(left)
             for r in now.collect():
-                for a, _, b in brute_spans(left[r["doc_id"]]):
-                    assert left[r["doc_id"]][a:b] not in r["text"] or b - a < 9
+                for a, _, b in brute_spans(before[r["doc_id"]]):
+                    assert before[r["doc_id"]][a:b] not in r["text"] or b - a < 9
                 assert r["n_chars"] == len(r["text"])
-            left = {r["doc_id"]: r["text"] for r in now.collect()}
-        assert {r["doc_id"]: r["text"] for r in now.collect()} == left
+            left = [(r["doc_id"], r["text"]) for r in now.collect()]
+        else:
+            left = brute_stage(name, left, bench)
+        assert pairs_of(now) == sorted(left, key=repr)
+        assert left
 
 
-def test_pipeline_stages_take_nulls(spark, docs):
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_pipeline_stages_see_edge_rows(spark, docs, lang):
+    """Every stage gets rows: nulls, empty and long texts, repeated rows, rows without id, columns of clashing names."""
     import corpus_pipeline
 
-    now = docs(EDGE, lang=None)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        now = spark.createDataFrame(stage(spark, now, SMALL).collect(), DOCS)
-    corpus_pipeline.STAGES[-1][1](spark, now, SMALL).collect()
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    texts = EDGE + [(20, "three equal rows of one id"), (20, "three equal rows of one id"), (20, "three equal rows of one id"), (None, "a row without id"),
+                    (None, "Same text of five words"), (30, f"{bench[0][1]}"), (None, "another row without id")]
+    now = docs(texts, lang=lang, clash=True)
+    left = [(r["doc_id"], r["text"]) for r in now.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, now, SMALL)
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        left = [(r["doc_id"], r["text"]) for r in got.collect()] if name == "pii" else \
+            left if name == "language_id" and lang is None else brute_stage(name, left, bench)
+        assert pairs_of(got) == sorted(left, key=repr) and len(left) >= 8
+        now = spark.createDataFrame([tuple(r) for r in got.collect()], DOCS)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, SMALL).collect()
+    assert sum(r["piece"] == 0 for r in pieces) == len(left)
+
+
+def test_an_unlabelled_corpus_keeps_its_rows(spark, docs):
+    from liftlake.llm import pipeline
+
+    frame = docs([f"plain words of english text number {k}" for k in range(20)] + [None, "", "123"], lang=None)
+    assert pipeline.identify_language(spark, frame, SMALL).count() == 23
+    labelled = docs([f"plain words of english text number {k}" for k in range(20)] + [None, "", "123"])
+    assert pipeline.identify_language(spark, labelled, SMALL).count() == 20
+    assert pipeline.identify_language(spark, docs([]), SMALL).count() == 0
+
+
+def test_equal_rows_become_one(spark, docs):
+    from liftlake.llm import pipeline
+
+    text = "one two three four five six seven eight nine ten"
+    frame = docs([(7, text)] * 3 + [(9, text + " eleven")] + [(None, text)] * 2 + [(None, "quite another text")] * 2 + [(5, None), (5, None), (6, "")])
+    kept = pipeline.drop_near_duplicates(spark, frame, SMALL)
+    assert pairs_of(kept) == sorted([(7, text), (None, "quite another text"), (5, None), (6, "")], key=repr)
+
+
+WRAPPERS = {
+    "op1_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op2_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op5_kneser_ney_lm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op6_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op7_quality_fm": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op8_fertility_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+                           "base_failed boolean, kept boolean",
+    "op9_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op10_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+}
+HELD_OUT = {"op2_language_id": (4, 2), "op5_kneser_ney_lm": (7, 2), "op7_quality_fm": (5, 0)}
+
+
+@pytest.mark.parametrize("name", list(WRAPPERS))
+def test_registered_query_keeps_its_contract(spark, name):
+    got = registry.queries()[name](spark, SMALL)
+    assert [(c, t) for c, t in got.dtypes][:len(WRAPPERS[name].split(", "))] == [tuple(x.split(" ")) for x in WRAPPERS[name].split(", ")]
+    rows = got.collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    if name == "op9_best_fit_packing":
+        check_packing(rows, list(texts.items()), 1024)
+        return
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    if name in HELD_OUT:
+        modulus, rest = HELD_OUT[name]
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == rest) for r in rows)
+    if name == "op5_kneser_ney_lm":
+        trained = [t for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+        assert {r["train_tokens"] for r in rows} == {sum(len(words(t)) + 1 for t in trained)}
+        assert all(math.isfinite(r["score"]) and r["n_tokens"] == len(words(texts[r["doc_id"]])) + 1 for r in rows)
+        assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
+    if name == "op7_quality_fm":
+        assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
+    if name == "op8_fertility_rules":
+        assert not any(r["kept"] and r["base_failed"] for r in rows) and any(r["kept"] for r in rows)
+
+
+def test_language_of_held_out_documents(spark):
+    rows = registry.queries()["op2_language_id"](spark, "/root/testdata/sf0.01").collect()
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    judged = [r for r in rows if r["held_out"] and lang[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(judged) > 150 and np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in judged]) > 0.98
+
+
+def test_no_language_is_lost_to_the_sample(docs, monkeypatch):
+    """Fifty languages share a sample that is smaller than their texts; a rare one keeps all of its few."""
+    monkeypatch.setattr(langid, "MAX_SAMPLE", 300)
+    rng = random.Random(2)
+    word = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for k in range(50)}
+    rows = [(100 * k + i, " ".join(rng.choices(word[k], k=20)), f"x{k}") for k in range(50) for i in range(40 if k else 3)]
+    frame = docs([]).sparkSession.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(frame)
+    assert len(model.langs) == 50
+    new = [(k, " ".join(rng.choices(word[k], k=30))) for k in range(50)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(new), model).collect()}
+    assert sum(got[k] == f"x{k}" for k in range(50)) >= 47 and got[0] == "x0"
+    counts = {"a": 2, "b": 1000, "c": 1000}
+    assert langid.shares(counts, 400, 100) == {"a": 2, "b": 49, "c": 49} and sum(langid.shares(counts, 10, 100).values()) == 22
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 49)
+    with pytest.raises(ValueError, match="49"):
+        langid.fit(frame)
+
+
+def test_a_stranger_in_a_large_bucket_costs_a_row_each(docs):
+    """Members of a bucket's largest component are dealt once per block of others, not to every block."""
+    spark = docs([]).sparkSession
+    k = 5 * neardup.BLOCK
+    rows = spark.range(k).select(F.lit(1).alias("bucket"), F.col("id").alias("node"), F.when(F.col("id") < 3, F.col("id")).otherwise(77).alias("component"),
+                                 F.lit(77).alias("largest"), F.lit(5).alias("blocks"), F.lit(1).alias("askers"))
+    dealt = neardup._meetings(rows)
+    assert dealt.count() == k + 3 * 5
+    met = dealt.groupBy("i", "j").agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("b")).collect()
+    assert len(met) == 5 and all(r["a"] == 3 for r in met) and sum(r["b"] for r in met) == k
+
+
+def test_mixed_buckets_lose_no_link(docs, monkeypatch):
+    """Two large groups and strangers that share all buckets: every link between different members is found."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(8)
+    sets = {n: set(rng.sample(range(30), 12)) for n in range(30)}
+    for n in range(30, 40):
+        sets[n] = set(list(sets[n - 30])[:11]) | {100 + n}
+    spark = docs([]).sparkSession
+    members = spark.createDataFrame([(1, n) for n in sets], "bucket bigint, node bigint")
+    component = {n: (0 if n < 14 else 14 if n < 24 else n) for n in sets}
+    labels = spark.createDataFrame(list(component.items()), "node bigint, component bigint")
+    stored = spark.createDataFrame([(n, bytearray(np.array(sorted(s), np.uint64).tobytes())) for n, s in sets.items()], "node bigint, shingles binary")
+    links = {(r["a"], r["b"]) for r in neardup._rest(members, labels, stored, 60).collect()}
+    every = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
+    assert links <= every
+    # One link from a member to a component does; together they join what all links join.
+    top = lambda pairs: {frozenset(c) for c in joined(sets, pairs, component)}
+    assert top(links) == top(every) and every
+
+
+def joined(nodes, pairs, component):
+    root = {n: component[n] for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+    groups = {}
+    for n, r in root.items():
+        groups.setdefault(r, set()).add(n)
+    return groups.values()
+
+
+def test_a_frequent_length_is_dealt_to_groups_by_its_count(docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 10)
+    assert [packing.groups_of(n) for n in (0, 1, 10, 11, 95)] == [1, 1, 1, 2, 10]
+    texts = [(k, "one two") for k in range(95)] + [(100 + k, "one two three " * k) for k in range(9)]
+    rows = packing.pack(docs(texts), tokens=64).collect()
+    check_packing(rows, texts, 64)
 
 
 def test_digest_columns(spark):
