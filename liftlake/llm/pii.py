@@ -1,14 +1,16 @@
 """Personal data in whole texts: exact patterns plus a character BiLSTM-CRF.
 
 The patterns give e-mail addresses, IPv4 addresses, card numbers and phone
-numbers. Windows around such spans, and around digits that are none, are the
-labelled data on which the tagger is trained in numpy on the driver, with
-rewritten forms of the same spans that the patterns do not cover (numbers without
-a plus, other separators). The tagger then reads every stretch of text within
+numbers. Windows around such spans, around values that are assigned to a secret's
+name, and around digits that are neither, are the labelled data on which the tagger
+is trained in numpy on the driver, with rewritten forms of the same spans that the
+patterns do not cover (numbers without a plus, other separators, other names and
+alphabets of secrets). The tagger then reads every stretch of text within
 ``REACH`` characters of a digit or an @, which each kind contains, in windows that
 overlap by half. Each character takes its tag from the window in which it lies
-deepest; the joined tags give spans for the whole text. A span is added if its
-digits stand the kind's own test and it does not overlap a pattern's span.
+deepest; the joined tags give spans for the whole text. A span is added if it
+stands the kind's own test and does not overlap a pattern's span. Secrets have no
+pattern of their own: all of them are the tagger's.
 """
 
 from __future__ import annotations
@@ -26,10 +28,15 @@ from liftlake.llm.bilstm_crf import Tagger
 from liftlake.llm.util import saved
 
 KINDS = ("email", "ip", "card", "phone")
+# The kinds that the tagger knows.
+TAGGED = (*KINDS, "secret")
+SECRET = len(KINDS)
 WINDOW = 96
 REACH = 40
 # Labelled windows the tagger is fitted on, per kind (and for stretches without a span).
 SAMPLE = 250
+# Other forms of each secret in the sample.
+REWRITTEN_SECRETS = 3
 
 # The four patterns, written so that each start is tried once.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -39,6 +46,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 _TRIGGER = re.compile("[0-9@]")
+# Labels for training: a value of mixed letters and digits that is assigned to a secret's name.
+_NAMED = re.compile(r"(?i)\b(token|secret|api[_-]?key|password|passwd|access[_-]?key|auth)(['\"]?\s{0,3}[=:]\s{0,3}['\"]?)([A-Za-z0-9+/_-]{16,128})")
+_VALUE = re.compile(r"[A-Za-z0-9+/_=.-]+")
 _DIGIT = re.compile("[0-9]")
 _PHONE_FORM = re.compile(r"[+(]?[0-9][0-9 ().+/-]*[0-9]\Z")
 
@@ -83,9 +93,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def named_secrets(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of values assigned to a secret's name."""
+    return [(m.start(3), SECRET, m.end(3)) for m in _NAMED.finditer(text) if _plausible(SECRET, m[3])]
+
+
 def _plausible(kind: int, s: str) -> bool:
     """The test a tagged span of a kind must stand."""
     d = _digits(s)
+    if kind == SECRET:
+        return 16 <= len(s) <= 256 and bool(_VALUE.fullmatch(s)) and len(d) >= 2 and len(set(s)) >= 8 and any(c.isalpha() for c in s)
     if kind == 0:
         return bool(re.fullmatch(r"[^\s@]+\s?@\s?[^\s@]+\.[^\s@]*[A-Za-z0-9]", s))
     if kind == 1:
@@ -194,6 +211,8 @@ def find(texts: list[str], tagger: Tagger | None, batch: int = 256) -> list[tupl
                 stop -= 1
             while start < stop and text[start] in " \n":
                 start += 1
+            if kind == SECRET and start < stop:
+                start, stop = _whole_value(text, start, stop)
             edge = (start and text[start - 1].isalnum()) or (stop < len(text) and text[stop].isalnum())
             if start < end or edge or not _plausible(kind, text[start:stop]):
                 continue
@@ -205,8 +224,50 @@ def find(texts: list[str], tagger: Tagger | None, batch: int = 256) -> list[tupl
     return out
 
 
+def _whole_value(text: str, start: int, stop: int) -> tuple[int, int]:
+    """The run of a value's characters that most of a span lies in."""
+    runs = [(min(stop, b) - max(start, a), a, b) for a, b in _runs(text, start, stop)]
+    if not runs:
+        return start, stop
+    _, a, b = max(runs)
+    return a, b
+
+
+def _runs(text: str, start: int, stop: int):
+    a = start
+    while a > 0 and start - a < 256 and _VALUE.match(text[a - 1]):
+        a -= 1
+    for m in _VALUE.finditer(text, a, min(len(text), stop + 256)):
+        if m.start() >= stop:
+            return
+        end = m.end()
+        while text[end - 1] in ".=-" and end > m.start() + 1:  # marks after the value
+            end -= 1
+        if end > start:
+            yield m.start(), end
+
+
 # -- training --------------------------------------------------------------------
 
+_NAMES = ("token", "secret", "api_key", "apikey", "API-KEY", "password", "passwd", "access_key", "auth", "client_secret", "Bearer", "SECRET_KEY", "pwd", "key")
+_SIGNS = (" = ", "=", ": ", ":", "=\"", ": \"", " = '", " ", "\": \"", " is ")
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+              "abcdefghijklmnopqrstuvwxyz0123456789_-")
+_HEADS = ("", "", "", "sk_live_", "ghp_", "AKIA", "xoxb-")
+
+
+def _another_secret(text: str, start: int, stop: int, rng: np.random.Generator) -> tuple[str, int, int]:
+    """The window with the secret, its name and its sign exchanged; where the new one stands."""
+    def one(of):
+        return of[int(rng.integers(len(of)))]
+
+    alphabet = one(_ALPHABETS)
+    value = one(_HEADS) + "".join(one(alphabet) for _ in range(int(rng.integers(20, 44))))
+    value = value if _plausible(SECRET, value) else value + "4f2a9c1e"
+    m = next((m for m in _NAMED.finditer(text) if m.start(3) == start), None)
+    before = text[:m.start()] + one(_NAMES) + one(_SIGNS) if m else text[:start]
+    return before + value + text[stop:], len(before), len(before) + len(value)
+
 
 def _rewritten(kind: int, s: str, rng: np.random.Generator) -> str:
     """Another way to write the same datum."""
@@ -232,11 +293,11 @@ def labelled_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 if not _TRIGGER.search(text):
                     continue
-                known = base_spans(text)
+                known = sorted(base_spans(text) + named_secrets(text))
                 for start, kind, end in known:
-                    if end - start <= WINDOW // 2:
-                        a = max(0, start - (WINDOW - (end - start)) // 2)
-                        rows.append((kind, text[a:a + WINDOW], start - a, end - a))
+                    # A span longer than a window begins with it.
+                    a = max(0, start - max(0, WINDOW - (end - start)) // 2)
+                    rows.append((kind, text[a:a + WINDOW], start - a, min(end - a, WINDOW)))
                 for a, b in _stretches(text):
                     for w in _windows(a, b):
                         if not any(s < w + WINDOW and w < e for s, _, e in known):
@@ -259,7 +320,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """Train the tagger on at most ``sample`` windows of each kind; None if no text holds a span."""
     windows = saved(labelled_windows(docs, id_col, text_col).distinct(), "windows")
     rows = []
-    for kind in range(-1, len(KINDS)):
+    for kind in range(-1, len(TAGGED)):
         rows += windows.where(F.col("kind") == kind).orderBy("nth", "window", "start").limit(sample).collect()
     if all(r["kind"] < 0 for r in rows):
         return None
@@ -278,13 +339,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         if kind < 0:
             add(text, [])
             continue
-        add(text, base_spans(text))
+        known = base_spans(text)
+        # What is known of the whole text holds where the window cuts it.
+        add(text, [*[s for s in known if s[2] <= a or s[0] >= b], *[s for s in named_secrets(text) if s[2] <= a or s[0] >= b], (a, kind, b)])
+        if kind == SECRET:
+            for _ in range(REWRITTEN_SECRETS):
+                moved, start, stop = _another_secret(text, a, b, rng)
+                add(moved, [*[s for s in base_spans(moved) if s[2] <= start or s[0] >= stop], (start, kind, stop)])
+            continue
         new = _rewritten(kind, text[a:b], rng)
         if new != text[a:b]:
             moved = text[:a] + new + text[b:]
             others = [s for s in base_spans(moved) if s[2] <= a or s[0] >= a + len(new)]
             add(moved, [*others, (a, kind, a + len(new))])
-    tagger = Tagger(N_CODES, 2 * len(KINDS) + 1, seed=seed)
+    tagger = Tagger(N_CODES, 2 * len(TAGGED) + 1, seed=seed)
     tagger.fit(np.array(codes), np.array(tags), epochs=epochs, seed=seed)
     return tagger
 
@@ -295,7 +363,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagg
 
     The counts and ``base_spans`` are those of the patterns; ``spans`` holds all.
     Both are arrays of (start, kind, end), in code points, end exclusive, sorted by
-    start and then by kind as listed in ``KINDS``. With ``redact`` (such as "[{}]") the
+    start and then by kind as listed in ``TAGGED``. With ``redact`` (such as "[{}]") the
     text comes back as ``redacted`` with each span, merged where spans overlap,
     replaced by its kind in capitals. Null text counts as empty; a null id stays
     null; equal rows are returned as often as they come. Without a tagger one is
@@ -309,7 +377,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagg
         for batch in textnum.parts(batches):
             texts = batch.column(1).to_pylist()
             found = find(texts, tagger)
-            listed = [[[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in f[x]] for f in found] for x in (0, 1)]
+            listed = [[[{"start": a, "kind": TAGGED[k], "end": b} for a, k, b in f[x]] for f in found] for x in (0, 1)]
             counts = [pa.array([sum(k == c for _, k, _ in f[0]) for f in found], pa.int64()) for c in range(len(KINDS))]
             arrays = [batch.column(0), *counts, pa.array(listed[0], span), pa.array(listed[1], span), *batch.columns[2:]]
             names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans", *(f"k_{c}" for c in keep)]
@@ -330,7 +398,7 @@ def _redacted(text: str, spans, form: str) -> str:
     out, at = [], 0
     for start, kind, end in spans:
         if start >= at:
-            out += [text[at:start], form.format(KINDS[kind].upper())]
+            out += [text[at:start], form.format(TAGGED[kind].upper())]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
