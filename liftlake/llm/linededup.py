@@ -65,9 +65,9 @@ def units(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int
     return _picked(docs, id_col, text_col).mapInArrow(run, "digest binary, doc_id bigint, version bigint, nth int, start int, stop int")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence",
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
             min_words: int = MIN_WORDS, passage: int | None = None) -> DataFrame:
-    """Occurrences to remove: doc_id, version, start, stop, kept_id (document of the occurrence that stays).
+    """Occurrences to remove: doc_id, version, start, stop, kept_id (document of the occurrence that stays), passage (or unit).
 
     Rank: smallest id (null last), then the text's hash, then place in the text.
     With ``passage``, windows of so many words are units as well; one that overlaps
@@ -83,7 +83,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     overlaps = (F.length("digest") == 8) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("version") == F.col("kept.version")) \
         & (F.col("nth") < F.col("kept.nth") + F.lit(passage or 0))
     return found.join(groups, "digest").where((rank != F.col("kept")) & ~overlaps) \
-        .select("doc_id", "version", "start", "stop", F.col("kept.doc_id").alias("kept_id"))
+        .select("doc_id", "version", "start", "stop", F.col("kept.doc_id").alias("kept_id"), (F.length("digest") == 8).alias("passage"))
 
 
 def _disjoint(batches):
@@ -105,7 +105,7 @@ def _disjoint(batches):
                                          ["doc_id", "version", "removed", "sources"])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence",
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
                 min_words: int = MIN_WORDS, passage: int | None = None) -> DataFrame:
     """Per document: doc_id, clean_text, n_removed, removed (sorted (start, stop), code points), sources (sorted ids).
 
@@ -115,9 +115,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of ``min_words`` words pass unchanged; other columns are not read. With ``passage``,
     repeated runs of at least so many words go too, whatever units they cross.
     """
-    per_doc = saved(repeats(docs, id_col, text_col, unit, min_words, passage), "repeats").groupBy("doc_id", "version").agg(
+    found = saved(repeats(docs, id_col, text_col, unit, min_words, passage), "repeats")
+    # Spans that overlap for sure are joined before any are collected: a passage has at least so many characters, so
+    # passages that begin within so many of each other overlap. A text then has a span per stretch, not one per word.
+    near = F.when(F.col("passage"), F.floor(F.col("start") / F.lit(2 * passage - 1))).otherwise(F.col("start").cast("bigint")) \
+        if passage is not None else F.col("start")
+    joined = found.groupBy("doc_id", "version", "passage", near.alias("near")).agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("kept_id").alias("kept"))
+    per_doc = joined.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"),
-        F.array_sort(F.collect_set("kept_id")).alias("sources"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("kept")))).alias("sources"))
     if passage is not None:
         per_doc = per_doc.mapInArrow(_disjoint, "doc_id bigint, version bigint, removed array<struct<start:int,stop:int>>, sources array<bigint>")
     per_doc = per_doc.withColumnsRenamed({"doc_id": "r_id", "version": "r_version"})

@@ -25,8 +25,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated units and passages of every document, where they stood, and the documents whose occurrence stays."""
-    found = linededup.deduplicate(table(spark, sf_dir, "documents"), passage=linededup.PASSAGE_WORDS)
+    """Repeated lines and passages of every document, where they stood, and the documents whose occurrence stays."""
+    found = linededup.deduplicate(table(spark, sf_dir, "documents"), unit="line", passage=linededup.PASSAGE_WORDS)
     removed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return found.select("doc_id", "n_removed", removed.alias("removed"), F.length("clean_text").cast("bigint").alias("clean_chars"),
                         F.sha2("clean_text", 256).alias("clean_sha256"), "sources")
@@ -48,7 +48,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the patterns' spans, and all spans."""
     found = pii.detect(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.joined("base_spans"), 256).alias("base_sha256"),
-                        pii.joined("spans").alias("spans"))
+                        pii.joined("spans").alias("spans"), (F.size("spans") - F.size("base_spans")).cast("bigint").alias("n_added"))
 
 
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
