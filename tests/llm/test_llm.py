@@ -286,13 +286,14 @@ def test_language_edge_cases(spark, docs):
 # -- repeated units --------------------------------------------------------------
 
 
-def test_repeated_units_against_brute_force(docs):
+@pytest.mark.parametrize("unit", list(linededup.UNITS))
+def test_repeated_units_against_brute_force(docs, unit):
     rng = random.Random(4)
-    pool = [" ".join(rng.choices("red green blue black white grey".split(), k=n)).capitalize() + e for n in range(5, 14) for e in (".", "!", "?\n")]
+    pool = [" ".join(rng.choices("red green blue black white grey".split(), k=n)).capitalize() + e for n in range(5, 14) for e in (".", "!", "?\n", "\n\n")]
     rows = [(k // 2 if k < 6 else k, "".join(x + rng.choice(("", " ", "  ")) for x in rng.choices(pool, k=6))) for k in range(40)]
     frame = docs(rows + EDGE, clash=True)
-    got = Counter((r["doc_id"], r["clean_text"], tuple(map(tuple, r["removed"])), tuple(r["sources"])) for r in linededup.deduplicate(frame).collect())
-    cut = linededup.UNITS["sentence"]
+    got = Counter((r["doc_id"], r["clean_text"], tuple(map(tuple, r["removed"])), tuple(r["sources"])) for r in linededup.deduplicate(frame, unit=unit).collect())
+    cut = linededup.UNITS[unit]
     every = []
     for r in frame.select("doc_id", "text").selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) v").collect():
         every.append((r["doc_id"], r["text"], r["v"]))
@@ -317,6 +318,43 @@ def test_repeated_units_against_brute_force(docs):
     assert linededup.deduplicate(docs([])).count() == 0
 
 
+def test_registered_query_removes_repeats_and_nothing_else(spark):
+    """On the real table what goes is exactly repeated lines of eight words and repeated runs of fifty; most documents stay whole."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    versions = {r["doc_id"]: r["v"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", "xxhash64(coalesce(text, '')) v").collect()}
+    line, window, gone = {}, {}, {k: set() for k in texts}
+    for key in sorted(texts, key=lambda k: (k, versions[k])):
+        text = texts[key]
+        for nth, m in enumerate(re.finditer(r"[^\n]*\n|[^\n]+", text)):
+            n = linededup.normal(m[0])
+            if len(n.split(" ")) >= 8 and line.setdefault(n, (key, nth)) != (key, nth):
+                gone[key] |= set(range(m.start(), m.end()))
+        found, w = list(re.finditer(r"[^\x20\x09-\x0D]+", text)), words(text)
+        for i in range(len(w) - 49):
+            kept = window.setdefault(tuple(w[i:i + 50]), (key, i))
+            if kept[0] != key or i >= kept[1] + 50:
+                gone[key] |= set(range(found[i].start(), found[i + 49].end()))
+    changed = 0
+    for r in registry.queries()["op3_substring_dedup"](spark, SMALL).collect():
+        cut = {x for span in r["removed"].split(",") if span for x in range(*map(int, span.split(":")))}
+        assert cut == gone[r["doc_id"]]
+        assert r["clean_sha256"] == hashlib.sha256("".join(c for i, c in enumerate(texts[r["doc_id"]]) if i not in cut).encode()).hexdigest() \
+            or not texts[r["doc_id"]]
+        changed += bool(cut)
+    assert 0 < changed < len(texts) / 2
+
+
+def test_a_long_repeated_text_has_few_spans(docs):
+    """Windows of one text are joined before they are collected: a row per stretch of characters reaches the last step."""
+    rng = random.Random(6)
+    common = " ".join(f"w{rng.randrange(50)}" for _ in range(3000))
+    frame = docs([f"a {common}", f"b {common} c", f"{common[:9000]} d", "short"])
+    rows = linededup.repeats(frame, passage=50).where("passage")
+    out = {r["doc_id"]: r for r in linededup.deduplicate(frame, passage=50).collect()}
+    assert [out[k]["n_removed"] for k in range(4)] == [0, 1, 1, 0] and out[1]["clean_text"].split() == ["b", "c"]
+    assert rows.groupBy("doc_id", F.floor(F.col("start") / 99)).count().count() <= 2 * len(common) / 99 + 4
+
+
 def test_repeated_passages_against_brute_force(spark, docs):
     rng = random.Random(14)
     vocabulary = [f"w{k}" for k in range(900)] + ["Éa", "漢字"]
@@ -650,6 +688,90 @@ def test_tagger_adds_forms_the_patterns_miss(docs, pii_docs):
     assert seen >= 15
 
 
+def planted(rng, forms):
+    """A text of fill words with one datum in one of the forms; (text, start, kind, end)."""
+    fill = "the of onan thing ed ereas with lines, by them it was noted that".split()
+    before, after = (" ".join(rng.choices(fill, k=rng.randint(4, 20))) for _ in range(2))
+    kind, name, value, tail = rng.choice(forms)(rng)
+    start = len(before) + 1 + len(name)
+    return f"{before} {name}{value}{tail} {after}", start, kind, start + len(value)
+
+
+def hex_value(rng, n=40, alphabet="0123456789abcdef"):
+    return "a1" + "".join(rng.choices(alphabet, k=n - 2))
+
+
+def card_number(rng):
+    d = "4" + "".join(rng.choices("0123456789", k=14))
+    return next(d + x for x in "0123456789" if pii.luhn(d + x))
+
+
+KNOWN_FORMS = [
+    lambda r: (0, "", f"ann{r.randrange(99)}.x@mail{r.randrange(9)}.example.com", ""), lambda r: (2, "", card_number(r), ""),
+    lambda r: (3, "", f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}", ""), lambda r: (1, "", f"{r.randrange(256)}.7.{r.randrange(256)}.9", ""),
+    lambda r: (4, 'token = "', hex_value(r), '"')]
+OTHER_FORMS = [
+    lambda r: (0, "", f"ann{r.randrange(99)}.x @ mail{r.randrange(9)}.example.com", ""),
+    lambda r: (2, "", ".".join(re.findall("....", card_number(r))), ""), lambda r: (2, "", "/".join(re.findall("....", card_number(r))), ""),
+    lambda r: (3, "", f"({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}", ""), lambda r: (3, "", f"{r.randrange(200, 999)}-555-{r.randrange(1000, 9999)}", ""),
+    lambda r: (4, "api_key: ", hex_value(r, 32, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), ""),
+    lambda r: (4, "password='", hex_value(r, 24, "abcdefghijklmnopqrstuvwxyz0123456789"), "'"), lambda r: (4, "Bearer ", hex_value(r, 36), "")]
+CLEAN = ["version 2.0 of the License, 1999 and 2004", "chapter 12 has 345 pages and 6,789 words", "onan the 4465758382889438 thing ed", "it cost 12.50 or 13.75",
+         "see section 3.2.1 and figure 10-4", "token of thanks, secret of the sea", "the key = value pairs of 2 lines"]
+
+
+def test_tagger_on_held_out_data(docs):
+    """Trained on known forms of some data, judged on other forms of other data; and clean text is left alone."""
+    rng = random.Random(21)
+    train = [planted(rng, KNOWN_FORMS)[0] for _ in range(300)] + [f"{c} {rng.randrange(100)}" for c in CLEAN * 6]
+    tagger = pii.fit(docs(train), epochs=14)
+    rng = random.Random(99)
+    f1 = {}
+    for name, forms in (("known", KNOWN_FORMS), ("other", OTHER_FORMS)):
+        cases = [planted(rng, forms) for _ in range(200)]
+        found = pii.find([c[0] for c in cases], tagger)
+        truth = {(i, a, k, b) for i, (_, a, k, b) in enumerate(cases)}
+        got = {(i, *span) for i, (_, every) in enumerate(found) for span in every}
+        right = len(truth & got)
+        f1[name] = 2 * right / (len(truth) + len(got))
+        if name == "other":  # the patterns alone find nearly none of these
+            base = {(i, *span) for i, (known, _) in enumerate(found) for span in known}
+            assert len(truth & base) < 0.2 * len(truth)
+    assert f1["known"] > 0.95 and f1["other"] > 0.75, f1
+    assert [len(every) for _, every in pii.find(CLEAN, tagger)] == [0] * len(CLEAN)
+
+
+def test_registered_query_adds_spans(spark):
+    rows = registry.queries()["op6_pii"](spark, "/root/testdata/sf0.01").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert sum(r["n_added"] for r in rows) >= 10
+    for r in rows:
+        listed = [x.split(":") for x in r["spans"].split(",") if x]
+        base = [(a, k, b) for k, a, b in ((pii.KINDS[k], a, b) for a, k, b in brute_spans(texts[r["doc_id"]]))]
+        every = [(int(a), k, int(b)) for k, a, b in listed]
+        assert set(base) <= set(every) and len(every) == len(base) + r["n_added"]
+        assert every == sorted(every, key=lambda s: (s[0], pii.TAGGED.index(s[1])))
+        for a, k, b in set(every) - set(base):
+            assert not any(a < y and x < b for x, _, y in base)
+
+
+def test_reading_only_near_digits_loses_nothing(spark, docs, monkeypatch):
+    """Every span holds a digit or an @; reading whole texts around them finds the same spans."""
+    frame = spark.read.parquet(f"{SMALL}/documents.parquet")
+    tagger = pii.fit(frame)
+    texts = [r["text"] or "" for r in frame.select("text").collect()]
+    near = pii.find(texts, tagger)
+    monkeypatch.setattr(pii, "REACH", 1 << 40)
+    assert pii.find(texts, tagger) == near
+
+
+def test_spans_longer_than_a_window(docs):
+    long = "x9" * 60 + "@mail.example.com"
+    assert pii.base_spans(f"write to {long} now") == [(9, 0, 9 + len(long))]
+    rows = pii.labelled_windows(docs([f"write to {long} now 7", 'password = "' + "Ab3-Cd4_" * 14 + '"']), "doc_id", "text").collect()
+    assert {(r["kind"], r["start"], r["stop"]) for r in rows if r["kind"] >= 0} == {(0, 0, pii.WINDOW), (4, 0, pii.WINDOW)}
+
+
 def test_windows_are_joined_over_a_long_text(docs, pii_docs):
     tagger = pii.fit(docs(pii_docs), epochs=2)
     text = " ".join(pii_docs[:60])
