@@ -17,6 +17,7 @@ LOG_HINTS = [
 TODAY_WORDS = ["сегодня", "today"]
 YESTERDAY_WORDS = ["вчера", "yesterday"]
 DEFAULT_SETS = 3
+LARGEST_COUNT = 2_147_483_647
 
 # weight, reps and optional sets joined by a separator: "66 кг на 7 повторов на 3 подхода"
 WEIGHT_SETS = (
@@ -34,6 +35,10 @@ SPACE_TRIPLE = r"(?U)(\d+(?:[.,]\d+)?)\s+(\d+)\s+(\d+)"
 DAY_MONTH = r"(?U)\b(\d{1,2})[./](\d{1,2})(?:[./](\d{2,4}))?\b"
 # ----------------------------------------------------------------------------
 
+# Parts the groups of a match in a replaced text.
+_CUT, _NO_CUT = "\x01", "\x02"
+SPANS = "array<struct<neg_size:int,ord:int,pos:int,lo:int,hi:int,slug:string>>"
+
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, however often it is used."""
@@ -49,30 +54,32 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(words))
 
 
-def _positive(match: Column, pattern: str) -> Column:
-    """Struct of the three groups of a match, null unless all are positive.
+def _groups(text: Column, pattern: str) -> Column:
+    """The three groups of the first match as an array of texts, without a match one text alone.
 
-    Cutting the match by its own pattern gives the groups of the whole search,
-    so a digit inside a word ("reps5") is not taken for a number.
+    One replacement of the whole text by the groups of its first match, so the text
+    is searched once; a digit inside a word ("reps5") is not taken for a number.
     """
-    group = lambda i: F.regexp_extract(match, pattern, i)
+    plain = F.translate(text, _CUT, _NO_CUT)  # as little a part of the patterns as the other
+    return F.split(F.regexp_replace(plain, f"(?s)^.*?{pattern}.*$", f"$1{_CUT}$2{_CUT}$3"), _CUT)
+
+
+def _positive(groups: Column) -> Column:
+    """Struct of the numbers in three texts, null unless all are positive. Counts beyond a 32-bit integer become the largest one."""
+    count = lambda c: F.least(c.try_cast("decimal(38,0)"), F.lit(LARGEST_COUNT).cast("decimal(38,0)")).cast("int")
+    digits = lambda c: F.when(F.length(c) <= 30, c).otherwise(F.lit(str(LARGEST_COUNT)))
     found = F.struct(
-        F.replace(group(1), F.lit(","), F.lit(".")).try_cast("double").alias("weight_kg"),
-        group(2).try_cast("int").alias("reps"),
-        F.coalesce(F.nullif(group(3), F.lit("")), F.lit(str(DEFAULT_SETS))).try_cast("int").alias("sets"),
+        F.replace(F.get(groups, F.lit(0)), F.lit(","), F.lit(".")).try_cast("double").alias("weight_kg"),
+        count(digits(F.get(groups, F.lit(1)))).alias("reps"),
+        count(digits(F.coalesce(F.nullif(F.get(groups, F.lit(2)), F.lit("")), F.lit(str(DEFAULT_SETS))))).alias("sets"),
     )
-    return let(found, lambda n: F.when((n["weight_kg"] > 0) & (n["reps"] > 0) & (n["sets"] > 0), n))
+    return let(found, lambda n: F.when(
+        (F.size(groups) == 3) & (n["weight_kg"] > 0) & (n["reps"] > 0) & (n["sets"] > 0), n))
 
 
 def parse_numbers(text: Column) -> Column:
-    """Struct (weight_kg, reps, sets), null when neither notation gives positive numbers.
-
-    Each notation is searched once; its match is then cut into its groups.
-    """
-    return F.coalesce(
-        let(F.regexp_extract(text, WEIGHT_SETS, 0), lambda match: _positive(match, WEIGHT_SETS)),
-        let(F.regexp_extract(text, SPACE_TRIPLE, 0), lambda match: _positive(match, SPACE_TRIPLE)),
-    )
+    """Struct (weight_kg, reps, sets), null when neither notation gives positive numbers."""
+    return F.coalesce(let(_groups(text, WEIGHT_SETS), _positive), let(_groups(text, SPACE_TRIPLE), _positive))
 
 
 def parse_date(text: Column, today: Column) -> Column:
@@ -105,47 +112,41 @@ def is_workout_log(text: Column, has_exercise: Column, has_numbers: Column) -> C
     return has_exercise & (has_numbers | (reports & ~asks_for_program))
 
 
-def occurrences(text: Column, needle: Column) -> Column:
-    """Start offsets (0-based) of every occurrence, overlapping ones included.
+def alias_spans(norm: Column, matcher, entries: Column) -> Column:
+    """Every occurrence of an alias in a normalised text, overlapping ones included.
 
-    A zero-width split before each occurrence keeps this linear in the text length.
+    One search puts marks around the longest alias that begins at a place; the
+    shorter ones beginning there are those the longest begins with (``entries``).
     """
-    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), needle, F.lit("\\E)")))
+    open_, close, other = matcher.marks
+    plain = F.translate(norm, open_ + close, other * 2)
+    marked = F.split(F.regexp_replace(plain, f"(?=({matcher.pattern}))", f"{open_}$1{close}"), open_)
     walk = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            F.array_append(acc["found"], acc["at"]).alias("found"),
-        ),
+        F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))),
+        F.struct(F.length(F.get(marked, F.lit(0))).alias("at"), F.array().cast(SPANS).alias("found")),
+        lambda acc, piece: let(F.split(piece, close), lambda part: F.struct(
+            (acc["at"] + F.length(part[1])).alias("at"),
+            F.concat(acc["found"], F.transform(F.element_at(entries, part[0]), lambda e: F.struct(
+                e["neg_size"].alias("neg_size"), e["ord"].alias("ord"), e["pos"].alias("pos"),
+                acc["at"].alias("lo"), (acc["at"] + e["size"]).alias("hi"), e["slug"].alias("slug")))).alias("found"),
+        )),
     )
-    # Every piece but the first starts at an occurrence; the first may not.
-    return F.filter(walk["found"], lambda at: (at > 0) | F.startswith(text, needle))
+    return F.when(F.size(marked) > 1, F.array_sort(walk["found"])).otherwise(F.array().cast(SPANS))
 
 
-def resolve_slugs(text: Column, aliases: Column) -> Column:
-    """Distinct slugs named in a text, in the order their spans are accepted.
-
-    ``aliases`` is an array of (prefix, entries); an entry holds alias, slug and
-    size and sorts longest first. A span is accepted when it overlaps no span
-    accepted before it.
-    """
-    return let(F.trim(normalized(text)), lambda norm: _slugs_in(norm, aliases))
-
-
-def _slugs_in(norm: Column, aliases: Column) -> Column:
-    begun = F.filter(aliases, lambda g: F.contains(norm, g["prefix"]))
-    present = F.array_sort(F.flatten(F.transform(
-        begun, lambda g: F.filter(g["entries"], lambda a: F.contains(norm, a["alias"])))))
-    spans = F.flatten(F.transform(present, lambda a: F.transform(
-        occurrences(norm, a["alias"]),
-        lambda at: F.struct(at.alias("lo"), (at + a["size"]).alias("hi"), a["slug"].alias("slug")),
-    )))
+def accepted_slugs(spans: Column) -> Column:
+    """Distinct slugs of the spans in order, leaving out spans that overlap one accepted before."""
     accepted = F.aggregate(
         spans,
         F.array().cast("array<struct<lo:int,hi:int,slug:string>>"),
         lambda kept, s: F.when(
             F.exists(kept, lambda k: (s["lo"] < k["hi"]) & (k["lo"] < s["hi"])), kept
-        ).otherwise(F.array_append(kept, s)),
+        ).otherwise(F.array_append(kept, F.struct(
+            s["lo"].alias("lo"), s["hi"].alias("hi"), s["slug"].alias("slug")))),
     )
     return F.array_distinct(F.transform(accepted, lambda s: s["slug"]))
+
+
+def resolve_slugs(text: Column, matcher, entries: Column) -> Column:
+    """Distinct slugs named in a text: longest aliases first, ties in catalog order, then from left to right."""
+    return let(F.trim(normalized(text)), lambda norm: accepted_slugs(alias_spans(norm, matcher, entries)))

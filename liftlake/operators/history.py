@@ -6,21 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions import rules
-from liftlake.operators.common import for_users, log_join
+from liftlake.operators.common import for_users, log_join, workouts_of
 
 
 def scan_log(t, users=None, start=None, end=None) -> DataFrame:
-    """Sets with their workout; user and date filters reach the file scan."""
-    w = for_users(t["workouts"], users)
+    """Sets with their workout; user and date filters reach the file scan.
+
+    A flat log is read as it is, without a join.
+    """
+    out = ["user_id", "workout_id", "workout_date", "split_focus", "exercise_id", "set_number",
+           F.col("weight_kg").cast("double").alias("weight_kg"), "reps"]
+    if "flat_log" in t:
+        rows = for_users(t["flat_log"], users)
+        if start is not None:
+            rows = rows.where((F.col("month") >= str(start)[:7]) & (F.col("workout_date") >= F.lit(start).cast("date")))
+        if end is not None:
+            rows = rows.where((F.col("month") <= str(end)[:7]) & (F.col("workout_date") <= F.lit(end).cast("date")))
+        return rows.select(*out)
+    w = workouts_of(t, users)
     if start is not None:
         w = w.where(F.col("workout_date") >= F.lit(start).cast("date"))
     if end is not None:
         w = w.where(F.col("workout_date") <= F.lit(end).cast("date"))
     w = w.select("workout_id", "user_id", "workout_date", "split_focus")
-    return t["workout_sets"].join(w, "workout_id").select(
-        "user_id", "workout_id", "workout_date", "split_focus", "exercise_id", "set_number",
-        F.col("weight_kg").cast("double").alias("weight_kg"), "reps",
-    )
+    return t["workout_sets"].join(w, "workout_id").select(*out)
 
 
 def full_join(t, users=None) -> DataFrame:
@@ -32,6 +41,8 @@ def full_join(t, users=None) -> DataFrame:
 
 
 def _with_slug(df: DataFrame, t, slug=None) -> DataFrame:
+    if "slug" in df.columns:
+        return df.drop("exercise_id")
     e = t["exercises"].select("exercise_id", "slug")
     if slug is not None:
         e = e.where(F.col("slug") == slug)
@@ -40,7 +51,9 @@ def _with_slug(df: DataFrame, t, slug=None) -> DataFrame:
 
 def _sets_of(t, users, slug) -> DataFrame:
     """Sets with user and date; a slug filter is applied before anything is shuffled."""
-    sets = log_join(t, users)
+    sets = log_join(t, users, named=True)
+    if "slug" in sets.columns:
+        return sets.where(F.col("slug").isNotNull() if slug is None else F.col("slug") == slug)
     if slug is not None:
         sets = sets.join(t["exercises"].where(F.col("slug") == slug).select("exercise_id"), "exercise_id")
     return sets
@@ -52,10 +65,22 @@ def session_points(t, users=None, slug=None) -> DataFrame:
     Two aggregations with map-side combine replace the join of the sets to their
     own maximum; the second sees one row per weight.
     """
-    day = ["user_id", "exercise_id", "workout_date"]
-    per_weight = _sets_of(t, users, slug).groupBy(*day, "weight_kg").agg(
+    return points_of(t, weight_partials(_sets_of(t, users, slug)))
+
+
+def weight_partials(sets: DataFrame) -> DataFrame:
+    """Sets of one weight per (user, exercise, date): most reps, number of sets, sum of reps."""
+    return sets.groupBy(*_day(sets), "weight_kg").agg(
         F.max("reps").alias("reps"), F.count(F.lit(1)).alias("n"), F.sum("reps").alias("all_reps"))
-    points = per_weight.groupBy(*day).agg(
+
+
+def _day(sets: DataFrame) -> list[str]:
+    return ["user_id", "exercise_id", "workout_date", *(["slug"] if "slug" in sets.columns else [])]
+
+
+def points_of(t, per_weight: DataFrame) -> DataFrame:
+    """Chart points out of the partial sums per weight."""
+    points = per_weight.groupBy(*_day(per_weight)).agg(
         F.max("weight_kg").alias("max_weight"),
         F.max_by("reps", "weight_kg").alias("reps"),
         F.max_by("n", "weight_kg").alias("sets_count"),
@@ -75,7 +100,8 @@ def exercise_progress(t, users=None, slug=None) -> DataFrame:
 
 def exercise_tonnage(t, users=None, slug=None) -> DataFrame:
     """Sum of weight x reps and number of sets per (user, exercise, date)."""
-    per_day = _sets_of(t, users, slug).groupBy("user_id", "exercise_id", "workout_date").agg(
+    sets = _sets_of(t, users, slug)
+    per_day = sets.groupBy(*_day(sets)).agg(
         F.sum(F.col("weight_kg") * F.col("reps")).alias("tonnage"),
         F.count(F.lit(1)).alias("sets_count"),
     )
@@ -215,11 +241,11 @@ def history_window(t, users=None, limit: int = 50) -> DataFrame:
     )
 
 
-def focus_counts(t, users=None, limit: int = 50) -> DataFrame:
-    """Workouts per focus within the history window, most frequent first."""
+def focus_counts(t, users=None, limit: int = 50, window: DataFrame | None = None) -> DataFrame:
+    """Workouts per focus within the history window (given, or that of the users), most frequent first."""
     focus = F.coalesce(F.nullif(F.col("split_focus"), F.lit("")), F.lit("Unknown"))
     counts = (
-        history_window(t, users, limit)
+        (history_window(t, users, limit) if window is None else window)
         .groupBy("user_id", focus.alias("focus"))
         .agg(F.count(F.lit(1)).alias("workouts"))
     )

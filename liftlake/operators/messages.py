@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlake.functions import parsing, rules
-from liftlake.sources.catalog import MAX_LITERAL_ALIASES, alias_array, alias_table
+from liftlake.session import MAX_BROADCAST_ROWS, cut_lineage
+from liftlake.sources.catalog import ENTRIES, MAX_LITERAL_ALIASES, alias_matcher, alias_table
+
+# What the columns of a stored set hold: smallint counts, decimal(6,2) weights. Beyond, saving fails.
+MAX_COUNT = 32_767
+MAX_WEIGHT = 10_000
 
 
 def normalized_text(messages: DataFrame) -> DataFrame:
@@ -19,49 +24,74 @@ def with_slugs(t, messages: DataFrame, limit: int = MAX_LITERAL_ALIASES) -> Data
     """Messages with ``slugs``: the exercises named in the text, in acceptance order.
 
     A catalog within ``limit`` aliases is matched row by row without any shuffle.
-    A larger one goes through an equi-join of text pieces with the aliases.
+    A larger one goes through equi-joins of text pieces with alias beginnings.
     """
-    aliases = alias_array(t, limit)
-    if aliases is not None:
-        return (
-            messages.withColumn("aliases", aliases)
-            .withColumn("slugs", parsing.resolve_slugs(F.col("text"), F.col("aliases")))
-            .drop("aliases")
-        )
-    return _with_slugs_by_join(t, messages)
+    matcher = alias_matcher(t, limit)
+    if matcher is None:
+        return _with_slugs_by_join(t, messages)
+    if not matcher.entries:
+        return messages.withColumn("slugs", F.array().cast("array<string>"))
+    entries = messages.sparkSession.createDataFrame([(matcher.entries,)], f"entries {ENTRIES}").scalar()
+    return (
+        messages.withColumn("entries", entries)
+        .withColumn("slugs", parsing.resolve_slugs(F.col("text"), matcher, F.col("entries")))
+        .drop("entries")
+    )
 
 
-def _with_slugs_by_join(t, messages: DataFrame) -> DataFrame:
-    """Any catalog size: pieces of each alias length join the alias table by equality.
+def alias_hits(t, texts: DataFrame, key: list[str]) -> DataFrame:
+    """Occurrences (key, lo, alias row) of the aliases of any dictionary in the texts (key, norm).
 
-    Only true occurrences leave the join; they are folded per message, where a
-    message is bounded by its own text. Rows that repeat an id with another text
-    keep their own matches.
+    The dictionary is walked like a trie, by beginnings of doubling length. Every
+    place of a text is looked up once with the beginning of the shortest alias; only
+    places that begin longer aliases as well are looked up again with twice as many
+    characters. At each length the aliases between it and its double are candidates.
     """
     table = alias_table(t["catalog_source"]).select("alias", "slug", "size", "ord", "pos")
-    sizes = table.agg(F.collect_set("size")).scalar()  # the distinct alias lengths
+    low, high, many = table.agg(F.min("size"), F.max("size"), F.count(F.lit(1))).first()
+    held = F.broadcast if many <= MAX_BROADCAST_ROWS else lambda df: df
+    found = []
+    if low is None:
+        return texts.select(*key, F.lit(0).alias("lo")).join(table, F.lit(False))
+    n = 1 << (low.bit_length() - 1)
+    places = texts.where(F.length("norm") >= n).select(
+        *key, "norm", F.explode(F.sequence(F.lit(0), F.length("norm") - n)).alias("lo"))
+    while True:
+        begun = table.withColumn("beginning", F.substring("alias", 1, n)).where(F.col("size") >= n)
+        beginnings = begun.groupBy("beginning").agg(
+            F.collect_list(F.when(F.col("size") < 2 * n, F.struct("alias", "slug", "size", "ord", "pos"))).alias("here"),
+            F.bool_or(F.col("size") >= 2 * n).alias("longer"))
+        # What is shuffled is a place and the few characters read at it, not the text.
+        piece = F.substring("norm", F.col("lo") + 1, F.lit(min(2 * n, high)))
+        looked_up = places.select(*key, "lo", piece.alias("piece"), F.expr(f"substring(norm, lo + 1, {n})").alias("beginning")) \
+            .join(held(beginnings), "beginning")
+        if 2 * n > high:
+            found.append(looked_up)
+            break
+        looked_up = cut_lineage(looked_up)
+        found.append(looked_up)
+        n *= 2
+        places = looked_up.where("longer").select(*key, "lo").join(texts, key).where(F.length("norm") >= F.col("lo") + n)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.select(*key, "lo", "piece", F.inline("here")).where(F.startswith("piece", F.col("alias"))).drop("piece")
+
+
+def _with_slugs_by_join(t, messages: DataFrame) -> DataFrame:
+    """Any catalog size: the occurrences are folded per message, where a message is bounded by its own text.
+
+    Rows that repeat an id with another text keep their own matches.
+    """
     norm = F.trim(parsing.normalized(F.col("text")))
-    texts = messages.select("msg_id", norm.alias("norm"), sizes.alias("sizes")).distinct()
-    pieces = (
-        texts.select("msg_id", "norm", F.explode("sizes").alias("n"))
-        .where("length(norm) >= n")
-        .select("msg_id", "norm", "n", F.explode(F.expr("sequence(0, length(norm) - n)")).alias("lo"))
-        .select("msg_id", F.md5(F.col("norm").cast("binary")).alias("text_key"), "lo", F.expr("substring(norm, lo + 1, n)").alias("alias"))
-    )
-    hits = pieces.join(table, "alias").groupBy("msg_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(
+    keyed = messages.withColumn("text_key", F.md5(norm.cast("binary")))
+    key = ["msg_id", "text_key"]
+    texts = keyed.select(*key, norm.alias("norm")).distinct()
+    hits = alias_hits(t, texts, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("size")).alias("neg_size"), "ord", "pos", "lo", (F.col("lo") + F.col("size")).alias("hi"), "slug",
     ))).alias("spans"))
-    accepted = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<lo:int,hi:int,slug:string>>"),
-        lambda kept, s: F.when(
-            F.exists(kept, lambda k: (s["lo"] < k["hi"]) & (k["lo"] < s["hi"])), kept
-        ).otherwise(F.array_append(kept, F.struct(
-            s["lo"].alias("lo"), s["hi"].alias("hi"), s["slug"].alias("slug")))),
-    )
-    found = hits.select("msg_id", "text_key", F.array_distinct(F.transform(accepted, lambda s: s["slug"])).alias("slugs"))
-    keyed = messages.withColumn("text_key", F.md5(norm.cast("binary")))
-    return keyed.join(found, ["msg_id", "text_key"], "left").withColumn(
+    found = hits.select(*key, parsing.accepted_slugs(F.col("spans")).alias("slugs"))
+    return keyed.join(found, key, "left").withColumn(
         "slugs", F.coalesce("slugs", F.array().cast("array<string>"))).drop("text_key")
 
 
@@ -176,7 +206,8 @@ def route_messages(t, messages: DataFrame) -> DataFrame:
         .join(_names(t).withColumnRenamed("slug", "name_slug"), F.col("slug") == F.col("name_slug"), "left")
     )
     can_save = (
-        (F.col("reps") > 0) & (F.col("sets") > 0) & F.col("slug_ok").isNotNull()
+        F.col("reps").between(1, MAX_COUNT) & F.col("sets").between(1, MAX_COUNT) & F.col("slug_ok").isNotNull()
+        & (F.col("weight_kg") < MAX_WEIGHT)
         & ((F.col("weight_kg") > 0) | ((F.col("weight_kg") == 0) & F.col("bodyweight")))
     )
     outcome = (

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.functions import rules
+from liftlake.functions import parsing, rules
 from liftlake.operators.common import for_users
 from liftlake.operators.history import exercise_progress, focus_counts, history_window
-from liftlake.operators.messages import each_slug
+from liftlake.operators.messages import each_slug, with_slugs
 from liftlake.operators.sessions import user_exercises
+from liftlake.session import stored
 
 # --- Fixed values: report texts ---------------------------------------------
 ALIASES_SHOWN = 6
@@ -74,15 +75,13 @@ def _section(title: str, body: Column) -> Column:
     return F.concat(F.lit(title + "\n"), body)
 
 
-def set_detail(t, workouts: DataFrame | None = None) -> DataFrame:
-    """Text of the sets per (workout, exercise), collapsed when all are equal.
+def set_detail(t) -> DataFrame:
+    """Text of the sets per (workout, exercise), collapsed when all are equal."""
+    return _set_texts(t["workout_sets"], ["workout_id", "exercise_id"])
 
-    Equal sets are counted first, so a group holds its distinct (weight, reps) only.
-    """
-    sets = t["workout_sets"]
-    if workouts is not None:
-        sets = sets.join(workouts.select("workout_id"), "workout_id", "left_semi")
-    keys = ["workout_id", "exercise_id"]
+
+def _set_texts(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """Equal sets are counted first, so a group holds its distinct (weight, reps) only."""
     distinct = sets.groupBy(*keys, "weight_kg", "reps").agg(F.count(F.lit(1)).cast("int").alias("n"))
     sorted_sets = distinct.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("weight_kg", "reps", "n"))).alias("s"))
@@ -103,46 +102,50 @@ def uniform_sets(t) -> DataFrame:
         (F.min(pair) == F.max(pair)).alias("uniform"), F.count(F.lit(1)).alias("sets_count"))
 
 
-def _window_details(t, users=None) -> DataFrame:
-    """Set texts of the history window with workout and exercise columns."""
-    window = history_window(t, users)
+def log_state(t, users=None) -> DataFrame:
+    """The history window with the set texts of its workouts, stored once for all sections of a report.
+
+    One row per workout with its exercises in catalog order; one scan of workouts
+    and one of sets, whose rows meet by workout and stay there until the row is whole.
+    """
+    window = history_window(t, users).drop("created_at")
+    keys = window.columns
+    # A workout without sets has one row without exercise.
+    sets = window.join(t["workout_sets"].select("workout_id", "exercise_id", "weight_kg", "reps"), "workout_id", "left")
     e = t["exercises"].select("exercise_id", "slug", "name", "ord")
-    return set_detail(t, window).join(window, "workout_id").join(e, "exercise_id")
+    texts = _set_texts(sets, [*keys, "exercise_id"]).join(e, "exercise_id", "left")
+    known = F.when(F.col("slug").isNotNull(), F.struct("ord", "slug", "name", "detail"))
+    return stored(texts.groupBy(*keys).agg(F.array_sort(F.collect_list(known)).alias("exercises")), "log-state")
 
 
-def progression_lines(t, users=None) -> DataFrame:
-    """One line per (exercise, workout) of the history window.
+def key_lift_progression(t, users=None, state: DataFrame | None = None) -> DataFrame:
+    """Block of lines per (user, exercise) of the history window, in chronological order.
 
     Label, order and membership are those of the alias catalog: an exercise outside
-    it has no lines.
+    it has no block.
     """
+    state = log_state(t, users) if state is None else state
     catalog = t["catalog_source"].select("slug", F.col("canonical").alias("label"), F.col("ord").alias("place"))
     line = F.concat(F.lit("  - "), F.col("workout_date").cast("string"), F.lit(" ("),
                     F.coalesce("split_focus", F.lit("")), F.lit("): "), F.col("detail"))
-    return _window_details(t, users).join(catalog, "slug").select(
-        "user_id", "slug", "label", "place", "workout_id", "position", line.alias("line"))
-
-
-def key_lift_progression(t, users=None) -> DataFrame:
-    """Block of lines per (user, exercise) in chronological order."""
-    blocks = progression_lines(t, users).groupBy("user_id", "slug", "label", "place").agg(
-        _lines(F.col("position"), line=F.col("line")).alias("body"), F.count(F.lit(1)).alias("sessions"))
-    return blocks.select(
+    lines = state.select("user_id", "position", "workout_date", "split_focus", F.inline("exercises"))
+    blocks = lines.groupBy("user_id", "slug").agg(
+        _lines(F.col("position"), line=line).alias("body"), F.count(F.lit(1)).alias("sessions"))
+    return blocks.join(catalog, "slug").select(
         "user_id", "slug", F.col("place").alias("ord"), "sessions",
         F.concat(F.lit("**"), F.col("label"), F.lit(":**\n"), F.col("body"), F.lit("\n")).alias("block"))
 
 
-def full_log(t, users=None) -> DataFrame:
+def full_log(t, users=None, state: DataFrame | None = None) -> DataFrame:
     """Block per workout of the history window: header and one line per exercise."""
-    window = history_window(t, users)
-    line = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.col("detail"))
-    bodies = _window_details(t, users).groupBy("workout_id").agg(_lines(F.col("ord"), line=line).alias("body"))
+    state = log_state(t, users) if state is None else state
+    body = F.array_join(F.transform("exercises", lambda e: F.concat(F.lit("- "), e["name"], F.lit(": "), e["detail"])), "\n")
     focus = F.nullif("split_focus", F.lit(""))
     header = F.concat(F.lit("### "), F.col("workout_date").cast("string"),
                       F.coalesce(F.concat(F.lit(" ("), focus, F.lit(")")), F.lit("")))
-    return window.join(bodies, "workout_id", "left").select(
+    return state.select(
         "user_id", "workout_id", "position",
-        F.concat(header, F.lit("\n"), F.coalesce("body", F.lit(NO_SETS)), F.lit("\n")).alias("block"))
+        F.concat(header, F.lit("\n"), F.when(F.size("exercises") > 0, body).otherwise(NO_SETS), F.lit("\n")).alias("block"))
 
 
 def alias_reference(t) -> DataFrame:
@@ -162,10 +165,11 @@ def _alias_text(t) -> Column:
         F.concat(F.lit("\n" + ALIAS_HEADER + "\n"), _lines(F.col("ord"), line=F.col("line"))).alias("text")).scalar()
 
 
-def profile_sections(t, users=None) -> DataFrame:
+def profile_sections(t, users=None, state: DataFrame | None = None) -> DataFrame:
     """Profile columns with one text column per section; an empty section is null."""
+    state = log_state(t, users) if state is None else state
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
-    counts = focus_counts(t, users).groupBy("user_id").agg(
+    counts = focus_counts(t, users, window=state).groupBy("user_id").agg(
         F.sum("workouts").alias("total"), F.max("chest_related").alias("chest"),
         _lines(F.col("position"), line=F.concat(
             F.lit("- "), F.col("focus"), F.lit(": "), F.col("workouts").cast("string"))).alias("focus_lines"))
@@ -180,10 +184,10 @@ def profile_sections(t, users=None) -> DataFrame:
     bans = active_bans(t, users).groupBy("user_id").agg(_section(SECTION_BANS, _lines(
         F.col("ban_id"), line=F.concat(
             F.lit("- "), F.col("exercise_name"), F.lit(" — "), F.col("reason")))).alias("bans"))
-    progression = key_lift_progression(t, users).groupBy("user_id").agg(
+    progression = key_lift_progression(t, users, state).groupBy("user_id").agg(
         _section(SECTION_PROGRESSION, _lines(F.col("ord"), line=F.col("block"))).alias("progression"),
         F.count(F.lit(1)).alias("n_lifts"))
-    log = full_log(t, users).groupBy("user_id").agg(
+    log = full_log(t, users, state).groupBy("user_id").agg(
         _section(SECTION_LOG, _lines(F.col("position"), line=F.col("block"))).alias("log"))
 
     rows = for_users(t["profile"], users)
@@ -211,63 +215,80 @@ def profile_sections(t, users=None) -> DataFrame:
         session_counts.alias("session_counts"), "progression", "log")
 
 
-def profile_snapshot(t, users=None) -> DataFrame:
+def profile_snapshot(t, users=None, state: DataFrame | None = None) -> DataFrame:
     """One document per registered user; empty sections are left out."""
-    s = profile_sections(t, users)
+    s = profile_sections(t, users, state)
     return s.select(
         "user_id", "logged_workouts", "n_lifts",
         F.concat_ws("\n", "profile", "split", "goals", "injuries", "bans", "session_counts",
                     _alias_text(t), "progression", "log").alias("document"))
 
 
-def _match_text(line_order: Column) -> Column:
-    line = F.concat(F.lit("- User likely means: **"), F.col("canonical"), F.lit("** (slug: `"), F.col("slug"), F.lit("`)"))
-    return F.concat(F.lit(MATCH_HEADER + "\n"), _lines(line_order, line=line), F.lit("\n\n" + MATCH_FOOTER))
+def _with_names(t, rows: DataFrame) -> DataFrame:
+    """Rows with the catalog's names as one map; the catalog is a dimension of bounded size."""
+    names = t["catalog_source"].agg(F.map_from_entries(F.collect_list(F.struct("slug", "canonical")))).scalar()
+    return rows.withColumn("names", names)
+
+
+def _match_text(slugs: Column, names: Column) -> Column:
+    """What a message names, as lines for the reader; null when it names nothing."""
+    lines = F.transform(slugs, lambda slug: F.concat(
+        F.lit("- User likely means: **"), F.element_at(names, slug), F.lit("** (slug: `"), slug, F.lit("`)")))
+    return F.when(F.size(slugs) > 0, F.concat(
+        F.lit(MATCH_HEADER + "\n"), F.array_join(lines, "\n"), F.lit("\n\n" + MATCH_FOOTER)))
 
 
 def matched_lines(t, messages: DataFrame) -> DataFrame:
-    """What the message names, as lines for the reader; messages naming nothing give no row."""
-    names = t["catalog_source"].select("slug", "canonical")
-    found = each_slug(t, messages).join(names, "slug")
-    return found.groupBy("msg_id").agg(_match_text(F.col("position")).alias("text"))
+    """What each message names; messages naming nothing give no row."""
+    # Expanding an array of zero or one texts keeps the matching from being done again in a filter.
+    text = _match_text(F.col("slugs"), F.col("names"))
+    found = _with_names(t, with_slugs(t, messages))
+    return found.select("msg_id", F.explode(F.filter(F.array(text), lambda x: x.isNotNull())).alias("text"))
+
+
+def _resolved(t, messages: DataFrame) -> DataFrame:
+    """Messages with the exercises they name, stored: their users are asked for before their texts."""
+    return stored(with_slugs(t, messages.select("msg_id", "user_id", "text")), "messages")
+
+
+def _blocks(t, state: DataFrame) -> DataFrame:
+    """Per user, the progression of each exercise of the history window as a map."""
+    return key_lift_progression(t, state=state).groupBy("user_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("slug", "block"))).alias("blocks"))
+
+
+def _focused(slugs: Column, blocks: Column) -> Column:
+    """Progressions of the named exercises; null without any."""
+    held = F.filter(F.transform(slugs, lambda slug: F.element_at(blocks, slug)), lambda b: b.isNotNull())
+    return parsing.let(held, lambda held: F.when(F.size(held) > 0, F.concat(F.lit(FOCUSED_HEADER + "\n"), F.array_join(held, "\n"))))
 
 
 def focused_progression(t, messages: DataFrame) -> DataFrame:
-    """History of the exercises named in a message; no row without any history."""
-    found = each_slug(t, messages, "user_id")
-    blocks = key_lift_progression(t).select("user_id", "slug", "block")
-    return found.join(blocks, ["user_id", "slug"]).groupBy("msg_id").agg(
-        _section(FOCUSED_HEADER, _lines(F.col("position"), line=F.col("block"))).alias("text"))
+    """History of the exercises named in a message; no row without any history.
+
+    Only the histories of users whose messages name an exercise are read.
+    """
+    found = _resolved(t, messages).where(F.size("slugs") > 0)
+    blocks = _blocks(t, log_state(t, found))
+    text = F.filter(F.array(_focused(F.col("slugs"), F.col("blocks"))), lambda x: x.isNotNull())
+    return found.join(blocks, "user_id").select("msg_id", F.explode(text).alias("text"))
 
 
 def message_context(t, messages: DataFrame) -> DataFrame:
     """Message with everything known about its user and the exercises it names.
 
-    The text stays as it is when nothing applies.
+    The text stays as it is when nothing applies. Histories of the users who wrote
+    are read once; a message meets its user's document and progressions in one join.
     """
-    # Matches and histories come from one pass over the texts.
-    blocks = key_lift_progression(t).select("user_id", "slug", "block")
-    named = (
-        each_slug(t, messages, "user_id")
-        .join(t["catalog_source"].select("slug", "canonical"), "slug")
-        .join(blocks, ["user_id", "slug"], "left")
-        .groupBy("msg_id")
-        .agg(
-            _match_text(F.col("position")).alias("matched"),
-            F.when(F.count("block") > 0, F.concat(F.lit(FOCUSED_HEADER + "\n"), F.array_join(F.filter(F.transform(
-                F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]),
-                lambda b: b.isNotNull()), "\n"))).alias("focused"),
-        )
-    )
-    snapshot = profile_snapshot(t).select("user_id", "document")
-    rows = (
-        messages.select("msg_id", "user_id", "text")
-        .join(named, "msg_id", "left").join(snapshot, "user_id", "left")
-    )
-    nothing = F.col("matched").isNull() & F.col("focused").isNull() & F.col("document").isNull()
-    body = F.concat_ws("\n\n", "matched", "focused", "document")
-    return rows.select("msg_id", F.when(nothing, F.col("text")).otherwise(F.concat(
-        F.lit(CONTEXT_HEADER + "\n"), body, F.lit("\n\n---\nUser: "), F.col("text"))).alias("context"))
+    found = _resolved(t, messages)
+    writers = stored(found.select("user_id").distinct(), "writers")
+    state = log_state(t, writers)
+    snapshot = profile_snapshot(t, writers, state).select("user_id", "document")
+    known = snapshot.join(_blocks(t, state), "user_id", "full_outer")
+    rows = _with_names(t, found.join(known, "user_id", "left"))
+    body = F.concat_ws("\n\n", _match_text(F.col("slugs"), F.col("names")), _focused(F.col("slugs"), F.col("blocks")), "document")
+    return rows.select("msg_id", parsing.let(body, lambda body: F.when(body == "", F.col("text")).otherwise(F.concat(
+        F.lit(CONTEXT_HEADER + "\n"), body, F.lit("\n\n---\nUser: "), F.col("text")))).alias("context"))
 
 
 def allowed_catalog(t, users=None) -> DataFrame:

@@ -32,12 +32,15 @@ def last_exercise_log(t, users=None, slug=None, cap: int | None = None) -> DataF
             .where(F.col("n") <= cap)
         )
     logs = exercise_logs(t, users, recent)
-    last = logs.groupBy("user_id", "exercise_id").agg(
+    named = "slug" in logs.columns
+    if named and slug is not None:
+        logs = logs.where(F.col("slug") == slug)
+    last = logs.groupBy("user_id", "exercise_id", *(["slug"] if named else [])).agg(
         F.max_by(F.struct("workout_date", "first_weight", "first_reps", "sets_count"), newest()).alias("last"))
-    e = _catalog(t)
-    if slug is not None:
-        e = e.where(F.col("slug") == slug)
-    return last.join(e, "exercise_id").select(
+    if not named:
+        e = t["exercises"].select("exercise_id", "slug")
+        last = last.join(e if slug is None else e.where(F.col("slug") == slug), "exercise_id")
+    return last.select(
         "user_id", "slug",
         F.col("last.workout_date").alias("workout_date"),
         F.col("last.first_weight").cast("double").alias("weight_kg"),

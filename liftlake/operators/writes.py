@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions import rules
-from liftlake.operators.common import for_users
+from liftlake.operators.common import for_users, one_per_key
 from liftlake.operators.messages import validate
 from liftlake.session import broadcast_if_small, cut_lineage
+from liftlake.sources.flatlog import FlatLog, flat_rows
 
 # --- Fixed values -----------------------------------------------------------
 CANDIDATE_WORKOUTS = 5   # newest workouts of a day an event may attach to
@@ -22,11 +23,12 @@ FOCUS_VARIANTS = {"Chest + Biceps": ["Chest"], "Back + Triceps": ["Back"]}
 
 # A day is replayed within one row up to this many events, beyond it round by round.
 MAX_FOLDED_EVENTS = 256
-# Rows of a file of the flat log, about 100 MB.
-MAX_RECORDS_PER_FILE = 10_000_000
+# A block of the replay scan holds two to this power of events, a group that many blocks.
+BLOCK_BITS = 8
 
 _DAY = ["user_id", "workout_date"]
 _WORKOUT = "struct<focus:string,key:string>"
+_STATES = "array<struct<p:int,last:array<bigint>,first:bigint,open:bigint>>"
 
 
 def accepted_events(t, events: DataFrame, rule: str = "app") -> DataFrame:
@@ -82,8 +84,8 @@ def attach_workouts(t, events: DataFrame, rule: str = "app", existing: DataFrame
     outcome follows from one aggregate per (user, date): from the first event
     that creates a 'Logged' workout on, everything joins that one; before it,
     each focus has its own workout. Days where the limit can bind are replayed:
-    those of up to ``fold_limit`` events within a row each, larger ones creation
-    by creation, each step one aggregation over all such days at once.
+    those of up to ``fold_limit`` events within a row each, larger ones by a
+    fixed number of steps over all such days at once, however many workouts they create.
     """
     base = accepted_events(t, events, rule)
     no_key = F.lit(None).cast("string")
@@ -183,19 +185,18 @@ def _fold_days(events: DataFrame, visible: DataFrame | None, rule: str) -> DataF
 
 
 def _replay(events: DataFrame, visible: DataFrame | None, rule: str) -> list[DataFrame]:
-    """Place the events of days where the candidate limit binds.
+    """Place the events of large days where the candidate limit binds.
 
-    Each round finds the next creation of every open day, places the events before
-    it and goes on from there. The app rule ends after five rounds at the latest;
-    the chat rule needs one round more for every workout that falls out of sight
-    and is created again.
+    A few rounds, each one aggregation over all open days, find a day's first
+    creations. Whatever was stored is then out of sight, and what follows under the
+    chat rule needs no more rounds (``_cycle``); under the app rule nothing follows.
     """
     keep = [*_PLACED, "at"]
     remaining = cut_lineage(events.select(*keep))
     state = _with_visible(remaining.select(*_DAY).distinct(), visible).withColumn(
         "created", F.array().cast("array<string>"))
     placed = []
-    while True:
+    for _ in range(CANDIDATE_WORKOUTS):
         # One row per open day; broadcast after a count, so a hot day is not pulled into one task.
         current = remaining.join(broadcast_if_small(state), _DAY).withColumn(
             "workout_key", _match(F.col("visible"), F.col("event_focus"), rule))
@@ -215,6 +216,107 @@ def _replay(events: DataFrame, visible: DataFrame | None, rule: str) -> list[Dat
         if state.isEmpty():
             return placed
         remaining = cut_lineage(split.where("at >= since").select(*keep))
+    takes_all = F.exists("visible", lambda w: w["focus"] == rules.FOCUS_UNKNOWN)
+    settled = remaining.join(broadcast_if_small(state.where(takes_all)), _DAY).withColumn(
+        "workout_key", _match(F.col("visible"), F.col("event_focus"), rule))
+    return [*placed, settled, _cycle(remaining, state.where(~takes_all))]
+
+
+def _cycle(events: DataFrame, state: DataFrame) -> DataFrame:
+    """Events of days whose visible workouts were all created on the day, by a scan over blocks of events.
+
+    The visible workouts then have different foci, and of the foci that chat events
+    have only two can create a workout: the one named focus that is out of sight,
+    and 'Logged', after which everything fits. Each creation of the missing focus
+    pushes the oldest workout out of sight, whose focus is missing next, so foci are
+    created in a fixed circle: the place in it is all that passes from one event to
+    the next, with the newest workout of each focus. A block of events is summed up
+    as what it does to each of the places; the sums of a day are applied in order, first
+    those of blocks of blocks, which gives every block the state it starts from.
+    """
+    named = rules.string_array(sorted(rules.FOCUS_CHAT.values()))
+    # The missing focus comes first in the circle, then the visible ones from old to new.
+    oldest_first = F.reverse(F.transform("visible", lambda w: w["focus"]))
+    days = state.select(
+        *_DAY, F.concat(F.array_except(named, oldest_first), oldest_first).alias("circle"),
+        F.concat(F.array(F.lit(None).cast("string")), F.reverse(F.transform("visible", lambda w: w["key"]))).alias("keys"))
+    slots = len(rules.FOCUS_CHAT)
+    order = [*_DAY, "at"]
+    numbered = cut_lineage(
+        events.join(broadcast_if_small(days.select(*_DAY, "circle")), _DAY)
+        .withColumn("slot", F.array_position("circle", F.col("event_focus")).cast("int") - 1).drop("circle")
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("place", F.monotonically_increasing_id()))
+    block = F.shiftright("place", BLOCK_BITS)
+
+    def start(p: Column) -> Column:
+        last = F.array_repeat(F.lit(None).cast("bigint"), slots)
+        return F.struct(p.cast("int").alias("p"), last.alias("last"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("open"))
+
+    def step(s: Column, e: Column) -> Column:
+        """State after an event: place in the circle, last creation of each focus, first one of the missing focus, that of 'Logged'."""
+        creates = s["open"].isNull() & (e["slot"] == s["p"])
+        return F.struct(
+            F.when(creates, (s["p"] + 1) % slots).otherwise(s["p"]).alias("p"),
+            F.when(creates, F.transform(s["last"], lambda x, i: F.when(i == e["slot"], e["event_id"]).otherwise(x)))
+            .otherwise(s["last"]).alias("last"),
+            F.when(creates & (e["slot"] == 0), F.coalesce(s["first"], e["event_id"])).otherwise(s["first"]).alias("first"),
+            F.when(e["slot"] < 0, F.coalesce(s["open"], e["event_id"])).otherwise(s["open"]).alias("open"))
+
+    def apply(s: Column, effects: Column) -> Column:
+        """State after a block, from what the block does to the state's place."""
+        done = F.get(effects, s["p"])
+        return F.when(s["open"].isNotNull(), s).otherwise(F.struct(
+            done["p"].alias("p"),
+            F.transform(F.arrays_zip(done["last"].alias("a"), s["last"].alias("b")), lambda x: F.coalesce(x["a"], x["b"])).alias("last"),
+            F.coalesce(s["first"], done["first"]).alias("first"), done["open"].alias("open")))
+
+    def effects(items: Column, one) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda p: F.aggregate(items, start(p), one))
+
+    def in_order(*columns) -> Column:
+        return F.array_sort(F.collect_list(F.struct(*columns)))
+
+    small = numbered.groupBy(*_DAY, block.alias("block")).agg(in_order("place", "event_id", "slot").alias("items")).select(
+        *_DAY, "block", effects(F.col("items"), step).alias("effects"))
+    small = cut_lineage(small)
+    large = F.shiftright("block", BLOCK_BITS)
+    grouped = small.groupBy(*_DAY, large.alias("group")).agg(in_order("block", "effects").alias("items"))
+
+    def starts(rows: DataFrame, items: Column, first: Column, name: str) -> DataFrame:
+        """The state before each of the items of a row."""
+        found = F.aggregate(items, F.struct(first.alias("s"), F.array().cast(_STATES).alias("before")), lambda acc, x: F.struct(
+            apply(acc["s"], x["effects"]).alias("s"), F.array_append(acc["before"], acc["s"]).alias("before")))["before"]
+        return rows.select(*_DAY, F.inline(F.arrays_zip(items.alias("x"), found.alias("s")))).select(
+            *_DAY, F.col(f"x.{name}").alias(name), F.col("s").alias("start"))
+
+    whole = grouped.select(*_DAY, "group", effects(F.col("items"), lambda s, x: apply(s, x["effects"])).alias("effects"))
+    by_day = whole.groupBy(*_DAY).agg(in_order("group", "effects").alias("items"))
+    of_group = starts(by_day, F.col("items"), start(F.lit(0)), "group")
+    of_block = starts(grouped.join(of_group, [*_DAY, "group"]), F.col("items"), F.col("start"), "block")
+
+    # Each block once more, from its state: the key of every event.
+    columns = [c for c in _PLACED if c not in _DAY]
+    rows = numbered.groupBy(*_DAY, block.alias("block")).agg(in_order("place", "slot", *columns).alias("items"))
+    rows = rows.join(of_block, [*_DAY, "block"]).join(broadcast_if_small(days), _DAY)
+    unknown = F.lit(rules.FOCUS_UNKNOWN)
+
+    def key(s: Column, e: Column) -> Column:
+        made = F.get(s["last"], e["slot"])
+        # Only the missing focus has had no workout on the day; its first one needs no key of its own.
+        again = F.when((e["slot"] != 0) | (made != s["first"]), made.cast("string"))
+        return (
+            F.when(s["open"].isNotNull(), _new_key(unknown))
+            .when(made.isNull(), F.get(F.col("keys"), e["slot"]))
+            .otherwise(F.concat_ws("|", _new_key(e["event_focus"]), again)))
+
+    def attach(acc: Column, e: Column) -> Column:
+        after = step(acc["s"], e)
+        return F.struct(after.alias("s"), F.array_append(acc["keys"], key(after, e)).alias("keys"))
+
+    found = F.aggregate("items", F.struct(F.col("start").alias("s"), F.array().cast("array<string>").alias("keys")), attach)["keys"]
+    return rows.select(*_DAY, F.inline(F.arrays_zip(F.col("items").alias("e"), found.alias("k")))).select(
+        *_DAY, *[F.col(f"e.{c}").alias(c) for c in columns], F.col("k").alias("workout_key"))
 
 
 def replace_sets(t, attached: DataFrame, existing_sets: DataFrame | None = None) -> DataFrame:
@@ -279,12 +381,14 @@ def apply_sets(sets: DataFrame, new_sets: DataFrame) -> DataFrame:
 def upsert_profile(profile: DataFrame, updates: DataFrame, now=None) -> DataFrame:
     """Insert new users; for known ones change weight, goal, notes and nutrition only.
 
-    Where profiles carry ``updated_at``, a changed one gets ``now`` (a column or value;
+    Of several updates of a user the newest counts, by ``updated_at`` where updates
+    carry it, then by their values. Where profiles carry ``updated_at``, a changed one gets ``now`` (a column or value;
     by default the update's own).
     """
     changed = ["weight_kg", "goal", "notes", "nutrition"]
     old = profile.withColumn("known", F.lit(True)).alias("o")
-    new = updates.withColumn("given", F.lit(True)).alias("n")
+    stamped = ["updated_at"] if "updated_at" in updates.columns else []
+    new = one_per_key(updates, ["user_id"], newest=stamped).withColumn("given", F.lit(True)).alias("n")
     joined = old.join(new, "user_id", "full_outer")
     cols = [
         F.when(F.col("given"), F.col(f"n.{c}") if c in changed or now is None else F.lit(now))
@@ -295,13 +399,23 @@ def upsert_profile(profile: DataFrame, updates: DataFrame, now=None) -> DataFram
     return joined.select("user_id", *cols)
 
 
-def insert_missing(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Append rows whose natural key is not stored yet, so that a rerun adds nothing."""
-    return rows.unionByName(new.select(*rows.columns).join(rows.select(*keys).distinct(), keys, "left_anti"))
+def insert_missing(rows: DataFrame, new: DataFrame, keys: list[str], newest=()) -> DataFrame:
+    """Append rows whose natural key is not stored yet, so that a rerun adds nothing.
+
+    Of several new rows of a key the last by the ``newest`` columns is taken, then by
+    its values. Null keys are keys like others.
+    """
+    given = one_per_key(new.select(*rows.columns), keys, newest=newest)
+    stored = rows.select(*[F.col(k).alias(f"stored_{k}") for k in keys]).distinct()
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"stored_{k}")) for k in keys])
+    return rows.unionByName(given.join(stored, same, "left_anti"))
 
 
 def replace_history(stored: DataFrame, history: DataFrame) -> DataFrame:
-    """Drop everything of the users in ``history`` and put their given rows in place."""
+    """Drop everything of the users in ``history`` and put their given rows in place.
+
+    For a stored log ``FlatLog.replace_users`` does this as one commit.
+    """
     users = history.select("user_id").distinct()
     return stored.join(users, "user_id", "left_anti").unionByName(history.select(*stored.columns))
 
@@ -344,18 +458,8 @@ def cascade_delete(t, deleted: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def write_log(t, path: str, users=None) -> None:
-    """Flat set log, partitioned by month and sorted by user for cheap user and date access.
-
-    With user and date stored on each set, later reads need no join at all.
-    """
-    flat = t["workout_sets"].join(
-        for_users(t["workouts"], users).select("workout_id", "user_id", "workout_date", "split_focus", "created_at"),
-        "workout_id",
-    ).withColumn("month", F.date_format("workout_date", "yyyy-MM"))
-    # Ranges follow the data: a large month is cut by user and date into as many tasks as it needs.
-    (
-        flat.repartitionByRange("month", "user_id", "workout_date", "workout_id")
-        .sortWithinPartitions("month", "user_id", "workout_date")
-        .write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("month").parquet(path)
-    )
+def write_log(t, path: str, users=None) -> FlatLog:
+    """Flat set log, partitioned by month and sorted by user, which the log operators read without a join."""
+    log = FlatLog(t["workout_sets"].sparkSession, path)
+    log.write(flat_rows(t, users))
+    return log

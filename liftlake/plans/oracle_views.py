@@ -85,7 +85,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "spoken": ("exercises", """
         SELECT *, 'lift ' || translate(CAST(exercise_id AS VARCHAR), '0123456789', 'abcdefghij') AS a FROM exercises"""),
     "catalog_source": ("spoken", """
-        SELECT slug, name AS canonical, muscle_group, ord,
+        SELECT slug, CASE WHEN ord % 4 = 1 THEN name || ' (main)' ELSE name END AS canonical, muscle_group, ord,
                [a, upper(a), ' ' || a || ' set', a || ' work', 'my ' || a, a || ' ёlite', 'old ' || a, ''] AS aliases
         FROM spoken"""),
     "alias_rows": ("catalog_source", """

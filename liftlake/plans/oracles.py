@@ -101,17 +101,22 @@ def _group(pattern: str, i: int) -> str:
     return f"regexp_extract(trim(text), '{pattern}', {i})"
 
 
+def _count(pattern: str, i: int) -> str:
+    """A count; the largest integer stands for larger ones."""
+    return f"CAST(least(try_cast({_group(pattern, i)} AS DECIMAL(38,0)), 2147483647) AS INTEGER)"
+
+
 NUMBERS = f"""
     nums AS (
       SELECT msg_id, CASE WHEN w1 > 0 AND r1 > 0 AND s1 > 0 THEN w1 WHEN w2 > 0 AND r2 > 0 AND s2 > 0 THEN w2 END AS weight_kg,
              CASE WHEN w1 > 0 AND r1 > 0 AND s1 > 0 THEN r1 WHEN w2 > 0 AND r2 > 0 AND s2 > 0 THEN r2 END AS reps,
              CASE WHEN w1 > 0 AND r1 > 0 AND s1 > 0 THEN s1 WHEN w2 > 0 AND r2 > 0 AND s2 > 0 THEN s2 END AS sets
       FROM (SELECT msg_id, try_cast(replace({_group(P_WEIGHT, 1)}, ',', '.') AS DOUBLE) AS w1,
-                   try_cast({_group(P_WEIGHT, 2)} AS INTEGER) AS r1,
-                   CASE WHEN {_group(P_WEIGHT, 3)} = '' THEN 3 ELSE try_cast({_group(P_WEIGHT, 3)} AS INTEGER) END AS s1,
+                   {_count(P_WEIGHT, 2)} AS r1,
+                   CASE WHEN {_group(P_WEIGHT, 3)} = '' THEN 3 ELSE {_count(P_WEIGHT, 3)} END AS s1,
                    try_cast(replace({_group(P_TRIPLE, 1)}, ',', '.') AS DOUBLE) AS w2,
-                   try_cast({_group(P_TRIPLE, 2)} AS INTEGER) AS r2,
-                   try_cast({_group(P_TRIPLE, 3)} AS INTEGER) AS s2
+                   {_count(P_TRIPLE, 2)} AS r2,
+                   {_count(P_TRIPLE, 3)} AS s2
             FROM messages))"""
 DATES = f"""
     days AS (
@@ -134,8 +139,8 @@ PARSED = f"""
       LEFT JOIN (SELECT msg_id, count(*) AS n FROM found GROUP BY msg_id) c ON c.msg_id = m.msg_id
       JOIN nums n ON n.msg_id = m.msg_id JOIN days d ON d.msg_id = m.msg_id)"""
 MESSAGE_SQL = RESOLVE.format(src="messages") + "," + NUMBERS + "," + DATES + "," + PARSED
-SUMMARY = (f"CASE WHEN p.confidence = 'medium' AND p.weight_kg = 0 THEN e.name || ' (уточни вес и повторы)' "
-           f"ELSE e.name || ': ' || {general('p.weight_kg')} || ' кг × ' || p.reps || ' × ' || p.sets || ' (' || p.workout_date || ')' END")
+SUMMARY = (f"CASE WHEN p.confidence = 'medium' AND p.weight_kg = 0 THEN c.canonical || ' (уточни вес и повторы)' "
+           f"ELSE c.canonical || ': ' || {general('p.weight_kg')} || ' кг × ' || p.reps || ' × ' || p.sets || ' (' || p.workout_date || ')' END")
 
 # Report texts over the history window.
 DETAILS = f"""
@@ -147,11 +152,11 @@ DETAILS = f"""
       FROM workout_sets s GROUP BY s.workout_id, s.exercise_id)"""
 BLOCKS = DETAILS + """,
     lifts AS (
-      SELECT h.user_id, e.slug, e.ord, count(*) AS sessions,
-             '**' || e.name || ':**' || chr(10) || string_agg('  - ' || h.workout_date || ' (' || coalesce(h.split_focus, '') || '): '
+      SELECT h.user_id, c.slug, c.ord, count(*) AS sessions,
+             '**' || c.canonical || ':**' || chr(10) || string_agg('  - ' || h.workout_date || ' (' || coalesce(h.split_focus, '') || '): '
                || d.detail, chr(10) ORDER BY h.position) || chr(10) AS block
-      FROM hist h JOIN details d USING (workout_id) JOIN exercises e USING (exercise_id)
-      GROUP BY h.user_id, e.slug, e.ord, e.name),
+      FROM hist h JOIN details d USING (workout_id) JOIN exercises e USING (exercise_id) JOIN catalog_source c ON c.slug = e.slug
+      GROUP BY h.user_id, c.slug, c.ord, c.canonical),
     log_blocks AS (
       SELECT h.user_id, h.workout_id, h.position,
              '### ' || h.workout_date || coalesce(' (' || nullif(h.split_focus, '') || ')', '') || chr(10)
@@ -266,9 +271,9 @@ def all_sql() -> dict[str, str]:
                    (SELECT count(*) FROM workout_sets s WHERE s.exercise_id = e.exercise_id AND s.weight_kg >= v.weight_kg
                     AND s.reps >= v.reps) AS times_reached
             FROM {LITERALS} JOIN exercises e USING (slug)"""),
-        "catalog_by_muscle": v("exercises", """
-            SELECT muscle_group, slug, name, CAST(row_number() OVER (PARTITION BY muscle_group ORDER BY ord) AS INTEGER) AS position
-            FROM exercises WHERE muscle_group IS NOT NULL"""),
+        "catalog_by_muscle": v("catalog_source", """
+            SELECT muscle_group, slug, canonical AS name, CAST(row_number() OVER (PARTITION BY muscle_group ORDER BY ord) AS INTEGER) AS position
+            FROM catalog_source WHERE muscle_group IS NOT NULL"""),
         "nutrition_map": """SELECT event_id, '{"k": ' || CAST(json_extract(props, '$.k') AS INTEGER) || '}' AS props_json,
                                    CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""",
         # predicates and scalar rules
@@ -313,8 +318,8 @@ def all_sql() -> dict[str, str]:
                          CASE WHEN trim(weight_text) = '' THEN 0 ELSE {DECIMAL.format(t='weight_text')} END AS w,
                          try_cast(nullif(reps_text, '') AS DOUBLE) AS r, try_cast(sets_text AS DOUBLE) AS s
                   FROM form f JOIN exercises e USING (exercise_id))""", FORM),
-        "log_summary_text": v("messages alias_rows exercises", f"""SELECT p.msg_id, {SUMMARY} AS summary
-            FROM parsed p JOIN exercises e USING (slug) WHERE p.is_log""", MESSAGE_SQL, recursive=True),
+        "log_summary_text": v("messages alias_rows catalog_source", f"""SELECT p.msg_id, {SUMMARY} AS summary
+            FROM parsed p JOIN catalog_source c ON c.slug = p.slug WHERE p.is_log""", MESSAGE_SQL, recursive=True),
         "allowed_users": v("goals workouts", """
             SELECT workout_id, user_id, workout_date FROM workouts WHERE user_id IN (
               SELECT user_id FROM goals WHERE status = 'achieved' AND horizon = 'long'
@@ -426,10 +431,10 @@ def all_sql() -> dict[str, str]:
         "newest_workout_per_exercise": v("day_logs", "SELECT * FROM day_logs"),
         # reports
         "set_detail": v("workout_sets", "SELECT workout_id, exercise_id, uniform, detail FROM details", DETAILS),
-        "key_lift_progression": v("hist workout_sets exercises", "SELECT user_id, slug, sessions, block FROM lifts", BLOCKS),
-        "focused_progression": v("hist messages workout_sets exercises alias_rows", "SELECT * FROM focused",
+        "key_lift_progression": v("hist workout_sets exercises catalog_source", "SELECT user_id, slug, sessions, block FROM lifts", BLOCKS),
+        "focused_progression": v("hist messages workout_sets exercises alias_rows catalog_source", "SELECT * FROM focused",
                                  RESOLVE.format(src="messages") + "," + BLOCKS + "," + FOCUSED, recursive=True),
-        "full_log": v("hist workout_sets exercises", "SELECT * FROM log_blocks", BLOCKS),
+        "full_log": v("hist workout_sets exercises catalog_source", "SELECT * FROM log_blocks", BLOCKS),
         "profile_snapshot": v("profile hist workout_sets exercises training_split goals injuries exercise_bans catalog_source",
                               "SELECT * FROM docs", DOCUMENTS),
         "alias_reference": v("catalog_source", f"SELECT slug, {ALIAS_LINE} AS line FROM catalog_source c"),
@@ -467,24 +472,26 @@ def all_sql() -> dict[str, str]:
         "classify_message": v("messages alias_rows", "SELECT msg_id, is_log FROM parsed", MESSAGE_SQL, recursive=True),
         "parsed_log": v("messages alias_rows", """SELECT msg_id, user_id, slug, weight_kg, reps, sets, workout_date, confidence
             FROM parsed WHERE is_log""", MESSAGE_SQL, recursive=True),
-        "route_messages": v("messages alias_rows exercises", f"""
+        "route_messages": v("messages alias_rows exercises catalog_source", f"""
             SELECT p.msg_id, CASE WHEN NOT p.is_log THEN 'pass_through' WHEN p.confidence = 'medium' THEN 'clarify'
-                     WHEN p.reps > 0 AND p.sets > 0 AND (p.weight_kg > 0 OR e.equipment = 'bodyweight') THEN 'saved'
+                     WHEN p.reps BETWEEN 1 AND 32767 AND p.sets BETWEEN 1 AND 32767 AND p.weight_kg < 10000
+                          AND (p.weight_kg > 0 OR e.equipment = 'bodyweight') THEN 'saved'
                      ELSE 'save_failed' END AS outcome, CASE WHEN p.is_log THEN {SUMMARY} END AS summary
-            FROM parsed p LEFT JOIN exercises e USING (slug)""", MESSAGE_SQL, recursive=True),
+            FROM parsed p LEFT JOIN exercises e ON e.slug = p.slug LEFT JOIN catalog_source c ON c.slug = p.slug""",
+                            MESSAGE_SQL, recursive=True),
         "validate_log": v("log_events exercises", """
             SELECT event_id, reason IS NULL AS accepted, reason FROM (
               SELECT event_id, CASE WHEN sets_count <= 0 THEN 'bad_sets' WHEN reps <= 0 THEN 'bad_reps'
                        WHEN weight_kg < 0 THEN 'bad_weight' WHEN slug IS NULL THEN 'unknown_exercise'
                        WHEN weight_kg = 0 AND equipment <> 'bodyweight' THEN 'zero_weight' END AS reason
               FROM log_events LEFT JOIN exercises USING (exercise_id))"""),
-        "structured_log": v("log_events exercises", f"""
-            SELECT entry_id, user_id, p.slug, coalesce(e.name, p.slug) AS name, weight_kg, reps, sets, workout_date,
-                   'high' AS confidence, coalesce(e.name, p.slug) || ' ' || {general('weight_kg')} || '×' || reps || '×' || sets AS raw_text
+        "structured_log": v("log_events catalog_source", f"""
+            SELECT entry_id, user_id, p.slug, coalesce(c.canonical, p.slug) AS name, weight_kg, reps, sets, workout_date,
+                   'high' AS confidence, coalesce(c.canonical, p.slug) || ' ' || {general('weight_kg')} || '×' || reps || '×' || sets AS raw_text
             FROM (SELECT event_id AS entry_id, user_id, workout_date,
                          'ex_' || (exercise_id + CASE WHEN event_id % 11 = 5 THEN 40 ELSE 0 END) AS slug,
                          CAST(weight_kg AS DOUBLE) AS weight_kg, reps, sets_count AS sets
-                  FROM log_events WHERE event_id % 11 NOT IN (3, 7, 9)) p LEFT JOIN exercises e USING (slug)"""),
+                  FROM log_events WHERE event_id % 11 NOT IN (3, 7, 9)) p LEFT JOIN catalog_source c ON c.slug = p.slug"""),
         # write path
         "attach_workouts": v("app_events", ATTACH_OUT, replay("app_events", None, True), recursive=True),
         "attach_workouts_bot": v("chat_events", ATTACH_OUT, replay("chat_events", None, False), recursive=True),
@@ -523,6 +530,21 @@ def all_sql() -> dict[str, str]:
             UNION ALL SELECT * FROM new_rows""", """
             new_rows AS (SELECT workout_id, user_id, workout_date, split_focus FROM dated_workouts
                          WHERE user_id IN (SELECT user_id FROM profile WHERE goal = 'BUILDING'))"""),
+        "table_functions": v("profile tops tonnages last_logs exercises", """
+            SELECT p.user_id, x.workout_date, x.max_weight, x.reps, n.tonnage, l.workout_date AS last_date,
+                   CAST(l.weight_kg AS DOUBLE) AS last_weight
+            FROM profile p JOIN tops x ON x.user_id = p.user_id AND x.slug = 'ex_7'
+            JOIN tonnages n ON n.user_id = x.user_id AND n.slug = x.slug AND n.workout_date = x.workout_date
+            JOIN last_logs l ON l.user_id = p.user_id AND l.exercise_id = 7"""),
+        "replace_stored_history": v("logged profile app_events", """
+            SELECT user_id, workout_date, strftime(workout_date, '%Y-%m') AS month, slug, set_number, CAST(weight_kg AS DOUBLE) AS weight_kg, reps
+            FROM logged WHERE user_id NOT IN (SELECT user_id FROM profile WHERE goal = 'BUILDING')
+            UNION ALL
+            SELECT user_id, workout_date, strftime(workout_date, '%Y-%m') AS month, slug,
+                   CAST(unnest(range(1, sets_count + 1)) AS INTEGER) AS set_number, CAST(weight_kg AS DOUBLE) AS weight_kg, reps
+            FROM (SELECT DISTINCT ON (workout_key, exercise_id) a.*, e.slug FROM attached a JOIN exercises e USING (exercise_id)
+                  WHERE a.user_id IN (SELECT user_id FROM profile WHERE goal = 'BUILDING')
+                  ORDER BY workout_key, exercise_id, ts DESC, event_id DESC)""", replay("app_events", None, True), recursive=True),
         "cross_join_seed": v("profile exercises", f"""
             SELECT 'baseline|' || p.user_id AS workout_key, p.user_id, e.exercise_id, v.set_number,
                    CAST(v.weight_kg AS DOUBLE) AS weight_kg, v.reps FROM profile p CROSS JOIN {LITERALS} JOIN exercises e USING (slug)"""),
@@ -579,8 +601,19 @@ def all_sql() -> dict[str, str]:
             FROM (SELECT *, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS bout
                   FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR
                                        THEN 0 ELSE 1 END AS opens FROM valid_events)) GROUP BY user_id, bout"""),
+        # bouts whose gap and lateness have passed at the newest log
+        "stream_training_bouts": v("valid_events", """
+            SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, strftime(b, '%Y-%m-%d %H:%M:%S') AS ended, logs, tonnage
+            FROM (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS logs, CAST(sum(weight_kg * reps * sets_count) AS DOUBLE) AS tonnage
+                  FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bout
+                        FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR
+                                             THEN 0 ELSE 1 END AS opens FROM valid_events)) GROUP BY user_id, bout)
+            WHERE b + INTERVAL 6 HOUR <= (SELECT max(ts) FROM valid_events) - INTERVAL 2 DAY"""),
     }
     q["seed_catalog"] = q["seed_missing"]
+    q["exercise_progress_stored"] = q["exercise_progress_refreshed"] = q["exercise_progress"]
+    q["exercise_tonnage_stored"] = q["exercise_tonnage"]
+    q["last_exercise_log_stored"] = q["last_exercise_log"]
     q["stream_ingest"] = q["validate_log"]
     q["stream_upsert"] = q["replace_sets"]
     return q

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlake.functions import rules
-from liftlake.operators import history, messages, quality, reports, sessions, writes
+from liftlake.operators import history, messages, partials, quality, reports, sessions, writes
 from liftlake.session import shared_dir
+from liftlake.plans import table_functions
 from liftlake.sources import catalog
 from liftlake.sources.tables import CATALOG_SIZE, Tables, spoken_alias
 from liftlake.streaming import live
@@ -29,6 +30,7 @@ PLAN_ROWS = [
     ("Wed/Thu", "Back + Triceps", 2),
     ("Fri/Sat", "Shoulders (+ legs sometimes)", 3),
 ]
+REFRESHED_FROM = "1997-09-01"  # workouts from here on come to the partial sums later
 TIME_ZONES = ["UTC", "Europe/Moscow", "America/New_York"]
 
 
@@ -237,14 +239,56 @@ def log_receipt(t):
     return writes.log_receipt(writes.attach_workouts(t, t["log_events"]))
 
 
+def _stored_log(t):
+    return writes.write_log(t, shared_dir(t.spark, "log"))
+
+
 def write_log(t):
-    path = shared_dir(t.spark, "log")
-    writes.write_log(t, path)
-    return t.spark.read.parquet(path).select(
+    return _stored_log(t).read().select(
         "user_id", "workout_id", "workout_date", F.date_format("workout_date", "yyyy-MM").alias("month"),
         "exercise_id", "set_number", F.col("weight_kg").cast("double").alias("weight_kg"), "reps")
 
 
+def on_stored_log(query):
+    """A query over the flat log as it is stored, without joining sets to workouts."""
+    return lambda t: query(_stored_log(t).tables(t))
+
+
+def replace_stored_history(t):
+    """Sets of the stored log after some users' history was replaced by sets of their event log."""
+    log = _stored_log(t)
+    users = t["profile"].where("goal = 'BUILDING'").select("user_id")
+    attached = writes.attach_workouts(t, t["log_events"].join(users, "user_id", "left_semi"))
+    owners = attached.groupBy("workout_key", "user_id", "workout_date").agg(
+        F.min("ts").alias("created_at"), F.min_by("event_focus", F.struct("ts", "event_id")).alias("split_focus"))
+    rows = writes.replace_sets(t, attached).join(owners, "workout_key")
+    flat = rows.join(t["exercises"].select("exercise_id", "slug"), "exercise_id").select(
+        "user_id", F.xxhash64("workout_key").alias("workout_id"), "workout_date", "split_focus", "created_at", "exercise_id", "slug",
+        "set_number", F.col("weight_kg").cast("decimal(6,2)").alias("weight_kg"), "reps", F.lit(None).cast("int").alias("rpe"))
+    log.replace_users(flat, users)
+    return log.read().select("user_id", "workout_date", "month", "slug", "set_number", F.col("weight_kg").cast("double").alias("weight_kg"), "reps")
+
+
+def called_functions(t):
+    """Progress, tonnage and last log of one exercise for every registered user, asked for by SQL table functions."""
+    table_functions.register_functions(t.spark, t)
+    t["profile"].createOrReplaceTempView("asked_users")
+    return t.spark.sql(f"""
+        SELECT a.user_id, p.workout_date, p.max_weight, p.reps, n.tonnage, l.workout_date AS last_date, l.weight_kg AS last_weight
+        FROM asked_users a, LATERAL exercise_progress(a.user_id, '{BOUND_SLUG}') p,
+             LATERAL exercise_tonnage(a.user_id, '{BOUND_SLUG}') n, LATERAL last_exercise_log(a.user_id, '{BOUND_SLUG}') l
+        WHERE p.workout_date = n.workout_date""")
+
+
+def refreshed_progress(t):
+    """Progress from partial sums: those of the older workouts, then the days of the newer ones taken over by a save."""
+    kept = partials.SessionPartials(t.spark, shared_dir(t.spark, "partials"))
+    newer = F.col("workout_date") >= REFRESHED_FROM
+    kept.save(0, t.replaced(workouts=t["workouts"].where(~newer)))
+    kept.save(1, t, t["workouts"].where(newer).select("user_id", "workout_date"))
+    return kept.points(t).select("user_id", "slug", "workout_date", "max_weight", "reps", "sets_count")
+
+
 def message_context(t):
     c = reports.message_context(t, t["messages"])
     return c.select("msg_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
@@ -314,6 +358,11 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "pinned_exercise_progress": lambda t: history.exercise_progress(t, slug=BOUND_SLUG),
     "exercise_records": history.exercise_records,
     "exercise_tonnage": history.exercise_tonnage,
+    "exercise_progress_stored": on_stored_log(history.exercise_progress),
+    "exercise_tonnage_stored": on_stored_log(history.exercise_tonnage),
+    "last_exercise_log_stored": on_stored_log(sessions.last_exercise_log),
+    "exercise_progress_refreshed": refreshed_progress,
+    "table_functions": called_functions,
     "last_exercise_log": sessions.last_exercise_log,
     "last_log_capped": lambda t: sessions.last_exercise_log(t, cap=40),
     "last_workout_summary": sessions.last_workout_summary,
@@ -361,6 +410,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "seed_catalog": seed_catalog,
     "seed_plain": seed_plain,
     "replace_history": replace_history,
+    "replace_stored_history": replace_stored_history,
     "cross_join_seed": lambda t: writes.baseline_sets(t, LITERAL_SETS),
     "cascade_delete": cascade_delete,
     "write_log": write_log,
@@ -377,6 +427,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "stream_last_log": live.stream_last_log,
     "stream_upsert": live.stream_upsert,
     "stream_dedup": live.stream_dedup,
+    "stream_training_bouts": live.stream_training_bouts,
     "training_bouts": lambda t: live.training_bouts(t, t["log_events"]),
 }
 

@@ -70,6 +70,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as Parquet files of the shared folder, for results that several parts of a job read."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Add a broadcast hint after counting at most ``max_rows + 1`` rows.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions import parsing, rules
+from liftlake.operators.common import one_per_key
 
 CATALOG_SCHEMA = "slug string, canonical string, muscle_group string, aliases array<string>, ord int"
 
-# Alias tables up to this size travel to every task as one array.
+# Alias tables up to this size travel to every task as one pattern and one map.
 MAX_LITERAL_ALIASES = 2_000
 
 
@@ -49,25 +52,67 @@ def alias_entries(catalog: DataFrame) -> DataFrame:
     return alias_table(catalog).select("alias", "slug", "canonical", "ord", F.col("size").alias("alias_len"))
 
 
-def alias_array(t, limit: int = MAX_LITERAL_ALIASES) -> Column | None:
-    """Aliases grouped by a common beginning as a scalar subquery, or None beyond ``limit`` aliases.
+def _trie_pattern(words: list[str]) -> str:
+    """Regular expression for the longest of the words that begins at a place; common beginnings are shared.
 
-    Each group is (prefix, entries); an entry orders longest first, then by catalog.
-    The array is computed once per query and travels with the tasks, so its size
-    is checked first.
+    After each common beginning at most one way goes on, so matching takes time in the
+    length of the match and not in the number of words.
     """
-    table = alias_table(t["catalog_source"])
-    stats = getattr(t, "_alias_stats", None)
-    if stats is None:
-        stats = table.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("shortest")).first()
-        if hasattr(t, "spark"):
-            t._alias_stats = stats
-    if stats["n"] > limit:
-        return None
-    entry = F.struct((-F.col("size")).alias("neg_size"), "ord", "pos", "alias", "slug", "size")
-    groups = table.groupBy(F.substring("alias", 1, stats["shortest"] or 1).alias("prefix")).agg(
-        F.collect_list(entry).alias("entries"))
-    return groups.agg(F.collect_list(F.struct("prefix", "entries"))).scalar()
+    root: dict = {}
+    for word in words:
+        node = root
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def of(node: dict) -> str:
+        straight = []  # characters that leave no choice
+        while len(node) == 1 and "" not in node:
+            (char, node), = node.items()
+            straight.append(_literal(char))
+        ways = [_literal(char) + of(node[char]) for char in sorted(node) if char]
+        rest = f"(?:{'|'.join(ways)})" + "?" * ("" in node) if ways else ""
+        return "".join(straight) + rest
+
+    return of(root)
+
+
+def _literal(char: str) -> str:
+    return "\\" + char if char.isascii() and not char.isalnum() else char
+
+
+@dataclass(frozen=True)
+class AliasMatcher:
+    """What finds the aliases in a text: a pattern, and for each alias the ones it begins with."""
+
+    pattern: str
+    entries: dict[str, list[tuple]]
+    # Two characters that mark hits in a text, and one that takes their place where the text holds them; none is in an alias.
+    marks: tuple[str, str, str]
+
+
+ENTRIES = "map<string, array<struct<neg_size:int, ord:int, pos:int, size:int, slug:string>>>"
+
+
+def alias_matcher(t, limit: int = MAX_LITERAL_ALIASES) -> AliasMatcher | None:
+    """Matcher for a dictionary of at most ``limit`` aliases, read once; None beyond."""
+    kept = t.__dict__.setdefault("_alias_matcher", {}) if hasattr(t, "__dict__") else {}
+    if limit not in kept:
+        rows = alias_table(t["catalog_source"]).select("alias", "slug", "size", "ord", "pos").limit(limit + 1).collect()
+        kept[limit] = _matcher(rows) if len(rows) <= limit else None
+    return kept[limit]
+
+
+def _matcher(rows) -> AliasMatcher:
+    named: dict[str, list[tuple]] = {}
+    for r in rows:
+        named.setdefault(r["alias"], []).append((-r["size"], r["ord"], r["pos"], r["size"], r["slug"]))
+    used = {c for alias in named for c in alias}
+    marks = tuple(c for c in map(chr, range(1, 32)) if c not in used and not c.isspace())[:3]
+    if len(marks) < 3:
+        raise ValueError("the aliases hold nearly all control characters")
+    entries = {alias: [e for n in range(1, len(alias) + 1) for e in named.get(alias[:n], ())] for alias in named}
+    return AliasMatcher(_trie_pattern(list(named)), entries, marks)
 
 
 def catalog_by_muscle(t, muscle=None) -> DataFrame:
@@ -101,9 +146,13 @@ def values_source(t, rows: list[tuple]) -> DataFrame:
 
 
 def seed_missing(catalog: DataFrame, seed: DataFrame) -> DataFrame:
-    """Catalog plus the seed rows whose slug is not in it yet; running it twice changes nothing."""
-    new = seed.dropDuplicates(["slug"]).join(catalog.select("slug"), "slug", "left_anti")
-    return catalog.unionByName(new)
+    """Catalog plus the seed rows whose slug is not in it yet; running it twice changes nothing.
+
+    Of several rows of a slug the first one is taken: the smallest ``ord`` where the
+    seed has one, then the smallest row by its values.
+    """
+    first = one_per_key(seed, ["slug"], oldest=["ord"] if "ord" in seed.columns else [])
+    return catalog.unionByName(first.join(catalog.select("slug"), "slug", "left_anti"))
 
 
 def muscle_order(groups: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ CUSTOMERS_PER_USER = 10  # customers of one user
 # Views that are dimensions, and how many rows such a view may have to be kept as local rows.
 DIMENSIONS = ("exercises", "catalog_source")
 MAX_DIMENSION_ROWS = 10_000
+# Users asked for by id whose key ranges are handed to a scan.
+MAX_FILTERED_USERS = 200
 
 SOURCE_SCHEMAS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -37,17 +39,17 @@ LOG_SCHEMAS = {
                "weight_kg decimal(5,2), body_type string, occupation string, sleep_hours decimal(3,1), "
                "goal string, notes string, nutrition map<string,string>, created_at timestamp_ntz, "
                "updated_at timestamp_ntz",
-    "goals": "user_id bigint not null, horizon string not null, description string not null, "
+    "goals": "goal_id bigint not null, user_id bigint not null, horizon string not null, description string not null, "
              "exercise_slug string, target_weight_kg decimal(6,2), target_reps smallint, "
              "status string not null, sort_order smallint not null",
-    "injuries": "user_id bigint not null, body_part string not null, injury_type string not null, "
+    "injuries": "injury_id bigint not null, user_id bigint not null, body_part string not null, injury_type string not null, "
                 "description string, status string not null, started_on date, resolved_on date, notes string",
-    "exercise_bans": "user_id bigint not null, exercise_name string not null, reason string, "
+    "exercise_bans": "ban_id bigint not null, user_id bigint not null, exercise_name string not null, reason string, "
                      "until_date date, is_active boolean not null",
-    "training_split": "user_id bigint not null, day_label string not null, focus string not null, "
+    "training_split": "split_id bigint not null, user_id bigint not null, day_label string not null, focus string not null, "
                       "sort_order smallint not null, is_active boolean not null",
     "exercises": "exercise_id bigint not null, slug string not null, name string not null, "
-                 "muscle_group string, equipment string, technique_notes string",
+                 "muscle_group string, equipment string, technique_notes string, ord int not null",
     "user_exercises": "user_id bigint not null, exercise_id bigint not null, split_id bigint, "
                       "role string not null, target_reps_min smallint, target_reps_max smallint, "
                       "target_sets smallint, sort_order smallint not null, is_active boolean not null",
@@ -56,6 +58,7 @@ LOG_SCHEMAS = {
                 "created_at timestamp_ntz not null",
     "workout_sets": "workout_id bigint not null, exercise_id bigint not null, set_number smallint not null, "
                     "weight_kg decimal(6,2) not null, reps smallint not null, is_warmup boolean, rpe smallint",
+    "catalog_source": "slug string not null, canonical string not null, muscle_group string, aliases array<string>, ord int not null",
 }
 
 
@@ -81,6 +84,7 @@ class Tables(dict):
         self.spark = spark
         self.path = path.rstrip("/")
         self._views = {**VIEWS, **(views or {})}
+        self._given: set[str] = set()
 
     def __missing__(self, name: str) -> DataFrame:
         if name in SOURCE_SCHEMAS:
@@ -93,11 +97,56 @@ class Tables(dict):
         return df
 
     def replaced(self, **frames: DataFrame) -> "Tables":
-        """Same tables with some views swapped."""
+        """Same tables with some views swapped; views made from these follow, views swapped before stay."""
         other = Tables(self.spark, self.path, self._views)
-        other.update(frames)
+        other.update({name: self[name] for name in self._given} | frames)
+        other._given = self._given | set(frames)
         return other
 
+    def of_users(self, name: str, users: list[int]) -> DataFrame:
+        """A view's rows of some users, and others: the ids as ranges of the column that the scan can filter by."""
+        if name != "workouts" or self._given & {"orders", "workouts"} or self._views[name] is not workouts or len(users) > MAX_FILTERED_USERS:
+            return self[name]
+        n, key = CUSTOMERS_PER_USER, F.col("o_custkey")
+        wanted = F.lit(False)
+        for u in users:
+            wanted = wanted | key.between(u * n - (n - 1) * (u <= 0), u * n + (n - 1) * (u >= 0))
+        return workouts(self.replaced(orders=self["orders"].where(wanted)))
+
+
+# Declared defaults of columns that may be left out.
+DEFAULTS = {"status": "active", "sort_order": 0, "is_active": True, "role": "base", "injury_type": "injury", "is_warmup": False}
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """The rows with the declared columns of a log table, in its types.
+
+    Columns that are left out get their default, else null; a declared column that
+    must not be null and has no default has to be there. Others are dropped.
+    """
+    schema = df.sparkSession.createDataFrame([], LOG_SCHEMAS[name]).schema
+    missing = [f.name for f in schema.fields if not f.nullable and f.name not in df.columns and f.name not in DEFAULTS]
+    if missing:
+        raise ValueError(f"{name} lacks {', '.join(missing)}")
+    return df.select(*[
+        (F.coalesce(f.name, F.lit(DEFAULTS[f.name])) if f.name in DEFAULTS and f.name in df.columns
+         else F.col(f.name) if f.name in df.columns else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name)
+        for f in schema.fields])
+
+
+def save_log(t, path: str) -> None:
+    """Write the log tables with their declared columns, a folder each."""
+    for name in LOG_SCHEMAS:
+        conform(t[name], name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}.parquet")
+
+
+def open_log(spark: SparkSession, path: str) -> Tables:
+    """Tables over stored log tables; what is not stored keeps its view."""
+    def reader(name):
+        return lambda t: spark.read.schema(LOG_SCHEMAS[name]).parquet(f"{t.path}/{name}.parquet")
+
+    return Tables(spark, path, views={name: reader(name) for name in LOG_SCHEMAS})
+
 
 def register(spark: SparkSession, t: Tables, names=None) -> None:
     """Publish the views to plain Spark SQL."""
@@ -221,7 +270,7 @@ def _per_customer(t: Tables) -> DataFrame:
 def goals(t: Tables) -> DataFrame:
     c = _per_customer(t)
     return c.select(
-        "user_id",
+        F.col("c_custkey").alias("goal_id"), "user_id",
         F.expr("element_at(array('short', 'medium', 'long'), c_nationkey % 3 + 1)").alias("horizon"),
         F.concat(F.lit("target for "), F.col("c_name")).alias("description"),
         (F.col("c_custkey") % CATALOG_SIZE).alias("exercise_id"),
@@ -290,7 +339,8 @@ def catalog_source(t: Tables) -> DataFrame:
     alias = spoken_alias(F.col("exercise_id"))
     return t["exercises"].select(
         "slug",
-        F.col("name").alias("canonical"),
+        # Some names of the dictionary differ from the table's.
+        F.when(F.col("ord") % 4 == 1, F.concat(F.col("name"), F.lit(" (main)"))).otherwise(F.col("name")).alias("canonical"),
         "muscle_group",
         F.array(
             alias, F.upper(alias), F.concat(F.lit(" "), alias, F.lit(" set")),

@@ -2,8 +2,8 @@
 
 Each job runs over the files available now and stops; a service leaves the
 trigger at a processing time instead. Results go to the shared folder. Update
-mode results are written per micro-batch into a folder named by the batch id and
-overwritten on a retry, so a replayed batch changes nothing.
+mode results go to a batch store: a replayed batch changes nothing, and the
+folders of single batches are merged as they add up.
 """
 
 from __future__ import annotations
@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from liftlake.operators.common import listed_days
 from liftlake.operators.messages import validate
 from liftlake.operators.writes import attach_workouts, replace_sets
 from liftlake.session import shared_dir
+from liftlake.sources.store import BatchStore
 from liftlake.sources.tables import SOURCE_SCHEMAS
 
 LATENESS = "2 days"
 BOUT_GAP_HOURS = 6
-# Days a batch may touch to be looked up one by one in the stored events.
-MAX_LISTED_DAYS = 400
 
 
 def event_stream(t, name: str = "events.parquet") -> DataFrame:
@@ -55,18 +56,10 @@ def _append(df: DataFrame, spark: SparkSession, work: str) -> DataFrame:
 
 
 def _latest(df: DataFrame, spark: SparkSession, work: str, keys: list[str]) -> DataFrame:
-    """Run in update mode and return the newest row per key."""
-    out = f"{work}/out"
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    _finish(df.writeStream.outputMode("update").foreachBatch(save), spark, work)
-    # A first, empty batch, so that a source without files gives an empty result.
-    save(spark.createDataFrame([], df.schema), -1)
-    values = [c for c in df.columns if c not in keys]
-    rows = spark.read.parquet(out)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+    """Run in update mode and return the newest row per key; batches are merged as they add up."""
+    store = BatchStore(spark, f"{work}/out", df.schema, keys, unique=True)
+    _finish(df.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: store.commit(batch_id, batch)), spark, work)
+    return store.read()
 
 
 def stream_ingest(t) -> DataFrame:
@@ -77,8 +70,11 @@ def stream_ingest(t) -> DataFrame:
     return _append(checked, t.spark, shared_dir(t.spark, "ingest"))
 
 
-def stream_daily_tonnage(t, lateness: str = LATENESS) -> DataFrame:
-    """Tonnage per (user, exercise, day), kept up to date; rows later than ``lateness`` are dropped."""
+def stream_daily_tonnage(t, lateness: str = LATENESS, work: str | None = None) -> DataFrame:
+    """Tonnage per (user, exercise, day), kept up to date; rows later than ``lateness`` are dropped.
+
+    Run again with the same ``work`` folder, a job goes on where it stopped.
+    """
     live = stream_tables(t)
     valid = validate(live, live["log_events"]).where("reason is null")
     daily = (
@@ -89,10 +85,10 @@ def stream_daily_tonnage(t, lateness: str = LATENESS) -> DataFrame:
         .select(F.col("day.start").cast("date").alias("workout_date"), "user_id", "slug",
                 F.col("tonnage").cast("double").alias("tonnage"), "logs")
     )
-    return _latest(daily, t.spark, shared_dir(t.spark, "tonnage"), ["workout_date", "user_id", "slug"])
+    return _latest(daily, t.spark, work or shared_dir(t.spark, "tonnage"), ["workout_date", "user_id", "slug"])
 
 
-def stream_last_log(t) -> DataFrame:
+def stream_last_log(t, work: str | None = None) -> DataFrame:
     """Newest valid log per (user, exercise), kept up to date."""
     live = stream_tables(t)
     valid = validate(live, live["log_events"]).where("reason is null")
@@ -101,46 +97,38 @@ def stream_last_log(t) -> DataFrame:
                  F.struct("ts", "event_id")).alias("last"))
     flat = last.select("user_id", "slug", "last.event_id", "last.workout_date",
                        F.col("last.weight_kg").cast("double").alias("weight_kg"), "last.reps", "last.sets_count")
-    return _latest(flat, t.spark, shared_dir(t.spark, "last"), ["user_id", "slug"])
+    return _latest(flat, t.spark, work or shared_dir(t.spark, "last"), ["user_id", "slug"])
 
 
-def stream_upsert(t, rule: str = "app") -> DataFrame:
+def stream_upsert(t, rule: str = "app", work: str | None = None) -> DataFrame:
     """Keep the sets current: every touched (user, date) is rebuilt from the stored events.
 
     A batch first stores its events, then rebuilds its days from all stored ones.
-    Both writes overwrite the folder of the batch id, so a replay is harmless.
+    Both stores count a batch once, so a replay is harmless whichever of them it
+    finds done, and an event delivered again is stored once.
     """
-    spark, work = t.spark, shared_dir(t.spark, "upsert")
+    spark, work = t.spark, work or shared_dir(t.spark, "upsert")
     live = stream_tables(t)
     day = ["user_id", "workout_date"]
+    arriving = live["log_events"]
+    events = BatchStore(spark, f"{work}/events", arriving.schema, ["event_id"], unique=True, partition_by=["workout_date"])
+    set_columns = replace_sets(t, attach_workouts(t, spark.createDataFrame([], arriving.schema), rule)).schema
+    sets = BatchStore(spark, f"{work}/sets", StructType([arriving.schema[c] for c in day] + set_columns.fields), day)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("workout_date").parquet(f"{work}/events/batch={batch_id}")
-        # A redelivered event lands in several batches; it counts once.
-        stored = spark.read.schema(batch.schema).parquet(f"{work}/events")
-        touched = spark.read.schema(batch.schema).option("basePath", f"{work}/events").parquet(
-            f"{work}/events/batch={batch_id}").select(*day).distinct()
-        events = stored.where(_dates(touched)).join(touched, day, "left_semi").dropDuplicates(["event_id"])
-        attached = attach_workouts(t, events, rule)
-        sets = replace_sets(t, attached)
-        owners = attached.select("workout_key", *day).distinct()
-        sets.join(owners, "workout_key").write.mode("overwrite").parquet(f"{work}/sets/batch={batch_id}")
-
-    _finish(live["log_events"].writeStream.outputMode("append").foreachBatch(upsert), spark, work)
-    upsert(spark.createDataFrame([], live["log_events"].schema), -1)
-    sets = spark.read.parquet(f"{work}/sets")
-    newest = sets.groupBy(*day).agg(F.max("batch").alias("batch"))
-    return sets.join(newest, [*day, "batch"]).select(
-        "workout_key", "exercise_id", "set_number", "weight_kg", "reps", "replaced")
-
-
-def _dates(touched: DataFrame):
-    """Predicate on ``workout_date`` that prunes the stored days: a list while it is short, else a range."""
-    days = [r[0] for r in touched.select("workout_date").distinct().limit(MAX_LISTED_DAYS + 1).collect()]
-    if len(days) <= MAX_LISTED_DAYS:
-        return F.col("workout_date").isin(days)
-    low, high = touched.agg(F.min("workout_date"), F.max("workout_date")).first()
-    return F.col("workout_date").between(low, high)
+        batch.persist()  # read for its events, its dates and its days; rebuilt from the source where lost
+        try:
+            events.commit(batch_id, batch.dropDuplicates(["event_id"]))
+            touched = batch.select(*day).distinct()
+            stored = events.read(listed_days(touched)).join(touched, day, "left_semi")
+            attached = attach_workouts(t, stored, rule)
+            owners = attached.select("workout_key", *day).distinct()
+            sets.commit(batch_id, replace_sets(t, attached).join(owners, "workout_key"))
+        finally:
+            batch.unpersist()
+
+    _finish(arriving.writeStream.outputMode("append").foreachBatch(upsert), spark, work)
+    return sets.read().drop(*day)
 
 
 def stream_dedup(t, lateness: str = LATENESS) -> DataFrame:
@@ -174,3 +162,23 @@ def training_bouts(t, events: DataFrame, gap_hours: int = BOUT_GAP_HOURS) -> Dat
         F.sum("logs").alias("logs"), F.sum("tonnage").cast("double").alias("tonnage"),
     ).select("user_id", "bout", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("started"),
              F.date_format("end_ts", "yyyy-MM-dd HH:mm:ss").alias("ended"), "logs", "tonnage")
+
+
+def stream_training_bouts(t, gap_hours: int = BOUT_GAP_HOURS, lateness: str = LATENESS, work: str | None = None) -> DataFrame:
+    """Bouts as they close: session windows of valid logs, given out when ``lateness`` has passed since their gap.
+
+    The state holds a user's open bouts only; a closed one leaves it, and a log that
+    comes later than the watermark is dropped. A bout that is still open when the
+    job stops is given out by a later run with the same ``work`` folder.
+    """
+    live = stream_tables(t)
+    valid = validate(live, live["log_events"]).where("reason is null")
+    bouts = (
+        valid.withWatermark("ts", lateness)
+        .groupBy("user_id", F.session_window("ts", f"{gap_hours} hours").alias("bout"))
+        .agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("logs"),
+             F.sum(F.col("weight_kg") * F.col("reps") * F.col("sets_count")).cast("double").alias("tonnage"))
+        .select("user_id", F.date_format("bout.start", "yyyy-MM-dd HH:mm:ss").alias("started"),
+                F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("ended"), "logs", "tonnage")
+    )
+    return _append(bouts, t.spark, work or shared_dir(t.spark, "bouts"))

@@ -28,3 +28,16 @@ def test_entry_points(spark):
 
     assert set(registry.QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("missing", ["liftlake.llm.registry", "corpus_pipeline"])
+def test_entry_points_without_training_data_operators(monkeypatch, missing):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, missing, None)  # as if it, or something it imports, were not installed
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(entry.queries()) == set(registry.QUERIES)
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(entry.oracle_sql()) == set(SQL)

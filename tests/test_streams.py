@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from liftlake.operators import writes
+from liftlake.operators import common, writes
 from liftlake.sources.tables import SOURCE_SCHEMAS, Tables
 from liftlake.streaming import live
 
@@ -26,6 +26,7 @@ def arrive(spark, t, tmp_path, monkeypatch):
 
     def build(batches):
         folder = str(tmp_path / "events")
+        os.makedirs(folder, exist_ok=True)
         for i, batch in enumerate(batches):
             df = spark.createDataFrame(
                 [(e, dt.datetime.fromisoformat(ts), u, "view", float(v), f'{{"k": {k}}}') for e, ts, u, v, k in batch],
@@ -96,14 +97,83 @@ def test_bouts_equal_session_windows(t):
 
 
 def test_a_source_without_files_gives_empty_results(arrive):
-    for job in (live.stream_ingest, live.stream_daily_tonnage, live.stream_last_log, live.stream_upsert):
+    for job in (live.stream_ingest, live.stream_daily_tonnage, live.stream_last_log, live.stream_upsert, live.stream_dedup,
+                live.stream_training_bouts):
         assert job(arrive([])).count() == 0
 
 
+def many_arrivals(n):
+    """Batches of a few events, each over days that earlier batches touched as well."""
+    return [[(10 * b + i, f"2026-01-{5 + (b + i) % 4:02d}T{10 + b % 10:02d}:{i:02d}:00", 1 + i % 2, 50 + b, 42 if i else 7) for i in range(3)]
+            for b in range(n)]
+
+
+def test_stores_stay_small_and_right_over_many_batches(arrive, spark, tmp_path):
+    from liftlake.sources.store import BatchStore
+
+    t = arrive(many_arrivals(20))
+    events = t["log_events"]
+    batch = writes.replace_sets(t, writes.attach_workouts(t, events))
+    work = str(tmp_path / "upsert")
+    assert rows(live.stream_upsert(t, work=work)) == rows(batch)
+    for name, schema, keys in (("events", events.schema, ["event_id"]), ("sets", "user_id bigint", ["user_id"])):
+        entries = BatchStore(spark, f"{work}/{name}", schema, keys).entries()
+        assert sum(e["batches"] for e in entries) == 20 and len(entries) <= 7
+        assert len(os.listdir(f"{work}/{name}/data")) <= 2 * len(entries) + 8
+    work = str(tmp_path / "last")
+    first = rows(live.stream_last_log(t, work=work))
+    names = sorted(os.listdir(f"{work}/out/data"))
+    # Nothing has arrived since: a second run with the same folder changes nothing.
+    assert rows(live.stream_last_log(t, work=work)) == first and sorted(os.listdir(f"{work}/out/data")) == names
+
+
+def test_a_batch_replayed_after_a_failure_counts_once(arrive, spark, tmp_path, monkeypatch):
+    """The job dies between its two stores; the restarted one repeats the batch and gets the same sets."""
+    t = arrive([FIRST, SECOND, THIRD])
+    expected = rows(writes.replace_sets(t, writes.attach_workouts(t, t["log_events"])))
+    work, calls = str(tmp_path / "upsert"), []
+    plain = live.replace_sets
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) == 3:  # the first call is for the schema, the second for batch 0
+            raise RuntimeError("executor lost")
+        return plain(*args)
+
+    monkeypatch.setattr(live, "replace_sets", failing)
+    with pytest.raises(Exception, match="executor lost"):
+        live.stream_upsert(t, work=work)
+    monkeypatch.setattr(live, "replace_sets", plain)
+    assert rows(live.stream_upsert(t, work=work)) == expected
+
+
+def bout(user, day, start, end, n):
+    return user, f"2026-01-{day:02d} {start}:00:00", f"2026-01-{day:02d} {end}:00:00", n
+
+
+def test_live_bouts_close_and_drop_late_logs(arrive):
+    late = [(20, "2026-01-05T15:00:00", 1, 99, 42)]   # would have joined the first bout of user 1
+    later = [(21, "2026-01-14T10:00:00", 1, 20, 7)]    # moves the watermark on; its own bout stays open
+    t = arrive([FIRST, SECOND, THIRD[1:], later, late])
+    got = rows(live.stream_training_bouts(t), "user_id", "started", "ended", "logs")
+    assert got == sorted([bout(1, 5, 10, 13, 3), bout(2, 5, 12, 12, 1), bout(1, 9, 10, 10, 1), bout(2, 9, 11, 11, 1)], key=repr)
+    closed = [r for r in rows(live.training_bouts(t, t["log_events"].where("event_id not in (20, 21)")), "user_id", "started", "ended", "logs")]
+    assert got == closed
+
+
+def test_open_bouts_close_in_a_later_run(arrive, tmp_path, spark):
+    work = str(tmp_path / "bouts")
+    t = arrive([FIRST, SECOND])
+    # User 1 logs on the ninth as well, so the bouts of the fifth close; that of the ninth waits.
+    assert rows(live.stream_training_bouts(t, work=work), "user_id", "logs") == [(1, 3), (2, 1)]
+    t = arrive([[(21, "2026-01-14T10:00:00", 3, 20, 7)]])
+    assert rows(live.stream_training_bouts(t, work=work), "user_id", "logs") == [(1, 1), (1, 3), (2, 1)]
+
+
 def test_only_touched_days_are_read_again(spark):
     day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
     few = spark.createDataFrame([(1, day(3)), (2, day(3)), (1, day(5))], "user_id bigint, workout_date date")
-    assert "IN" in str(live._dates(few)).upper() and "2026-01-04" in str(live._dates(few))
-    many = spark.createDataFrame([(1, day(n)) for n in range(live.MAX_LISTED_DAYS + 5)], "user_id bigint, workout_date date")
-    kept = many.where(live._dates(many))
-    assert kept.count() == live.MAX_LISTED_DAYS + 5
+    assert "IN" in str(common.listed_days(few)).upper() and "2026-01-04" in str(common.listed_days(few))
+    many = spark.createDataFrame([(1, day(n)) for n in range(common.MAX_LISTED_DAYS + 5)], "user_id bigint, workout_date date")
+    kept = many.where(common.listed_days(many))
+    assert kept.count() == common.MAX_LISTED_DAYS + 5

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import log_events, rows
 from liftlake.operators import history, writes
-from liftlake.sources.tables import Tables
+from liftlake.sources import catalog
 
 MUSCLES = ["chest", "back", "legs", "biceps", "triceps", "shoulders", ""]
 EX = [(i, f"ex{i}", f"Ex {i}", m or None, "bodyweight") for i, m in enumerate(MUSCLES)]
@@ -75,6 +75,43 @@ def test_workouts_fall_out_of_sight(make):
         assert len(set(got.values())) == 8
 
 
+def cycling_log(seed, n_events, unknown_from=None):
+    """One day of one user (and another's small day) whose foci come back all the time."""
+    rng = random.Random(seed)
+    events = []
+    for i in range(n_events):
+        muscle = rng.randrange(6) if unknown_from is None or i < unknown_from else rng.choice([rng.randrange(6), 6])
+        events.append((i, 1 if i % 17 else 2, f"2026-01-05T{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}", muscle, 10, 5, 3))
+    return events
+
+
+@pytest.mark.parametrize("seed,n_events,unknown_from,n_old", [(1, 900, None, 0), (2, 700, 400, 6), (3, 600, 3, 3), (4, 40, None, 0)])
+def test_large_days_are_scanned(make, monkeypatch, seed, n_events, unknown_from, n_old):
+    monkeypatch.setattr(writes, "BLOCK_BITS", 3)  # several blocks and groups of blocks
+    events = cycling_log(seed, n_events, unknown_from)
+    _, old = random_log(seed, 0, n_users=2, n_days=1, n_old=n_old)
+    t = make(workouts=old, exercises=EX, events=events)
+    got = writes.attach_workouts(t, t["log_events"], "chat", t["workouts"] if n_old else None, fold_limit=0)
+    assert dict(rows(got, "event_id", "workout_key")) == replay(events, old, "chat")
+
+
+def test_number_of_jobs_does_not_follow_the_creations(make, spark):
+    def jobs(n_events):
+        t = make(exercises=EX, events=cycling_log(9, n_events))
+        t["exercises"].count()
+        group = f"creations {n_events}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            got = dict(rows(writes.attach_workouts(t, t["log_events"], "chat", fold_limit=0), "event_id", "workout_key"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(set(got.values())) > n_events / 40
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(200), jobs(1500)
+    assert many <= few + 5
+
+
 def test_hot_day_needs_no_replay_under_the_app_rule(make):
     """One (user, day) with most rows is placed by aggregates alone."""
     events, _ = random_log(5, 2000, n_users=1, n_days=1)
@@ -116,6 +153,38 @@ def test_profile_upsert(spark):
     assert got == [(1, "A", None, "m", {"k": 2}), (2, "B", "y", None, None), (3, "C", "z", None, None)]
 
 
+def test_one_update_of_a_user_counts(spark):
+    schema = "user_id bigint, display_name string, weight_kg decimal(5,2), goal string, notes string, nutrition map<string,int>, updated_at timestamp_ntz"
+    at = lambda d: dt.datetime(2026, 1, d)
+    old = spark.createDataFrame([(1, "A", None, "x", "n", {"k": 1}, at(1))], schema)
+    new = [(1, "B", None, "late", None, {"k": 3, "a": 1}, at(9)), (1, "C", None, "early", None, {"k": 2}, at(5)), (1, "B", None, None, None, None, None),
+           (4, "D", None, "one", None, None, at(2)), (4, "D", None, "two", None, None, at(2))]
+    for order in (new, new[::-1]):
+        got = rows(writes.upsert_profile(old, spark.createDataFrame(order, schema).repartition(3)), "user_id", "display_name", "goal", "nutrition", "updated_at")
+        assert got == [(1, "A", "late", {"k": 3, "a": 1}, at(9)), (4, "D", "two", None, at(2))]
+
+
+def test_repeated_new_rows_are_inserted_once(spark):
+    stored = spark.createDataFrame([(1, "Mon/Tue", "Chest", 1)], "user_id bigint, day_label string, focus string, sort_order int")
+    new = [(1, "Fri/Sat", "Back", 2), (1, "Fri/Sat", "Back", 5), (1, "Mon/Tue", "Chest", 7), (2, None, "Back", 1), (2, None, "Back", 1)]
+    keys = ["user_id", "day_label", "focus"]
+    for order in (new, new[::-1]):
+        given = spark.createDataFrame(order, stored.schema).repartition(3)
+        once = writes.insert_missing(stored, given, keys, newest=["sort_order"])
+        assert rows(once) == sorted([(1, "Mon/Tue", "Chest", 1), (1, "Fri/Sat", "Back", 5), (2, None, "Back", 1)], key=repr)
+        assert rows(writes.insert_missing(once, given, keys)) == rows(once)
+
+
+def test_a_repeated_seed_row_is_chosen_by_order(spark):
+    schema = "slug string, name string, muscle_group string"
+    seed = [("a", "Zeta", None), ("a", "Alpha", "chest"), ("b", "Beta", None), ("c", "C", None)]
+    for order in (seed, seed[::-1]):
+        got = catalog.seed_missing(spark.createDataFrame([("c", "kept", None)], schema), spark.createDataFrame(order, schema).repartition(3))
+        assert rows(got) == [("a", "Alpha", "chest"), ("b", "Beta", None), ("c", "kept", None)]
+    numbered = spark.createDataFrame([("a", "Zeta", 1), ("a", "Alpha", 2)], "slug string, name string, ord int")
+    assert rows(catalog.seed_missing(numbered.limit(0), numbered)) == [("a", "Zeta", 1)]
+
+
 def test_plan_rows_are_not_doubled(spark):
     rows_ = spark.createDataFrame([(1, "Mon/Tue", "Chest", 1)], "user_id bigint, day_label string, focus string, sort_order int")
     new = spark.createDataFrame([(1, "Mon/Tue", "Chest", 9), (1, "Fri/Sat", "Back", 2)], rows_.schema)
@@ -124,10 +193,8 @@ def test_plan_rows_are_not_doubled(spark):
     assert once.count() == 2 and rows(once) == rows(again)
 
 
-def test_written_log_is_partitioned_and_complete(t, spark, tmp_path):
-    path = str(tmp_path / "log")
-    writes.write_log(t, path)
-    back = spark.read.parquet(path)
+def test_written_log_is_partitioned_and_complete(t, tmp_path):
+    back = writes.write_log(t, str(tmp_path / "log")).read()
     assert back.count() == history.scan_log(t).count()
     plan = back.where("month = '1998-06'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
