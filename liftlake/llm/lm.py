@@ -275,6 +275,8 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 _KINDS = {2: "pair", 3: "triple"}
+# Written last: what it stands beside is whole.
+_MARK = "model"
 _SENT = "contexts binary, runs binary, words binary, counts binary, lasts binary"
 
 
@@ -345,6 +347,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, shards: int |
     word_n = numbers.get((1, None), np.zeros(5))
     d = _discounts(word_n)
     spread = float(d[1] * word_n[0] + d[2] * word_n[1] + d[3] * word_n[4]) / total if total else 1.0
+    files.write(folder, _MARK, np.array([shards], np.int64))
     return Model(folder, order, shards, tokens, types, levels, d, total, spread)
 
 
@@ -353,6 +356,9 @@ class Reader:
 
     def __init__(self, model: Model):
         self.m = model
+        # A shard without entries has no files, so a folder that this worker does not see must not look like empty shards.
+        if files.mapped(model.folder, _MARK, np.int64)[0] != model.shards:
+            raise ValueError(f"{model.folder} holds another model")
         self.open: dict[tuple[str, int], np.ndarray] = {}
 
     def _array(self, name: str, shard: int, dtype) -> np.ndarray:

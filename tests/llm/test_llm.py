@@ -600,6 +600,16 @@ def test_every_score_is_finite(docs, order):
         check_scores(docs, model, texts, new, order)
 
 
+def test_a_folder_that_workers_do_not_see_is_an_error(docs, tmp_path):
+    """A model whose files are elsewhere must not score everything as unseen."""
+    import dataclasses
+
+    model = lm.train(docs(["a b c"] * 3))
+    lost = dataclasses.replace(model, folder=str(tmp_path / "elsewhere"))
+    with pytest.raises(Exception, match="elsewhere"):
+        lm.score(docs(["a b"]), lost).collect()
+
+
 def test_three_words_tell_more_than_two(spark):
     frame = spark.read.parquet(f"{SMALL}/documents.parquet")
     mean = {}
@@ -1080,6 +1090,33 @@ def test_equal_rows_become_one(spark, docs):
     assert pairs_of(kept) == sorted([(7, text), (None, "quite another text"), (5, None), (6, "")], key=repr)
 
 
+def test_measures_against_plain_tokenisation(spark, docs):
+    """Characters a token, entropy and byte fallback from whole texts through both libraries' plain calls."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
+    texts += ["ⴰⴱⴳ ⵀⵄ plain words ⴰⴱⴳ", "漢字かな交じり文 x", "x\U0001f600\U0001f9ff y", "", None, "a", "a a a a"]
+    got = {r["doc_id"]: r for r in fertility.judge(docs(texts)).collect()}
+    seen = 0
+    for k, text in enumerate(texts):
+        text, r = text or "", got[k]
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["chars_per_token"] == pytest.approx(len(text) / max(1, len(ids)))
+        shares = [n / len(ids) for n in Counter(ids).values()]
+        most = math.log(min(len(ids), fertility.ENTROPY_TOKENS)) if len(ids) > 1 else 1
+        assert r["entropy"] == pytest.approx(-sum(p * math.log(p) for p in shares) / most if len(ids) > 1 else 0, abs=1e-9)
+        # Every byte-fallback token of the words, tokenised one by one without any shortcut.
+        found = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        fallback = sum(pieces.is_byte(i) for w in found for i in pieces.encode(w))
+        assert r["fallback_share"] == pytest.approx(min(1.0, fallback / max(1, sum(len(w.encode()) for w in found))))
+        seen += fallback
+    assert seen > 10
+
+
 WRAPPERS = {
     "op1_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op2_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
