@@ -99,8 +99,9 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     rows = rows.select("doc", "n_words", F.transform("windows", lambda x: F.struct(
         x["at"].alias("at"), x["hash"].alias("hash"),
         F.array_join(F.slice("w", x["at"] + 1, x["size"]), " ").alias("gram"), x["size"].alias("size"))).alias("windows"))
-    exploded = F.posexplode("windows") if hits_only else F.posexplode_outer("windows")
-    rows = rows.select("doc", "n_words", exploded.alias("nth", "window")).select("doc", "n_words", "nth", "window.*")
+    # Without "outer" Spark would add a filter on the windows, find them twice and reason about their large condition.
+    rows = rows.select("doc", "n_words", F.posexplode_outer("windows").alias("nth", "window")).select("doc", "n_words", "nth", "window.*")
+    rows = rows.where("nth is not null") if hits_only else rows
     table = grams.select(F.col("hash").alias("g_hash"), F.col("gram").alias("g_gram"), "items")
     table = F.broadcast(table) if count <= MAX_BROADCAST else table
     met = rows.join(table, (F.col("hash") == F.col("g_hash")) & (F.col("gram") == F.col("g_gram")), "left")
