@@ -48,8 +48,8 @@ def _unplaned(b, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def _tokens(column):
-    """Of a batch: the token before the previous one, the previous and the current token as hashes, and n + 1 offsets of each text's tokens."""
+def _tokens(column, order):
+    """Of a batch: the token before the previous one (for an order of 3), the previous and the current token as hashes, and n + 1 offsets of each text's tokens."""
     data, offsets = textnum.text_bytes(column)
     data = textnum.LOWER[data]
     starts, ends, per_text = textnum.words(data, offsets)
@@ -68,7 +68,7 @@ def _tokens(column):
         return out
 
     previous = shifted(current)
-    return shifted(previous), previous, current, bounds
+    return shifted(previous) if order == 3 else None, previous, current, bounds
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -97,18 +97,22 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _flushed(batches, block):
+def _flushed(batches, order, block):
     """Collect tokens of the batches and hand about FLUSH_TOKENS at a time to ``block``."""
     held, size = [], 0
+
+    def joined():
+        return (None if part[0] is None else np.concatenate(part) for part in zip(*held))
+
     for batch in textnum.parts(batches, 0):
-        before, previous, current, _ = _tokens(batch.column(0))
-        held.append((before, previous, current))
-        size += len(current)
+        *tokens, _ = _tokens(batch.column(0), order)
+        held.append(tokens)
+        size += len(tokens[-1])
         if size >= FLUSH_TOKENS:
-            yield from block(*map(np.concatenate, zip(*held)))
+            yield from block(*joined())
             held, size = [], 0
     if size:
-        yield from block(*map(np.concatenate, zip(*held)))
+        yield from block(*joined())
 
 
 def _by_shard(shard: np.ndarray, **columns):
@@ -134,7 +138,7 @@ def _count_words(order, shards):
             if len(keys):
                 yield _by_shard(-1 - _shard(keys, shards), keys=keys, counts=counts.astype(np.uint32))
 
-    return lambda batches: _flushed(batches, block)
+    return lambda batches: _flushed(batches, order, block)
 
 
 def _count_grams(order, shards, hot):
@@ -152,7 +156,7 @@ def _count_grams(order, shards, hot):
         counts = np.diff(np.append(first, len(new))).astype(np.uint32)
         yield _gram_blocks(shard[first], context[first], previous[first] if order == 3 else None, current[first], counts)
 
-    return lambda batches: _flushed(batches, block)
+    return lambda batches: _flushed(batches, order, block)
 
 
 def _gram_blocks(shard, context, last, current, counts):
@@ -319,7 +323,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, shards: int |
     folder = shared_dir(spark, "lm")
 
     def by_shard(rows: DataFrame, merge, schema: str) -> DataFrame:
-        return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(merge, schema)
+        # More tasks than shards, so that hardly any task gets several.
+        return rows.repartition(3 * shards, "shard").groupBy("shard").applyInArrow(merge, schema)
 
     counted = texts.mapInArrow(_count_words(order, shards), "shard bigint, keys binary, counts binary")
     words = saved(by_shard(counted, _write_words(folder), "words boolean, types bigint, tokens bigint, top array<bigint>, top_n array<bigint>"), "lm-words")
@@ -459,7 +464,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         reader = Reader(model)
         for batch in textnum.parts(batches):
-            *tokens, bounds = _tokens(batch.column(1))
+            *tokens, bounds = _tokens(batch.column(1), model.order)
             known, base, own = reader.score(*tokens, bounds)
             n = np.diff(bounds)
             yield pa.RecordBatch.from_arrays(
