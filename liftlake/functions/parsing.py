@@ -121,17 +121,21 @@ def alias_spans(norm: Column, matcher, entries: Column) -> Column:
     open_, close, other = matcher.marks
     plain = F.translate(norm, open_ + close, other * 2)
     marked = F.split(F.regexp_replace(plain, f"(?=({matcher.pattern}))", f"{open_}$1{close}"), open_)
-    walk = F.aggregate(
-        F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))),
-        F.struct(F.length(F.get(marked, F.lit(0))).alias("at"), F.array().cast(SPANS).alias("found")),
-        lambda acc, piece: let(F.split(piece, close), lambda part: F.struct(
-            (acc["at"] + F.length(part[1])).alias("at"),
-            F.concat(acc["found"], F.transform(F.element_at(entries, part[0]), lambda e: F.struct(
-                e["neg_size"].alias("neg_size"), e["ord"].alias("ord"), e["pos"].alias("pos"),
-                acc["at"].alias("lo"), (acc["at"] + e["size"]).alias("hi"), e["slug"].alias("slug")))).alias("found"),
-        )),
-    )
-    return F.when(F.size(marked) > 1, F.array_sort(walk["found"])).otherwise(F.array().cast(SPANS))
+
+    def spans(pieces: Column) -> Column:
+        walk = F.aggregate(
+            F.slice(pieces, 2, F.size(pieces) - 1),
+            F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(SPANS).alias("found")),
+            lambda acc, piece: let(F.split(piece, close), lambda part: F.struct(
+                (acc["at"] + F.length(part[1])).alias("at"),
+                F.concat(acc["found"], F.transform(F.element_at(entries, part[0]), lambda e: F.struct(
+                    e["neg_size"].alias("neg_size"), e["ord"].alias("ord"), e["pos"].alias("pos"),
+                    acc["at"].alias("lo"), (acc["at"] + e["size"]).alias("hi"), e["slug"].alias("slug")))).alias("found"),
+            )),
+        )
+        return F.when(F.size(pieces) > 1, F.array_sort(walk["found"])).otherwise(F.array().cast(SPANS))
+
+    return let(marked, spans)
 
 
 def accepted_slugs(spans: Column) -> Column:

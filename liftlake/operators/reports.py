@@ -275,7 +275,7 @@ def focused_progression(t, messages: DataFrame) -> DataFrame:
 
 
 def message_context(t, messages: DataFrame) -> DataFrame:
-    """Message with everything known about its user and the exercises it names.
+    """Message with everything known about its user and the exercises it names, and the number of its characters.
 
     The text stays as it is when nothing applies. Histories of the users who wrote
     are read once; a message meets its user's document and progressions in one join.
@@ -283,12 +283,20 @@ def message_context(t, messages: DataFrame) -> DataFrame:
     found = _resolved(t, messages)
     writers = stored(found.select("user_id").distinct(), "writers")
     state = log_state(t, writers)
-    snapshot = profile_snapshot(t, writers, state).select("user_id", "document")
+    # Characters are counted once per document, before it meets the messages.
+    snapshot = profile_snapshot(t, writers, state).select("user_id", "document", F.length("document").alias("document_chars"))
     known = snapshot.join(_blocks(t, state), "user_id", "full_outer")
-    rows = _with_names(t, found.join(known, "user_id", "left"))
-    body = F.concat_ws("\n\n", _match_text(F.col("slugs"), F.col("names")), _focused(F.col("slugs"), F.col("blocks")), "document")
-    return rows.select("msg_id", parsing.let(body, lambda body: F.when(body == "", F.col("text")).otherwise(F.concat(
-        F.lit(CONTEXT_HEADER + "\n"), body, F.lit("\n\n---\nUser: "), F.col("text")))).alias("context"))
+    rows = _with_names(t, found.join(known, "user_id", "left")).select(
+        "msg_id", "text", "document", "document_chars",
+        _match_text(F.col("slugs"), F.col("names")).alias("matched"), _focused(F.col("slugs"), F.col("blocks")).alias("focused"))
+    parts = ["matched", "focused", "document"]
+    nothing = F.coalesce(*parts).isNull()
+    split, closing = "\n\n", "\n\n---\nUser: "
+    context = F.concat(F.lit(CONTEXT_HEADER + "\n"), F.concat_ws(split, *parts), F.lit(closing), F.col("text"))
+    sizes = [F.coalesce(F.length(c) + len(split), F.lit(0)) for c in parts[:2]] + [F.coalesce(F.col("document_chars") + len(split), F.lit(0))]
+    chars = sum(sizes, F.lit(len(CONTEXT_HEADER) + 1 + len(closing) - len(split))) + F.length("text")
+    return rows.select("msg_id", F.when(nothing, F.col("text")).otherwise(context).alias("context"),
+                       F.when(nothing, F.length("text")).otherwise(chars).alias("n_chars"))
 
 
 def allowed_catalog(t, users=None) -> DataFrame:

@@ -615,5 +615,6 @@ def all_sql() -> dict[str, str]:
     q["exercise_tonnage_stored"] = q["exercise_tonnage"]
     q["last_exercise_log_stored"] = q["last_exercise_log"]
     q["stream_ingest"] = q["validate_log"]
-    q["stream_upsert"] = q["replace_sets"]
+    q["stream_upsert"] = q["stream_upsert_batches"] = q["replace_sets"]
+    q["stream_last_log_batches"] = q["stream_last_log"]
     return q

@@ -269,6 +269,15 @@ def replace_stored_history(t):
     return log.read().select("user_id", "workout_date", "month", "slug", "set_number", F.col("weight_kg").cast("double").alias("weight_kg"), "reps")
 
 
+def in_batches(job, n: int = 4):
+    """A streaming job over events that arrive as several files, one a micro-batch, some days in more than one of them."""
+    def query(t):
+        folder = shared_dir(t.spark, "arrivals")
+        t["events"].repartitionByRange(n, "event_id").write.parquet(folder)
+        return job(live.arriving(t, folder))
+    return query
+
+
 def called_functions(t):
     """Progress, tonnage and last log of one exercise for every registered user, asked for by SQL table functions."""
     table_functions.register_functions(t.spark, t)
@@ -291,7 +300,7 @@ def refreshed_progress(t):
 
 def message_context(t):
     c = reports.message_context(t, t["messages"])
-    return c.select("msg_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
+    return c.select("msg_id", "n_chars", F.md5("context").alias("context_md5"))
 
 
 def full_log(t):
@@ -426,6 +435,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "stream_daily_tonnage": live.stream_daily_tonnage,
     "stream_last_log": live.stream_last_log,
     "stream_upsert": live.stream_upsert,
+    "stream_last_log_batches": in_batches(live.stream_last_log),
+    "stream_upsert_batches": in_batches(live.stream_upsert),
     "stream_dedup": live.stream_dedup,
     "stream_training_bouts": live.stream_training_bouts,
     "training_bouts": lambda t: live.training_bouts(t, t["log_events"]),

@@ -25,13 +25,24 @@ BOUT_GAP_HOURS = 6
 
 
 def event_stream(t, name: str = "events.parquet") -> DataFrame:
-    """Raw events as a file stream; watermarks need instants, so times become UTC instants."""
-    return (
-        t.spark.readStream.schema(SOURCE_SCHEMAS["events"])
-        .option("pathGlobFilter", name)
-        .parquet(t.path)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+    """Raw events as a file stream; watermarks need instants, so times become UTC instants.
+
+    Tables with a folder of arrivals (``arriving``) stream its files, so many a batch.
+    """
+    folder, files = getattr(t, "arrivals", (None, None))
+    reader = t.spark.readStream.schema(SOURCE_SCHEMAS["events"])
+    if folder is None:
+        reader, folder = reader.option("pathGlobFilter", name), t.path
+    else:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def arriving(t, folder: str, files: int = 1):
+    """Tables whose events arrive as the files of a folder, ``files`` a micro-batch."""
+    out = t.replaced()
+    out.arrivals = folder, files
+    return out
 
 
 def stream_tables(t, name: str = "events.parquet"):

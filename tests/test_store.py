@@ -23,7 +23,7 @@ def test_many_batches_leave_few_folders(spark, tmp_path):
     path = str(tmp_path / "s")
     store = BatchStore(spark, path, "k int, v int", ["k"], unique=True, fan=4)
     rng, expected = random.Random(1), {}
-    for batch in range(40):
+    for batch in range(20):
         given = {rng.randrange(30): batch * 100 + i for i in range(5)}
         expected |= given
         assert store.commit(batch, spark.createDataFrame(list(given.items()), "k int, v int").coalesce(1))
