@@ -283,20 +283,22 @@ def message_context(t, messages: DataFrame) -> DataFrame:
     found = _resolved(t, messages)
     writers = stored(found.select("user_id").distinct(), "writers")
     state = log_state(t, writers)
-    # Characters are counted once per document, before it meets the messages.
-    snapshot = profile_snapshot(t, writers, state).select("user_id", "document", F.length("document").alias("document_chars"))
+    # A document's end and its number of characters are made once per user, before it meets the messages.
+    split, closing = "\n\n", "\n\n---\nUser: "
+    tail = F.concat(F.col("document"), F.lit(closing))
+    snapshot = profile_snapshot(t, writers, state).select("user_id", tail.alias("tail"), F.length(tail).alias("tail_chars"))
     known = snapshot.join(_blocks(t, state), "user_id", "full_outer")
     rows = _with_names(t, found.join(known, "user_id", "left")).select(
-        "msg_id", "text", "document", "document_chars",
+        "msg_id", "text", "tail", "tail_chars",
         _match_text(F.col("slugs"), F.col("names")).alias("matched"), _focused(F.col("slugs"), F.col("blocks")).alias("focused"))
-    parts = ["matched", "focused", "document"]
-    nothing = F.coalesce(*parts).isNull()
-    split, closing = "\n\n", "\n\n---\nUser: "
-    context = F.concat(F.lit(CONTEXT_HEADER + "\n"), F.concat_ws(split, *parts), F.lit(closing), F.col("text"))
-    sizes = [F.coalesce(F.length(c) + len(split), F.lit(0)) for c in parts[:2]] + [F.coalesce(F.col("document_chars") + len(split), F.lit(0))]
-    chars = sum(sizes, F.lit(len(CONTEXT_HEADER) + 1 + len(closing) - len(split))) + F.length("text")
-    return rows.select("msg_id", F.when(nothing, F.col("text")).otherwise(context).alias("context"),
-                       F.when(nothing, F.length("text")).otherwise(chars).alias("n_chars"))
+    rows = rows.withColumn("head", F.concat(F.lit(CONTEXT_HEADER + "\n"), F.concat_ws(split, "matched", "focused")))
+    named = F.coalesce("matched", "focused").isNotNull()
+    head = F.when(named & F.col("tail").isNotNull(), F.concat("head", F.lit(split))).otherwise(F.col("head"))
+    nothing = ~named & F.col("tail").isNull()
+    end, end_chars = F.coalesce("tail", F.lit(closing)), F.coalesce("tail_chars", F.lit(len(closing)))
+    return rows.select(
+        "msg_id", F.when(nothing, F.col("text")).otherwise(F.concat(head, end, F.col("text"))).alias("context"),
+        F.when(nothing, F.length("text")).otherwise(F.length(head) + end_chars + F.length("text")).alias("n_chars"))
 
 
 def allowed_catalog(t, users=None) -> DataFrame:
