@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from liftlake.llm import shared_arrays as files
 from liftlake.llm import textnum
@@ -19,7 +20,10 @@ from liftlake.session import shared_dir
 
 # The shorter runs have this share of a window's words.
 ANCHOR_SHARE = 0.4
-MIN_SHARDS, MAX_SHARDS = 8, 1024
+# Bytes of text whose anchors make a shard.
+SHARD_BYTES, MIN_SHARDS = 32 << 20, 8
+# Shards that a worker keeps mapped.
+MAX_MAPPED = 8192
 # Anchors of a task that are merged before they are sent on.
 BLOCK = 1 << 20
 
@@ -144,16 +148,19 @@ def _look(folder: str, shards: int, there: set, arrays: dict, anchor: np.ndarray
     found, mixed = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
     shard = (anchor % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in there:
-        rows = order[cuts[s]:cuts[s + 1]]
-        if len(rows):
-            if s not in arrays:
-                arrays[s] = files.mapped(folder, f"anchor{s}.keys", np.uint64), files.mapped(folder, f"anchor{s}.mixed", np.uint8)
-            keys, flags = arrays[s]
-            at = np.minimum(np.searchsorted(keys, anchor[rows]), len(keys) - 1)
-            hit = keys[at] == anchor[rows]
-            found[rows], mixed[rows] = hit, hit & (flags[at] > 0)
+    values, first = np.unique(shard[order], return_index=True)
+    for s, a, b in zip(values.tolist(), first, np.append(first[1:], len(order))):
+        if s not in there:
+            continue
+        rows = order[a:b]
+        if s not in arrays:
+            while len(arrays) >= MAX_MAPPED:
+                del arrays[next(iter(arrays))]
+            arrays[s] = files.mapped(folder, f"anchor{s}.keys", np.uint64), files.mapped(folder, f"anchor{s}.mixed", np.uint8)
+        keys, flags = arrays[s]
+        at = np.minimum(np.searchsorted(keys, anchor[rows]), len(keys) - 1)
+        hit = keys[at] == anchor[rows]
+        found[rows], mixed[rows] = hit, hit & (flags[at] > 0)
     return found, mixed
 
 
@@ -164,11 +171,12 @@ def windows(picked: DataFrame, size: int, shards: int | None = None) -> DataFram
     """
     spark = picked.sparkSession
     if shards is None:
-        shards = min(MAX_SHARDS, max(MIN_SHARDS, picked.rdd.getNumPartitions()))
+        held = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(MIN_SHARDS, -(-held // SHARD_BYTES))
     folder = shared_dir(spark, "anchors")
     counted = picked.select("text").mapInArrow(_count(size, shards), "shard bigint, anchors binary, wholes binary, twice binary")
-    # At most MAX_SHARDS rows.
-    there = {r["shard"] for r in counted.groupBy("shard").applyInArrow(_write(folder), "shard bigint, n bigint").collect() if r["n"]}
+    # A row per shard, that is, per ``SHARD_BYTES`` of text; more tasks than shards, so that hardly any task gets several.
+    there = {r["shard"] for r in counted.repartition(3 * shards, "shard").groupBy("shard").applyInArrow(_write(folder), "shard bigint, n bigint").collect() if r["n"]}
 
     def run(batches):
         arrays: dict = {}
