@@ -120,7 +120,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # passages that begin within so many of each other overlap. A text then has a span per stretch, not one per word.
     near = F.when(F.col("passage"), F.floor(F.col("start") / F.lit(2 * passage - 1))).otherwise(F.col("start").cast("bigint")) \
         if passage is not None else F.col("start")
-    joined = found.groupBy("doc_id", "version", "passage", near.alias("near")).agg(
+    # Dealt by document once, which both groupings can use.
+    joined = found.repartition("doc_id", "version").groupBy("doc_id", "version", "passage", near.alias("near")).agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("kept_id").alias("kept"))
     per_doc = joined.groupBy("doc_id", "version").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"),
