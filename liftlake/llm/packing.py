@@ -25,8 +25,8 @@ from liftlake.session import broadcast_if_small
 
 TOKENS = 1024
 END_ID = 2
-# Pieces of one length that are numbered together, about; a length has as many groups as that takes.
-GROUP = 500_000
+# Pieces of one length that are numbered together, about; a length has as many groups as that takes, and at least a few.
+GROUP, LEAST_GROUPS = 500_000, 64
 
 
 def plan(counts: dict[int, int], tokens: int = TOKENS, max_documents: int | None = None, max_attention: int | None = None,
@@ -93,7 +93,7 @@ def plan(counts: dict[int, int], tokens: int = TOKENS, max_documents: int | None
 
 def groups_of(pieces: int) -> int:
     """Groups that so many pieces of one length are dealt to."""
-    return max(1, -(-pieces // GROUP))
+    return max(LEAST_GROUPS, -(-pieces // GROUP))
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, tokens: int, end_id: int, files: tuple[str, str],
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(groups, F.col("length").cast("int"))))
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))  # a row per ``GROUP`` pieces, and ``tokens``
+    starts = parts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))  # a row per ``GROUP`` pieces, and ``LEAST_GROUPS`` a length
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("nth", F.row_number().over(order) - 1).join(broadcast_if_small(starts), ["length", "part"]) \
         .withColumn("nth", F.col("nth") + F.col("before")).drop("part", "before")

@@ -1227,6 +1227,7 @@ def joined(nodes, pairs, component):
 
 def test_a_frequent_length_is_dealt_to_groups_by_its_count(docs, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 10)
+    monkeypatch.setattr(packing, "LEAST_GROUPS", 1)
     assert [packing.groups_of(n) for n in (0, 1, 10, 11, 95)] == [1, 1, 1, 2, 10]
     texts = [(k, "one two") for k in range(95)] + [(100 + k, "one two three " * k) for k in range(9)]
     rows = packing.pack(docs(texts), tokens=64).collect()
