@@ -84,11 +84,14 @@ def _matrix(rows: list[tuple[bytes, bytes]]) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, weight: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, balanced classes, accelerated gradient descent; y is +1 or -1."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    """Linear SVM with squared hinge loss, balanced classes, accelerated gradient descent; y is +1, -1 or, for rows left out, 0.
+
+    Rows are left out by weight, so that the matrix, the driver's largest, is never copied.
+    """
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), np.where(y < 0, 0.5 / max(1, (y < 0).sum()), 0)).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
     b = vb = 0.0
-    rate = 1.0 / (2.0 * float((share * (x * x).sum(axis=1)).sum()) + 2.0 + weight)
+    rate = 1.0 / (2.0 * float((share * np.einsum("ij,ij->i", x, x)).sum()) + 2.0 + weight)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v + vb)) * share * y
         new, new_b = v + rate * (2 * (slack @ x) - weight * v), vb + rate * 2 * float(slack.sum())
@@ -117,8 +120,7 @@ class Model:
             own = [k for k, v in enumerate(self.family_of) if v == f]
             for i, a in enumerate(own):
                 for b in own[i + 1:]:
-                    rows = (lang == a) | (lang == b)
-                    columns.append(_svm(x[rows], np.where(lang[rows] == a, 1, -1).astype(np.float32)))
+                    columns.append(_svm(x, (lang == a).astype(np.float32) - (lang == b)))
                     self.pairs.append((a, b))
         self.table = np.array([w * scale for w, _ in columns], np.float32).T.copy()
         self.bias = np.array([b for _, b in columns])
@@ -185,7 +187,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         .where(F.col("nth") <= share).select("lang", "text").mapInArrow(
         _sample_shares, "lang string, i binary, v binary, ci binary, cv binary")
     rows = drawn.orderBy(F.xxhash64("i", "v"), "lang").collect()
-    return Model([(r["i"], r["v"]) for r in rows] + [(r["ci"], r["cv"]) for r in rows], [r["lang"] for r in rows] * 2)
+    model = Model([(r["i"], r["v"]) for r in rows] + [(r["ci"], r["cv"]) for r in rows], [r["lang"] for r in rows] * 2)
+    del rows
+    textnum._release()
+    return model
 
 
 def shares(counts: dict[str, int], per_language: int, most: int) -> dict[str, int]:

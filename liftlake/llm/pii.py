@@ -354,6 +354,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             add(moved, [*others, (a, kind, a + len(new))])
     tagger = Tagger(N_CODES, 2 * len(TAGGED) + 1, seed=seed)
     tagger.fit(np.array(codes), np.array(tags), epochs=epochs, seed=seed)
+    textnum._release()
     return tagger
 
 
