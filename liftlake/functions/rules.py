@@ -98,15 +98,20 @@ def _stripped(text: Column) -> Column:
 def plain_number(value: Column) -> Column:
     """Shortest decimal text, as the app writes it: 66, 32.5. Huge values keep their exponent."""
     text = value.cast("string")
-    return F.coalesce(_stripped(text), text)
+    # A whole number of 32 bits is as it should be.
+    return F.when(text.try_cast("int").cast("string") == text, text).otherwise(F.coalesce(_stripped(text), text))
 
 
 def general_number(value: Column) -> Column:
     """Text with six significant digits, as the chat writes it: 66, 12.3457, 1e+15."""
+    shortest = value.cast("double").cast("string")
+    # Up to six digits before and after the point are all significant, and written without exponent from one on.
+    short = value.between(1, 99_999) & (F.length(shortest) <= 7)
     science = F.format_string("%.5e", value.cast("double"))
     mantissa, exponent = F.substring_index(science, "e", 1), F.substring_index(science, "e", -1)
     plain = exponent.try_cast("int").between(-4, 5)
-    return F.when(value == 0, "0").when(plain, _stripped(science)).otherwise(
+    return F.when(short, F.when(F.endswith(shortest, F.lit(".0")), F.substring_index(shortest, ".", 1)).otherwise(shortest)) \
+        .when(value == 0, "0").when(plain, _stripped(science)).otherwise(
         F.concat(_stripped(mantissa), F.lit("e"), exponent))
 
 

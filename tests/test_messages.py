@@ -193,3 +193,18 @@ def test_large_dictionary_looks_places_up_and_not_lengths(spark, make):
 def test_number_texts(spark, value, app, chat):
     row = spark.range(1).select(rules.plain_number(F.lit(value)).alias("a"), rules.general_number(F.lit(value)).alias("c")).first()
     assert (row["a"], row["c"]) == (app, chat) and chat == f"{value:g}"
+
+
+def test_the_dictionary_is_no_column_of_the_messages(spark, t):
+    one = spark.createDataFrame([(1, "lift b 50x5")], "msg_id bigint, text string")
+    plan = m.with_slugs(t, one)._jdf.queryExecution().executedPlan().toString()
+    assert "entries" not in plan and "ubquery" not in plan
+
+
+def test_short_numbers_are_written_as_before(spark):
+    values = [0.0, 0.5, 1.0, 2.5, 66.0, 12.3457, 12.34567, 99999.0, 99999.9, 99998.5, 100000.0, 123456.7, 1e15, 32.505]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", rules.general_number(F.col("v")).alias("g")).collect()
+    assert {r["v"]: r["g"] for r in got} == {v: f"{v:.6g}" for v in values}
+    whole = spark.createDataFrame([("7",), ("100",), ("007",), ("-0",), ("2.50",), ("x",)], "v string")
+    assert [r[0] for r in whole.select(rules.plain_number(F.col("v"))).collect()] == ["7", "100", "7", "0", "2.5", "x"]
