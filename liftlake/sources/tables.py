@@ -21,6 +21,9 @@ DIMENSIONS = ("exercises", "catalog_source")
 MAX_DIMENSION_ROWS = 10_000
 # Users asked for by id whose key ranges are handed to a scan.
 MAX_FILTERED_USERS = 200
+# Bytes of source files for each shuffle partition to begin with, and of shuffled rows up to which partitions are put together.
+# A row in a task's hash table takes about twenty times its shuffled bytes.
+INPUT_PER_PARTITION, SHUFFLED_PER_PARTITION = 8 << 20, 16 << 20
 
 SOURCE_SCHEMAS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -75,6 +78,22 @@ def dimension(df: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def size_shuffles(spark: SparkSession, paths: list[str], each: int = INPUT_PER_PARTITION) -> None:
+    """Let the number of shuffle partitions follow the input, so that a task's share does not grow with it.
+
+    A larger number that is set already stays; adaptive execution puts small partitions together.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(paths[0]).getFileSystem(spark._jsc.hadoopConfiguration())
+    size = sum(fs.getContentSummary(p).getLength() for p in map(path, paths) if fs.exists(p))
+    first, advised = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    set_already = int(spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if size // each > set_already:
+        spark.conf.set(first, str(size // each))
+        if spark.conf.get(advised, None) is None:
+            spark.conf.set(advised, str(SHUFFLED_PER_PARTITION))
+
+
 class Tables(dict):
     """Mapping of view name to DataFrame, filled on demand."""
 
@@ -83,6 +102,7 @@ class Tables(dict):
         spark.conf.set("spark.sql.session.timeZone", "UTC")  # log times are UTC
         self.spark = spark
         self.path = path.rstrip("/")
+        size_shuffles(spark, [f"{self.path}/{name}.parquet" for name in SOURCE_SCHEMAS])
         self._views = {**VIEWS, **(views or {})}
         self._given: set[str] = set()
 

@@ -57,3 +57,18 @@ def test_sets_are_restricted_before_they_are_aggregated(spark, name):
             break
         below.append(x)
     assert any("Join LeftSemi" in x for x in below)
+
+
+def test_shuffle_partitions_follow_the_input(spark):
+    from liftlake.sources.tables import SOURCE_SCHEMAS, size_shuffles
+
+    keys = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        size_shuffles(spark, ["/root/testdata/sf0.001/lineitem.parquet"])
+        assert spark.conf.get(keys[0], None) == before[0]  # small input leaves the session as it is
+        size_shuffles(spark, [f"/root/testdata/sf0.001/{name}.parquet" for name in SOURCE_SCHEMAS], each=4096)
+        assert int(spark.conf.get(keys[0])) > 4
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
