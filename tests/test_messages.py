@@ -208,3 +208,9 @@ def test_short_numbers_are_written_as_before(spark):
     assert {r["v"]: r["g"] for r in got} == {v: f"{v:.6g}" for v in values}
     whole = spark.createDataFrame([("7",), ("100",), ("007",), ("-0",), ("2.50",), ("x",)], "v string")
     assert [r[0] for r in whole.select(rules.plain_number(F.col("v"))).collect()] == ["7", "100", "7", "0", "2.5", "x"]
+
+
+def test_no_text_names_no_exercise(spark, t):
+    none = spark.createDataFrame([(1, None, 5, TODAY)], "msg_id bigint, text string, user_id bigint, msg_date date")
+    assert m.with_slugs(t, none).first()["slugs"] == []
+    assert m.route_messages(t, none).first()["outcome"] == "pass_through"
