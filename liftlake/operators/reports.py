@@ -67,7 +67,7 @@ def active_split(t, users=None) -> DataFrame:
 def _lines(*order: Column, line: Column) -> Column:
     """Aggregate: the lines of a group in order, joined by newlines."""
     keyed = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], line.alias("line"))
-    return F.array_join(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["line"]), "\n")
+    return F.array_join(F.sort_array(F.collect_list(keyed))["line"], "\n")
 
 
 def _section(title: str, body: Column) -> Column:
@@ -84,7 +84,7 @@ def _set_texts(sets: DataFrame, keys: list[str]) -> DataFrame:
     """Equal sets are counted first, so a group holds its distinct (weight, reps) only."""
     distinct = sets.groupBy(*keys, "weight_kg", "reps").agg(F.count(F.lit(1)).cast("int").alias("n"))
     sorted_sets = distinct.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("weight_kg", "reps", "n"))).alias("s"))
+        F.sort_array(F.collect_list(F.struct("weight_kg", "reps", "n"))).alias("s"))
     weight = lambda x: rules.float_number(x["weight_kg"])
     listed = F.flatten(F.transform("s", lambda x: F.array_repeat(
         F.concat(weight(x), F.lit("×"), x["reps"].cast("string")), x["n"])))
@@ -115,7 +115,7 @@ def log_state(t, users=None) -> DataFrame:
     e = t["exercises"].select("exercise_id", "slug", "name", "ord")
     texts = _set_texts(sets, [*keys, "exercise_id"]).join(e, "exercise_id", "left")
     known = F.when(F.col("slug").isNotNull(), F.struct("ord", "slug", "name", "detail"))
-    return stored(texts.groupBy(*keys).agg(F.array_sort(F.collect_list(known)).alias("exercises")), "log-state")
+    return stored(texts.groupBy(*keys).agg(F.sort_array(F.collect_list(known)).alias("exercises")), "log-state")
 
 
 def key_lift_progression(t, users=None, state: DataFrame | None = None) -> DataFrame:
@@ -165,7 +165,13 @@ def _alias_text(t) -> Column:
         F.concat(F.lit("\n" + ALIAS_HEADER + "\n"), _lines(F.col("ord"), line=F.col("line"))).alias("text")).scalar()
 
 
-def profile_sections(t, users=None, state: DataFrame | None = None) -> DataFrame:
+def _lifts(t, state: DataFrame) -> DataFrame:
+    """Per user, the progressions of the history window in catalog order."""
+    lift = F.struct(F.col("ord").alias("place"), "block", "slug")
+    return key_lift_progression(t, state=state).groupBy("user_id").agg(F.sort_array(F.collect_list(lift)).alias("lifts"))
+
+
+def profile_sections(t, users=None, state: DataFrame | None = None, lifts: DataFrame | None = None) -> DataFrame:
     """Profile columns with one text column per section; an empty section is null."""
     state = log_state(t, users) if state is None else state
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
@@ -184,14 +190,11 @@ def profile_sections(t, users=None, state: DataFrame | None = None) -> DataFrame
     bans = active_bans(t, users).groupBy("user_id").agg(_section(SECTION_BANS, _lines(
         F.col("ban_id"), line=F.concat(
             F.lit("- "), F.col("exercise_name"), F.lit(" — "), F.col("reason")))).alias("bans"))
-    progression = key_lift_progression(t, users, state).groupBy("user_id").agg(
-        _section(SECTION_PROGRESSION, _lines(F.col("ord"), line=F.col("block"))).alias("progression"),
-        F.count(F.lit(1)).alias("n_lifts"))
     log = full_log(t, users, state).groupBy("user_id").agg(
         _section(SECTION_LOG, _lines(F.col("position"), line=F.col("block"))).alias("log"))
 
     rows = for_users(t["profile"], users)
-    for part in (counts, split, goals, injuries, bans, progression, log):
+    for part in (counts, split, goals, injuries, bans, _lifts(t, state) if lifts is None else lifts, log):
         rows = rows.join(part, "user_id", "left")
     total = F.coalesce("total", F.lit(0))
     nutrition = F.when(F.size("nutrition") > 0, F.concat(F.lit("- Nutrition: "), rules.json_text(F.col("nutrition"))))
@@ -210,14 +213,15 @@ def profile_sections(t, users=None, state: DataFrame | None = None) -> DataFrame
         F.lit(SECTION_COUNTS + "\n" + CHEST_LINE), F.coalesce("chest", F.lit(0)).cast("string"), F.lit("**")), "focus_lines")
     return rows.select(
         "user_id", total.cast("bigint").alias("logged_workouts"),
-        F.coalesce("n_lifts", F.lit(0)).cast("bigint").alias("n_lifts"),
-        profile.alias("profile"), "split", "goals", "injuries", "bans",
-        session_counts.alias("session_counts"), "progression", "log")
+        F.when(F.col("lifts").isNull(), 0).otherwise(F.size("lifts")).cast("bigint").alias("n_lifts"),
+        profile.alias("profile"), "split", "goals", "injuries", "bans", session_counts.alias("session_counts"),
+        _section(SECTION_PROGRESSION, F.array_join(F.col("lifts")["block"], "\n")).alias("progression"),
+        "log")
 
 
-def profile_snapshot(t, users=None, state: DataFrame | None = None) -> DataFrame:
+def profile_snapshot(t, users=None, state: DataFrame | None = None, lifts: DataFrame | None = None) -> DataFrame:
     """One document per registered user; empty sections are left out."""
-    s = profile_sections(t, users, state)
+    s = profile_sections(t, users, state, lifts)
     return s.select(
         "user_id", "logged_workouts", "n_lifts",
         F.concat_ws("\n", "profile", "split", "goals", "injuries", "bans", "session_counts",
@@ -230,12 +234,17 @@ def _with_names(t, rows: DataFrame) -> DataFrame:
     return rows.withColumn("names", names)
 
 
+def _only(slugs: Column) -> Column:
+    return F.get(slugs, F.lit(0))
+
+
 def _match_text(slugs: Column, names: Column) -> Column:
-    """What a message names, as lines for the reader; null when it names nothing."""
-    lines = F.transform(slugs, lambda slug: F.concat(
-        F.lit("- User likely means: **"), F.element_at(names, slug), F.lit("** (slug: `"), slug, F.lit("`)")))
-    return F.when(F.size(slugs) > 0, F.concat(
-        F.lit(MATCH_HEADER + "\n"), F.array_join(lines, "\n"), F.lit("\n\n" + MATCH_FOOTER)))
+    """What a message names, as lines for the reader; null when it names nothing. One name, the usual case, needs no list."""
+    line = lambda slug: F.concat(
+        F.lit("- User likely means: **"), F.element_at(names, slug), F.lit("** (slug: `"), slug, F.lit("`)"))
+    lines = F.when(F.size(slugs) == 1, F.coalesce(line(_only(slugs)), F.lit(""))).otherwise(
+        F.array_join(F.transform(slugs, line), "\n"))
+    return F.when(F.size(slugs) > 0, F.concat(F.lit(MATCH_HEADER + "\n"), lines, F.lit("\n\n" + MATCH_FOOTER)))
 
 
 def matched_lines(t, messages: DataFrame) -> DataFrame:
@@ -251,16 +260,17 @@ def _resolved(t, messages: DataFrame) -> DataFrame:
     return stored(with_slugs(t, messages.select("msg_id", "user_id", "text")), "messages")
 
 
-def _blocks(t, state: DataFrame) -> DataFrame:
-    """Per user, the progression of each exercise of the history window as a map."""
-    return key_lift_progression(t, state=state).groupBy("user_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("slug", "block"))).alias("blocks"))
+def _blocks(lifts: DataFrame) -> DataFrame:
+    """Per user, the progression of each exercise as a map."""
+    return lifts.select("user_id", F.map_from_arrays(F.col("lifts")["slug"], F.col("lifts")["block"]).alias("blocks"))
 
 
 def _focused(slugs: Column, blocks: Column) -> Column:
     """Progressions of the named exercises; null without any."""
     held = F.filter(F.transform(slugs, lambda slug: F.element_at(blocks, slug)), lambda b: b.isNotNull())
-    return parsing.let(held, lambda held: F.when(F.size(held) > 0, F.concat(F.lit(FOCUSED_HEADER + "\n"), F.array_join(held, "\n"))))
+    header = F.lit(FOCUSED_HEADER + "\n")
+    several = parsing.let(held, lambda held: F.when(F.size(held) > 0, F.concat(header, F.array_join(held, "\n"))))
+    return F.when(F.size(slugs) == 1, F.concat(header, F.element_at(blocks, _only(slugs)))).otherwise(several)
 
 
 def focused_progression(t, messages: DataFrame) -> DataFrame:
@@ -269,7 +279,7 @@ def focused_progression(t, messages: DataFrame) -> DataFrame:
     Only the histories of users whose messages name an exercise are read.
     """
     found = _resolved(t, messages).where(F.size("slugs") > 0)
-    blocks = _blocks(t, log_state(t, found))
+    blocks = _blocks(_lifts(t, log_state(t, found)))
     text = F.filter(F.array(_focused(F.col("slugs"), F.col("blocks"))), lambda x: x.isNotNull())
     return found.join(blocks, "user_id").select("msg_id", F.explode(text).alias("text"))
 
@@ -278,27 +288,32 @@ def message_context(t, messages: DataFrame) -> DataFrame:
     """Message with everything known about its user and the exercises it names, and the number of its characters.
 
     The text stays as it is when nothing applies. Histories of the users who wrote
-    are read once; a message meets its user's document and progressions in one join.
+    are read once. A message meets its user's progressions first and leaves with the
+    few lines that it names; only then it meets the document, which goes from there
+    into its text without being copied into a row.
     """
     found = _resolved(t, messages)
     writers = stored(found.select("user_id").distinct(), "writers")
     state = log_state(t, writers)
-    # A document's end and its number of characters are made once per user, before it meets the messages.
+    lifts = stored(_lifts(t, state), "lifts")
     split, closing = "\n\n", "\n\n---\nUser: "
-    tail = F.concat(F.col("document"), F.lit(closing))
-    snapshot = profile_snapshot(t, writers, state).select("user_id", tail.alias("tail"), F.length(tail).alias("tail_chars"))
-    known = snapshot.join(_blocks(t, state), "user_id", "full_outer")
-    rows = _with_names(t, found.join(known, "user_id", "left")).select(
-        "msg_id", "text", "tail", "tail_chars",
-        _match_text(F.col("slugs"), F.col("names")).alias("matched"), _focused(F.col("slugs"), F.col("blocks")).alias("focused"))
-    rows = rows.withColumn("head", F.concat(F.lit(CONTEXT_HEADER + "\n"), F.concat_ws(split, "matched", "focused")))
-    named = F.coalesce("matched", "focused").isNotNull()
-    head = F.when(named & F.col("tail").isNotNull(), F.concat("head", F.lit(split))).otherwise(F.col("head"))
-    nothing = ~named & F.col("tail").isNull()
-    end, end_chars = F.coalesce("tail", F.lit(closing)), F.coalesce("tail_chars", F.lit(len(closing)))
+    # A document's end and its number of characters are made once per user, before it meets the messages.
+    end = F.concat(F.col("document"), F.lit(closing))
+    ends = profile_snapshot(t, writers, state, lifts).select("user_id", end.alias("end"), F.length(end).alias("end_chars"))
+    found = _with_names(t, found.join(_blocks(lifts), "user_id", "left")).select(
+        "msg_id", "user_id", "text", _match_text(F.col("slugs"), F.col("names")).alias("matched"),
+        _focused(F.col("slugs"), F.col("blocks")).alias("focused"))
+    rows = found.select(
+        "msg_id", "user_id", "text", F.coalesce("matched", "focused").isNotNull().alias("named"),
+        F.concat(F.lit(CONTEXT_HEADER + "\n"), F.concat_ws(split, "matched", "focused")).alias("head")).join(ends, "user_id", "left")
+    # No function on arrays or maps from here on: it would have the joined rows written out, documents included, before it is applied.
+    named, known = F.col("named"), F.col("end").isNotNull()
+    between = F.when(named & known, F.lit(split)).otherwise(F.lit(""))
+    context = F.concat("head", between, F.coalesce("end", F.lit(closing)), "text")
+    n_chars = F.length("head") + F.length(between) + F.coalesce("end_chars", F.lit(len(closing))) + F.length("text")
     return rows.select(
-        "msg_id", F.when(nothing, F.col("text")).otherwise(F.concat(head, end, F.col("text"))).alias("context"),
-        F.when(nothing, F.length("text")).otherwise(F.length(head) + end_chars + F.length("text")).alias("n_chars"))
+        "msg_id", F.when(named | known, context).otherwise(F.col("text")).alias("context"),
+        F.when(named | known, n_chars).otherwise(F.length("text")).alias("n_chars"))
 
 
 def allowed_catalog(t, users=None) -> DataFrame:

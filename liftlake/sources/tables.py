@@ -382,7 +382,7 @@ def messages(t: Tables) -> DataFrame:
     )
     alias = spoken_alias(F.col("exercise_id"))
     other = spoken_alias((F.col("exercise_id") + 1) % CATALOG_SIZE)
-    w = F.regexp_replace(F.col("weight_kg").cast("string"), r"\.?0+$", "")
+    w = F.rtrim(F.rtrim(F.col("weight_kg").cast("string"), F.lit("0")), F.lit("."))  # decimals: zeros before the point stay
     r = F.col("reps").cast("string")
     s = (F.col("workout_id") % 4 + 1).cast("string")
     template = F.col("workout_id") % 12
